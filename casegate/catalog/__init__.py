@@ -6,7 +6,7 @@ import importlib
 
 from casegate.catalog.registry import ORACLES, QUERIES, Query
 
-_MODULES = ["intake"]
+_MODULES = ["intake", "placement"]
 
 
 def _load() -> None:

@@ -140,3 +140,9 @@ def rule_version(rules: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256).alias("rules_hash"),
         F.count(F.lit(1)).alias("n_rules"),
     )
+
+
+def scan_model_elements(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of the user tasks a process model in XML defines."""
+    tasks = spark.read.option("rowTag", "userTask").schema("_id string").xml(path)
+    return tasks.select(F.col("_id").alias("target_element")).distinct()
