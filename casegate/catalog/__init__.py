@@ -6,7 +6,7 @@ import importlib
 
 from casegate.catalog.registry import ORACLES, QUERIES, Query
 
-_MODULES = ["intake", "placement"]
+_MODULES = ["intake", "placement", "reconciliation", "streams"]
 
 
 def _load() -> None:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casegate.functions.values import split_permission
-from casegate.operators.ledger import BUCKETS, LIVE_STATES, state_to_bucket
+from casegate.operators.ledger import BUCKETS, LIVE_STATES, state_to_bucket, with_previous
 from casegate.session import broadcast_if_small
 
 
@@ -249,7 +249,7 @@ def quarantine_queue(ledger: DataFrame, resolutions: DataFrame) -> DataFrame:
 def permission_map(members: DataFrame, grants: DataFrame, targets: DataFrame) -> DataFrame:
     """User to group to permission to target group. A user can hold one permission
     through several groups, so each result is listed once."""
-    held = members.join(grants, "group_id").select("user_id", "permission")
+    held = members.join(broadcast_if_small(grants), "group_id").select("user_id", "permission")
     parts = held.select("user_id", "permission", *split_permission(F.col("permission")))
     return (
         parts.join(broadcast_if_small(targets), ["application", "service", "role", "level"], "left")
@@ -272,3 +272,12 @@ def backcheck_sample(classified: DataFrame, n: int, seed: str) -> DataFrame:
         F.expr("row_number() over (partition by outcome order by mark)").alias("rank"),
     )
     return ranked.where(F.col("rank") <= n)
+
+
+def unique_active(log: DataFrame, key: str, order: str, segment: Column) -> DataFrame:
+    """Creates with whether they are accepted. A key is active after any create,
+    accepted or refused, and free after an end; so a create is accepted exactly
+    when the event before it is not a create."""
+    steps = with_previous(log, [key], order, segment, ["kind"])
+    free = F.coalesce(F.col("prev_kind") != "CREATE", F.lit(True))
+    return steps.where("kind = 'CREATE'").withColumn("accepted", free)
