@@ -88,29 +88,28 @@ def with_previous(
     so one key holding a large share of the rows is spread over its segments.
     Counts and last values per segment are chained in a second, small window.
     """
-    work = rows.withColumn("segment", segment)
-    inside = Window.partitionBy(*keys, "segment").orderBy(order)
-    local = work.withColumn("at", F.row_number().over(inside))
+    work = rows.withColumn("_segment", segment)
+    inside = Window.partitionBy(*keys, "_segment").orderBy(order)
+    local = work.withColumn("_at", F.row_number().over(inside))
     for c in columns:
-        local = local.withColumn(f"lag_{c}", F.lag(c).over(inside))
+        local = local.withColumn(f"_lag_{c}", F.lag(c).over(inside))
 
-    last = [F.max_by(c, order).alias(f"last_{c}") for c in columns]
-    heads = work.groupBy(*keys, "segment").agg(F.count(F.lit(1)).alias("n"), *last)
-    chain = Window.partitionBy(*keys).orderBy("segment")
+    last = [F.max_by(c, order).alias(f"_last_{c}") for c in columns]
+    heads = work.groupBy(*keys, "_segment").agg(F.count(F.lit(1)).alias("_n"), *last)
+    chain = Window.partitionBy(*keys).orderBy("_segment")
     before = chain.rowsBetween(Window.unboundedPreceding, -1)
     carried = heads.select(
         *keys,
-        "segment",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"),
-        *[F.lag(f"last_{c}").over(chain).alias(f"carry_{c}") for c in columns],
+        "_segment",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"),
+        *[F.lag(f"_last_{c}").over(chain).alias(f"_carry_{c}") for c in columns],
     )
-    joined = local.join(carried, [*keys, "segment"])
-    first = F.col("at") == 1
-    return joined.select(
+    first = F.col("_at") == 1
+    return local.join(carried, [*keys, "_segment"]).select(
         *rows.columns,
-        (F.col("at") + F.col("skip")).cast("bigint").alias("position"),
+        (F.col("_at") + F.col("_skip")).cast("bigint").alias("position"),
         *[
-            F.when(first, F.col(f"carry_{c}")).otherwise(F.col(f"lag_{c}")).alias(f"prev_{c}")
+            F.when(first, F.col(f"_carry_{c}")).otherwise(F.col(f"_lag_{c}")).alias(f"prev_{c}")
             for c in columns
         ],
     )
