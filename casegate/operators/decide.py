@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from casegate.functions.text import is_present
 from casegate.functions.values import VISION_OUTCOMES, join_rule_ids
 from casegate.operators.validate import TYPED
-from casegate.session import broadcast_if_small, settled
-from casegate.sources.rules import INPUTS, OUTPUTS
+from casegate.session import broadcast_if_small, per_session, settled
+from casegate.sources.rules import INPUTS, OUTPUTS, baseline_rules
 
 CELLS = 96
 
@@ -44,16 +44,19 @@ def domain(spark: SparkSession) -> DataFrame:
     return cells.select("cell", *[c.alias(n) for n, c in cell_inputs(F.col("cell")).items()])
 
 
-def rule_cells(rules: DataFrame) -> DataFrame:
-    """One row per rule and cell it matches; a null input matches any value."""
-
+@per_session
+def _matching_cells() -> Column:
     def matches(cell: Column) -> Column:
         values = cell_inputs(cell)
         tests = [F.col(n).isNull() | (F.col(n) == values[n]) for n in INPUTS]
         return reduce(lambda a, b: a & b, tests)
 
-    cells = F.filter(F.sequence(F.lit(0), F.lit(CELLS - 1)), matches)
-    return rules.select("rule_id", "position", *OUTPUTS, F.explode(cells).alias("cell"))
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(CELLS - 1)), matches)).alias("cell")
+
+
+def rule_cells(rules: DataFrame) -> DataFrame:
+    """One row per rule and cell it matches; a null input matches any value."""
+    return rules.select("rule_id", "position", *OUTPUTS, _matching_cells())
 
 
 def decision_table_join(inputs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -168,39 +171,58 @@ def cell_decisions(rules: DataFrame, contract: DataFrame) -> DataFrame:
     return contract_lookup(resolved, contract).drop("target_element")
 
 
-def decide(normalised: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Place every record. The checks run in a fixed order: readable, matched,
-    unambiguous, known outcome (else the run stops), allowed target, contract."""
-    # At most one row per cell, so never more than 96.
-    joined = normalised.join(F.broadcast(decisions), "cell", "left")
-    decision = F.col("decision")
-    migrates = decision["outcome"] == "MIGRATE"
+@per_session
+def baseline_decisions(spark: SparkSession) -> DataFrame:
+    """The baseline table under the standard contract."""
+    return cell_decisions(baseline_rules(spark), contract_table(spark))
+
+
+@per_session
+def _verdict() -> Column:
+    """Why a record does not simply get its rules' decision, in a fixed order of
+    checks: readable, matched, unambiguous, known outcome (else the run stops),
+    allowed target, contract. Null where the decision stands."""
+    outcome, target = F.col("decision.outcome"), F.col("decision.target_element")
+    migrates = outcome == "MIGRATE"
     # Not allowed, or not there at all.
-    bad_target = ~F.coalesce(decision["target_element"].isin(BACK_OFFICE_TARGETS), F.lit(False))
-    broken = F.raise_error(F.lit("decision table returned no known outcome"))
-    verdict = (
+    bad_target = ~F.coalesce(target.isin(BACK_OFFICE_TARGETS), F.lit(False))
+    unknown = ~F.coalesce(outcome.isin(OUTCOMES), F.lit(False))
+    broken = F.raise_error(F.lit("decision table returned no known outcome")).cast("string")
+    return (
         F.when(F.col("detail").isNotNull(), "PREVALIDATION")
         .when(F.col("n_hits").isNull(), "UNMATCHED")
         .when(F.col("n_decisions") > 1, "AMBIGUOUS")
-        .when(~F.coalesce(decision["outcome"].isin(OUTCOMES), F.lit(False)), broken.cast("string"))
+        .when(unknown, broken)
         .when(migrates & bad_target, "CITIZEN_TARGET")
         .when(migrates & contract_unsatisfied(F.col("required_bits")), "CONTRACT_UNSATISFIED")
     )
-    judged = settled(joined, {"verdict": verdict})
+
+
+@per_session
+def _placement() -> list[Column]:
+    decision = F.col("decision")
     accepted = F.col("verdict").isNull()
-    no_variables = F.expr("cast(map() as map<string,string>)")
-    return judged.select(
-        *[c for c in normalised.columns if c not in ("cell", *TYPED)],
-        "cell",
+    migrates = decision["outcome"] == "MIGRATE"
+    variables = target_variables(F.col("required"), available_variables())
+    return [
         F.when(accepted, decision["outcome"]).otherwise("QUARANTINE").alias("outcome"),
         F.when(accepted, decision["target_element"]).alias("target_element"),
         F.coalesce("verdict", decision["reason_code"]).alias("reason_code"),
         F.coalesce("rule_ids", F.expr("cast(array() as array<string>)")).alias("rule_ids"),
         (accepted & (F.col("n_hits") > 1)).alias("redundant"),
-        F.when(
-            accepted & migrates, target_variables(F.col("required"), available_variables())
-        ).otherwise(no_variables).alias("target_variables"),
-    )
+        F.when(accepted & migrates, variables)
+        .otherwise(F.expr("cast(map() as map<string,string>)"))
+        .alias("target_variables"),
+    ]
+
+
+def decide(normalised: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Place every record, and drop the readings only the rules needed."""
+    # At most one row per cell, so never more than 96.
+    joined = normalised.join(F.broadcast(decisions), "cell", "left")
+    judged = settled(joined, {"verdict": _verdict()})
+    kept = [c for c in normalised.columns if c not in ("cell", *TYPED)]
+    return judged.select(*kept, "cell", *_placement())
 
 
 def domain_coverage(spark: SparkSession, rules: DataFrame, observed: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casegate.functions.values import VISION_OUTCOMES, within_cutoff
-from casegate.session import settled
+from casegate.session import per_session, settled
 
 
 def _dated(attempts: Column) -> Column:
@@ -39,16 +39,23 @@ COLLAPSE_POLICIES = {
 }
 
 
-def normalised_inputs(boundary: Column, policy: str = "latest") -> Column:
-    """For records that passed validation: a field that is there is readable."""
-    return F.struct(
+@per_session
+def _fixed_inputs(policy: str) -> list[Column]:
+    """Inputs that do not depend on the run. For records that passed validation a
+    field that is there is readable."""
+    return [
         F.col("_completed_day").isNotNull().alias("has_date_completed"),
         F.col("_issued_day").isNotNull().alias("has_issued"),
         F.col("_expired_day").isNotNull().alias("has_expired"),
-        within_cutoff(F.col("_updated_day"), boundary).alias("within_cutoff"),
         F.col("_fee").alias("fee_paid"),
         COLLAPSE_POLICIES[policy](F.col("_attempts")).alias("vision_outcome"),
-    )
+    ]
+
+
+def normalised_inputs(boundary: Column, policy: str = "latest") -> Column:
+    completed, issued, expired, paid, outcome = _fixed_inputs(policy)
+    inside = within_cutoff(F.col("_updated_day"), boundary).alias("within_cutoff")
+    return F.struct(completed, issued, expired, inside, paid, outcome)
 
 
 def cell_of(inputs: Column) -> Column:
@@ -70,12 +77,17 @@ def cell_of(inputs: Column) -> Column:
     )
 
 
+@per_session
+def _input_cell() -> Column:
+    return cell_of(F.col("input"))
+
+
 def normalise(validated: DataFrame, boundary: Column, policy: str = "latest") -> DataFrame:
     """Adds ``input`` and its ``cell`` to prevalidated records; both stay null where ``detail`` says the
     record cannot be interpreted."""
     passes = F.col("detail").isNull()
     inputs = {"input": F.when(passes, normalised_inputs(boundary, policy))}
-    return settled(settled(validated, inputs), {"cell": cell_of(F.col("input"))})
+    return settled(settled(validated, inputs), {"cell": _input_cell()})
 
 
 def latest_attempt(attempts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -10,15 +10,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from casegate.functions.text import is_present
 from casegate.functions.values import boolean_word, iso_day
-from casegate.session import settled
+from casegate.session import per_session, settled
 
 # Typed readings of a record's text fields, made once and used by the rules and
 # by normalisation. Fields are trimmed when a record is read.
 TYPED = ["_updated_day", "_fee", "_issued_day", "_expired_day", "_completed_day", "_attempts"]
 
 
-def typed(records: DataFrame) -> DataFrame:
-    """Adds the typed readings; null means absent or unreadable."""
+@per_session
+def _typed_columns() -> dict[str, Column]:
     attempts = F.transform(
         "attempts",
         lambda a: F.struct(
@@ -35,7 +35,12 @@ def typed(records: DataFrame) -> DataFrame:
         iso_day(F.col("date_completed")),
         attempts,
     ]
-    return settled(records, dict(zip(TYPED, columns)))
+    return dict(zip(TYPED, columns))
+
+
+def typed(records: DataFrame) -> DataFrame:
+    """Adds the typed readings; null means absent or unreadable."""
+    return settled(records, _typed_columns())
 
 
 def missing_key() -> Column:
@@ -114,9 +119,14 @@ RULES = {
 }
 
 
+@per_session
+def _first_failure() -> Column:
+    return F.coalesce(*[rule() for rule in RULES.values()])
+
+
 def prevalidate(records: DataFrame) -> DataFrame:
     """Adds ``detail``: the first failing rule, or null for a record that passes."""
-    return settled(typed(records), {"detail": F.coalesce(*[rule() for rule in RULES.values()])})
+    return settled(typed(records), {"detail": _first_failure()})
 
 
 def check_rule(records: DataFrame, rule: str) -> DataFrame:

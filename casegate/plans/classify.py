@@ -6,7 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from casegate.operators.decide import cell_decisions, contract_table, decide
+from casegate.operators.decide import (
+    baseline_decisions,
+    cell_decisions,
+    contract_table,
+    decide,
+)
 from casegate.operators.integrity import (
     expectation_summary,
     header_verify,
@@ -43,10 +48,14 @@ def classify(
 ) -> DataFrame:
     """Source records to one placed row each. Lazy, and without a shuffle."""
     spark = records.sparkSession
-    rules = baseline_rules(spark) if rules is None else rules
-    contract = contract_table(spark) if contract is None else contract
-    inputs = normalise(prevalidate(records), boundary, policy)
-    return decide(inputs, cell_decisions(rules, contract))
+    if rules is None and contract is None:
+        decisions = baseline_decisions(spark)
+    else:
+        decisions = cell_decisions(
+            baseline_rules(spark) if rules is None else rules,
+            contract_table(spark) if contract is None else contract,
+        )
+    return decide(normalise(prevalidate(records), boundary, policy), decisions)
 
 
 @dataclass(frozen=True)

@@ -4,9 +4,12 @@ tables may be written, and whether a side is small enough to broadcast."""
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import shutil
 import tempfile
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -15,6 +18,8 @@ BROADCAST_ROWS = 500_000
 
 _local_workspaces: dict[str, str] = {}
 
+T = TypeVar("T")
+
 
 def local_session(app: str = "casegate", cpus: int | str = "*", **conf: str) -> SparkSession:
     """A session for tests and the benchmark. Clusters bring their own."""
@@ -28,6 +33,8 @@ def local_session(app: str = "casegate", cpus: int | str = "*", **conf: str) ->
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # Call sites of every column cost more than planning does.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
@@ -70,3 +77,18 @@ def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     row = F.struct(*[column.alias(name) for name, column in columns.items()])
     return df.select("*", F.inline(F.array(row)))
+
+
+def per_session(build: Callable[..., T]) -> Callable[..., T]:
+    """Build expressions once per application. They are immutable, and each node
+    of one costs a round trip to the JVM."""
+    kept: dict[tuple, T] = {}
+
+    @functools.wraps(build)
+    def cached(*args: object) -> T:
+        key = (SparkSession.active().sparkContext.applicationId, *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return cached

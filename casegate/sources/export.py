@@ -21,7 +21,7 @@ from casegate.functions.text import (
     line_hash,
     split_fields,
 )
-from casegate.session import broadcast_if_small
+from casegate.session import broadcast_if_small, per_session
 
 # Columns of the export format, and the numbered-column patterns.
 SCALAR_COLUMNS = {
@@ -104,7 +104,8 @@ def number_lines(lines: DataFrame, marker: Column | None = None) -> DataFrame:
     The data is not shuffled: rows are counted per input split, and only those
     counts (one row per split) are summed and joined back.
     """
-    offsets = broadcast_if_small(block_offsets(lines, marker))
+    # Kept, because it is read twice: to check its size and to be joined.
+    offsets = broadcast_if_small(block_offsets(lines, marker).persist())
     numbered = lines.join(offsets, ["file", "block"])
     line = F.col("row_mark") - F.col("first_mark") + F.col("skip") + 1
     columns = ["part", "file", line.alias("source_line"), "raw"]
@@ -194,25 +195,27 @@ def nest_multivalue(fields: Column, header: Sequence[str]) -> Column:
     return F.filter(F.array(*slots), is_present)
 
 
+@per_session
+def _record_columns(header: tuple[str, ...]) -> list[Column]:
+    at = header_positions(header)
+    f = F.col("f")
+    return [
+        *[field_at(f, at.get(column)).alias(name) for name, column in SCALAR_COLUMNS.items()],
+        nest_occurrences(f, header).alias("attempts"),
+        nest_multivalue(f, header).alias("restrictions"),
+    ]
+
+
 def source_records(numbered: DataFrame, header: str | Sequence[str]) -> DataFrame:
     """Numbered lines to flattened source records. The header line and blank
     lines drop out here, after every line has its number."""
     names = header_names(header) if isinstance(header, str) else list(header)
-    at = header_positions(names)
     body = numbered.where((F.col("source_line") > 1) & is_present(F.col("raw")))
     split = body.select(
         "part", "source_line", line_hash(F.col("raw")).alias("source_hash"),
         split_fields(F.col("raw")).alias("f"),
     )
-    f = F.col("f")
-    wide = split.select(
-        "part",
-        "source_line",
-        "source_hash",
-        *[field_at(f, at.get(column)).alias(name) for name, column in SCALAR_COLUMNS.items()],
-        nest_occurrences(f, names).alias("attempts"),
-        nest_multivalue(f, names).alias("restrictions"),
-    )
+    wide = split.select("part", "source_line", "source_hash", *_record_columns(tuple(names)))
     return wide.select(*RECORD_COLUMNS)
 
 
