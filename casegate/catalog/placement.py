@@ -84,7 +84,7 @@ def target_allowlist(spark, sf):
     table = rules.overlap_rules(spark).select(
         F.array("rule_id").alias("rule_ids"), F.col("target_element").alias("chosen")
     )
-    return rows.join(table, "rule_ids").where(F.col("chosen") == chosen).select(
+    return rows.join(F.broadcast(table), "rule_ids").where(F.col("chosen") == chosen).select(
         *KEY, "chosen", "target_element", "reason_code"
     )
 

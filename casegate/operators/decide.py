@@ -92,7 +92,7 @@ def contract_table(spark: SparkSession, contract: dict[str, list[str]] = TARGET_
 
 def contract_lookup(decided: DataFrame, contract: DataFrame) -> DataFrame:
     """Adds the required variables of each target; an unknown target needs none."""
-    joined = decided.join(contract, "target_element", "left")
+    joined = decided.join(broadcast_if_small(contract), "target_element", "left")
     required = F.coalesce("required", F.expr("cast(array() as array<string>)"))
     return joined.withColumn("required", required).withColumn(
         "required_bits", required_bits(F.col("required"))

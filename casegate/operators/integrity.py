@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from casegate.functions.text import is_present, line_hash
+
 KEY = ["part", "source_line"]
 
 
@@ -33,6 +35,20 @@ def manifest_verify(records: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
+def freeze_check(numbered: DataFrame, rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """Header and rows against the manifest in one pass over the export. The header
+    is source line 1; ``headers`` has ``part`` and its frozen ``header_hash``."""
+    lines = numbered.where((F.col("source_line") == 1) | is_present(F.col("raw"))).select(
+        *KEY, line_hash(F.col("raw")).alias("source_hash")
+    )
+    frozen_headers = headers.select(
+        "part",
+        F.lit(1).cast("bigint").alias("source_line"),
+        F.col("header_hash").alias("source_hash"),
+    )
+    return manifest_verify(lines, rows.select(*KEY, "source_hash").unionByName(frozen_headers))
+
+
 def manifest_missing_in_source(records: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(records.select(*KEY), KEY, "left_anti")
 

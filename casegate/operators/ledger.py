@@ -130,7 +130,8 @@ def illegal_transitions(spark: SparkSession, events: DataFrame, segment: Column)
         F.coalesce("prev_state", F.lit("-")).alias("from_state"),
         F.col("state").alias("to_state"),
     )
-    return steps.join(allowed_edges(spark), ["from_state", "to_state"], "left_anti")
+    # A fixed list of 22 edges.
+    return steps.join(F.broadcast(allowed_edges(spark)), ["from_state", "to_state"], "left_anti")
 
 
 def rows_in_state(ledger: DataFrame, run_id: str, state: str) -> DataFrame:

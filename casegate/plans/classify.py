@@ -12,15 +12,10 @@ from casegate.operators.decide import (
     contract_table,
     decide,
 )
-from casegate.operators.integrity import (
-    expectation_summary,
-    header_verify,
-    manifest_verify,
-)
+from casegate.operators.integrity import expectation_summary, freeze_check
 from casegate.operators.normalise import normalise
 from casegate.operators.validate import TYPED, prevalidate
 from casegate.sources.export import (
-    header_hashes,
     number_lines,
     read_header,
     read_lines,
@@ -81,16 +76,15 @@ def dry_run(
     anything is written; failures of single records never do."""
     lines = manifest_lines(spark, manifest)
     rows = manifest_rows(lines)
-    parameters = run_parameters(manifest_problems(manifest_header(lines), rows))
+    summary = manifest_problems(manifest_header(lines), rows)
+    parameters = run_parameters(summary)
 
+    # Line 1 among the problems means that the header, and so the schema, changed.
     numbered = number_lines(read_lines(spark, export))
-    changed = first_problem(header_verify(header_hashes(numbered), parameters.header_hash))
-    if changed:
-        raise RunHalted(f"export header changed since the freeze: {changed}")
-    records = source_records(numbered, read_header(spark, export))
-    broken = first_problem(manifest_verify(records, rows))
+    broken = first_problem(freeze_check(numbered, rows, summary.select("part", "header_hash")))
     if broken:
         raise RunHalted(f"export is not the frozen one: {broken}")
+    records = source_records(numbered, read_header(spark, export))
 
     boundary = cutoff_boundary(F.lit(parameters.freeze_date), parameters.cutoff_months)
     return DryRun(parameters, classify(records, boundary, rules, policy=policy))

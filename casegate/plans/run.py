@@ -33,7 +33,6 @@ from casegate.sources.tables import (
     append_ledger,
     append_report,
     ledger_events,
-    read_ledger,
 )
 
 RUN_SCHEMA = (
@@ -51,6 +50,7 @@ class RunStore:
         self.runs_path = f"{base}/runs"
         self.ledger_path = f"{base}/ledger"
         self.reports_path = f"{base}/reports"
+        self.plans_path = f"{base}/plans"
 
     def _read(self, path: str, schema: str) -> DataFrame | None:
         """The table, or nothing if it has never been written."""
@@ -105,24 +105,27 @@ class RunStore:
         append_ledger(events, self.ledger_path)
 
     def next_seq(self, run_id: str) -> int:
-        last = self.ledger(run_id).agg(F.max("last_seq").alias("seq")).first()["seq"]
+        events = self._read(self.ledger_path, LEDGER_SCHEMA)
+        if events is None:
+            return 1
+        last = events.where(F.col("run_id") == run_id).agg(F.max("seq").alias("seq")).first()["seq"]
         return 1 if last is None else last + 1
 
 
 def load_intents(store: RunStore, run: DryRun) -> DataFrame:
-    """Write the intents of a load and return its create commands. The intents are
-    durable before a command leaves; the commands are read back from them."""
+    """Write the plan of a load, then its intents, and return its create commands.
+    Intents and commands both come from the written plan, so the export is
+    classified once and no command can leave without its durable intent."""
     p = run.parameters
     store.start(p)
     if store.is_closed(p.run_id):
         raise RunHalted(f"run {p.run_id} has closed creation")
     seq = store.next_seq(p.run_id)
-    plan = load_plan(run.classified, store.ledger(p.run_id))
+    path = f"{store.plans_path}/{p.run_id}/load-{seq}"
+    load_plan(run.classified, store.ledger(p.run_id)).write.mode("overwrite").parquet(path)
+    plan = store.spark.read.parquet(path)
     store.append(intent_events(plan, p.run_id, seq))
-    events = read_ledger(store.spark, store.ledger_path, p.run_id)
-    pending = events.where((F.col("seq") == seq + 1) & (F.col("state") == "CREATE_PENDING"))
-    wanted = run.classified.join(pending.select("part", "source_line"), ["part", "source_line"], "left_semi")
-    return create_commands(wanted.withColumn("action", F.lit("CREATE")), p.run_id)
+    return create_commands(plan, p.run_id)
 
 
 def record_responses(store: RunStore, run_id: str, commands: DataFrame, responses: DataFrame) -> None:

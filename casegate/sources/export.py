@@ -227,5 +227,5 @@ def scan_export(spark: SparkSession, path: str) -> DataFrame:
 def write_parts(lines: DataFrame, path: str, order: str = "source_line") -> None:
     """Write ``(part, <order>, raw)`` as text, one ordered file per part. A part
     is a bounded slice by construction, so no task holds more than one slice."""
-    parts = lines.repartitionByRange("part").sortWithinPartitions("part", order)
+    parts = lines.repartition("part").sortWithinPartitions("part", order)
     parts.select("part", F.col("raw").alias("value")).write.partitionBy("part").text(path)
