@@ -35,6 +35,8 @@ CUTOFF_MONTHS = 36
 LOAD_SEQ = 10
 # Records per export part: bounds the size of every text file.
 PART_ROWS = 1_000_000
+# Records per landed file.
+FILE_ROWS = 2_000_000
 PRIOR_KEY = 1_000_000_000_000_000
 NEW_KEY = 2_000_000_000_000_000
 ORPHAN_KEY = 9_000_000_000_000_000
@@ -199,10 +201,13 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines_path(spark: SparkSession, sf_dir: str) -> str:
-    """The numbered raw lines as landed in a table, in a few files."""
+    """The numbered raw lines as landed in a table, in files that keep every core
+    busy and none too large."""
 
     def write(path: str) -> None:
-        raw_lines(spark, sf_dir).write.parquet(path)
+        records = table(spark, sf_dir, "orders").count()
+        files = max(spark.sparkContext.defaultParallelism, -(-records // FILE_ROWS))
+        raw_lines(spark, sf_dir).repartition(files).write.parquet(path)
 
     return written(spark, sf_dir, "lines", write)
 

@@ -9,8 +9,7 @@ from casegate.catalog import oracle as o
 from casegate.catalog.registry import query
 from casegate.functions import text, values
 from casegate.operators import decide, normalise, validate
-from casegate.operators.report import closed_list
-from casegate.sources import expectations, export, manifest, rules, tables
+from casegate.sources import expectations, export, manifest, rules
 
 HEADER_SQL = f"'{b.HEADER}'"
 HEADER_HASH_SQL = f"'sha256:' || sha256({HEADER_SQL})"
@@ -453,6 +452,3 @@ def rule_truncated_group(spark, sf):
     return validate.truncated_groups(joined, F.col("total")).select(
         "part", "source_line", "declared", F.size("attempts").alias("n_arrived")
     )
-
-
-__all__ = ["closed_list", "expected", "inputs", "manifest_rows", "tables"]

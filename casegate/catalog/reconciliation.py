@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casegate.catalog import bindings as b
 from casegate.catalog import intake
@@ -28,6 +28,11 @@ def record_count(spark: SparkSession, sf: str) -> int:
     return b.table(spark, sf, "orders").count()
 
 
+def _seq() -> Column:
+    """Event time as a number, the order of a user's events."""
+    return F.unix_micros(F.col("ts").cast("timestamp")).alias("seq")
+
+
 # ---- ledger ----------------------------------------------------------------
 
 
@@ -92,9 +97,9 @@ def ledger_fold(spark, sf):
     SELECT * FROM steps WHERE (from_state, to_state) NOT IN (SELECT (from_state, to_state) FROM edges)""",
 )
 def illegal_transitions(spark, sf):
-    """Windows run per user and day, chained over the days."""
-    day = F.floor(F.col("seq") / 86_400_000_000)
-    return ledger.illegal_transitions(spark, b.user_events(spark, sf), day)
+    """Windows run per user and slice of the log, chained over the slices."""
+    events = b.user_events(spark, sf)
+    return ledger.illegal_transitions(spark, events, ledger.order_segments(events, "seq"))
 
 
 @query(
@@ -109,9 +114,10 @@ def attempt_sequence(spark, sf):
     """Attempts before the first pass, and how often the outcome flips; purchases
     are passes and errors are failures of a user."""
     tries = b.table(spark, sf, "events").where("event_type in ('purchase', 'error')").select(
-        "user_id", "ts", F.when(F.col("event_type") == "purchase", "PASS").otherwise("FAIL").alias("result")
+        "user_id", _seq(), F.when(F.col("event_type") == "purchase", "PASS").otherwise("FAIL").alias("result")
     )
-    steps = ledger.with_previous(tries, ["user_id"], "ts", F.to_date("ts"), ["result"])
+    segment = ledger.order_segments(tries, "seq")
+    steps = ledger.with_previous(tries, ["user_id"], "seq", segment, ["result"])
     passed = F.when(F.col("result") == "PASS", F.col("position"))
     return steps.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n_attempts"),
@@ -502,8 +508,8 @@ def unique_active(spark, sf):
     log = b.table(spark, sf, "events").where("event_type in ('signup', 'purchase')").select(
         "event_id",
         "user_id",
-        "ts",
+        _seq(),
         F.when(F.col("event_type") == "signup", "CREATE").otherwise("END").alias("kind"),
     )
-    decided = reconcile.unique_active(log, "user_id", "ts", F.to_date("ts"))
+    decided = reconcile.unique_active(log, "user_id", "seq", ledger.order_segments(log, "seq"))
     return decided.select("event_id", "user_id", "accepted")

@@ -78,14 +78,45 @@ def fold_ledger(events: DataFrame) -> DataFrame:
     )
 
 
+# Rows of one segment of an order, and how many cut points there can be.
+SEGMENT_ROWS = 1_000_000
+MAX_CUTS = 4096
+
+
+def order_segments(rows: DataFrame, order: str, segment_rows: int = SEGMENT_ROWS) -> Column:
+    """Number of the slice of a numeric order a row falls into, for slices of about
+    equal size. The cut points are approximate quantiles, so however the rows are
+    spread, a key that holds a third of them is spread over a third of each slice.
+    Where exactly the cuts lie changes the balance, never a result.
+    """
+    n = rows.count()
+    wanted = min(MAX_CUTS, -(-n // segment_rows)) - 1
+    if wanted < 1:
+        return F.lit(0)
+    marks = [i / (wanted + 1) for i in range(1, wanted + 1)]
+    found = rows.agg(F.percentile_approx(order, marks, max(10_000, 4 * wanted)).alias("cuts"))
+    cuts = sorted(set(found.first()["cuts"]))
+    step = 64
+
+    def longs(values: list[int]) -> str:
+        return "array(" + ", ".join(f"{v}L" for v in values) + ")"
+
+    # Two short searches instead of a long one: blocks of cuts, then one block.
+    block = f"size(filter({longs(cuts[::step])}, c -> c <= {order}))"
+    start = f"(({block}) - 1) * {step}"
+    inside = f"size(filter(slice({longs(cuts)}, {start} + 1, {step}), c -> c <= {order}))"
+    return F.expr(f"CASE WHEN {order} < {cuts[0]}L THEN 0 ELSE {start} + {inside} END")
+
+
 def with_previous(
     rows: DataFrame, keys: list[str], order: str, segment: Column, columns: list[str]
 ) -> DataFrame:
     """Adds ``prev_<column>`` and the 1-based ``position`` of each row within its
     key, in ``order``.
 
-    The window runs per key *and segment* (a slice of the order, such as a day),
-    so one key holding a large share of the rows is spread over its segments.
+    The window runs per key *and segment* (a slice of the order, as from
+    ``order_segments``), so one key holding a large share of the rows is spread
+    over its segments.
     Counts and last values per segment are chained in a second, small window.
     """
     work = rows.withColumn("_segment", segment)

@@ -15,7 +15,6 @@ from casegate.operators.load import (
     create_commands,
     intent_events,
     load_plan,
-    load_result,
     response_events,
 )
 from casegate.operators.reconcile import (
@@ -219,17 +218,3 @@ def migrate(
     append_report(report, store.reports_path, run.parameters.run_id)
     closed = store.is_closed(run.parameters.run_id)
     return run, None if closed else load_intents(store, run)
-
-
-__all__ = [
-    "RunStore",
-    "abort",
-    "gate",
-    "load_intents",
-    "load_result",
-    "migrate",
-    "record_aborts",
-    "record_releases",
-    "record_responses",
-    "release_intents",
-]

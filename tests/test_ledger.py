@@ -47,15 +47,25 @@ def test_every_state_has_one_bucket(spark):
     assert counts == {"MIGRATED": 2, "SKIPPED": 1, "QUARANTINED": 1, "PENDING": 6, "FAILED": 2, "ABORTED": 1}
 
 
-def test_segmented_windows_equal_plain_ones(spark):
-    """Against brute force, with one key that holds a third of the rows."""
+@pytest.mark.parametrize("segment_rows", [None, 10, 400, 100_000])
+def test_segmented_windows_equal_plain_ones(spark, segment_rows):
+    """Against brute force, with one key that holds a third of the rows and half of
+    the rows in a burst."""
     rng = random.Random(5)
     rows = []
-    for seq in range(3000):
+    for i in range(3000):
         key = 0 if rng.random() < 0.34 else rng.randrange(1, 40)
+        seq = i if i < 1500 else 1_000_000 * i
         rows.append((key, seq, rng.choice("abc")))
     frame = spark.createDataFrame(rows, "k int, seq bigint, v string")
-    got = ledger.with_previous(frame, ["k"], "seq", F.floor(F.col("seq") / 100), ["v"])
+    if segment_rows is None:
+        segment = F.floor(F.col("seq") / 100)
+    else:
+        segment = ledger.order_segments(frame, "seq", segment_rows)
+        per_segment = frame.groupBy(segment.alias("s")).count().orderBy("s").collect()
+        assert len(per_segment) == -(-3000 // segment_rows)
+        assert max(r["count"] for r in per_segment) <= segment_rows * 1.5
+    got = ledger.with_previous(frame, ["k"], "seq", segment, ["v"])
     found = {(r["k"], r["seq"]): (r["position"], r["prev_v"]) for r in got.collect()}
     wanted, last = {}, {}
     for key, seq, value in rows:
