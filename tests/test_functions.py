@@ -30,6 +30,14 @@ def test_bare_comma_split_ignores_quotes_and_keeps_trailing_fields(spark):
     assert one(spark, text.split_fields(F.lit('"a,b",c,,'))) == ['"a', 'b"', "c", "", ""]
 
 
+@pytest.mark.parametrize(
+    "raw", ["a,b", " a\t, b\x01 c ,", ",,", " , , ", "\x00\x1f", "", " x", "a,b\r", "\u2003,\u2003 y"]
+)
+def test_split_trims_every_field(spark, raw):
+    padding = "".join(map(chr, range(0x21)))
+    assert one(spark, text.split_fields(F.lit(raw))) == [f.strip(padding) for f in raw.split(",")]
+
+
 def test_short_line_and_unknown_column_read_as_empty(spark):
     fields = text.split_fields(F.lit("a,b"))
     assert one(spark, text.field_at(fields, 5)) == ""
