@@ -30,7 +30,7 @@ from casegate.sources.manifest import (
     manifest_rows,
     run_parameters,
 )
-from casegate.sources.rules import baseline_rules
+from casegate.sources.rules import baseline_rules, rule_version
 from casegate.functions.values import cutoff_boundary
 
 
@@ -57,6 +57,7 @@ def classify(
 class DryRun:
     parameters: RunParameters
     classified: DataFrame
+    rules_hash: str
 
 
 def first_problem(problems: DataFrame) -> str | None:
@@ -87,7 +88,9 @@ def dry_run(
     records = source_records(numbered, read_header(spark, export))
 
     boundary = cutoff_boundary(F.lit(parameters.freeze_date), parameters.cutoff_months)
-    return DryRun(parameters, classify(records, boundary, rules, policy=policy))
+    version = rule_version(baseline_rules(spark) if rules is None else rules).first()
+    classified = classify(records, boundary, rules, policy=policy)
+    return DryRun(parameters, classified, version["rules_hash"])
 
 
 def halt_on_expectation(classified: DataFrame, expected: DataFrame) -> None:

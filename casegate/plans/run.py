@@ -22,6 +22,7 @@ from casegate.operators.reconcile import (
     abort_set,
     abort_verify,
     gate_checks,
+    quarantine_queue,
     release_plan,
 )
 from casegate.operators.report import classification_report
@@ -36,7 +37,7 @@ from casegate.sources.tables import (
 
 RUN_SCHEMA = (
     "run_id string, freeze_date date, cutoff_months int, header_hash string, "
-    "record_count bigint, creation_closed boolean, started_at timestamp"
+    "record_count bigint, rules_hash string, creation_closed boolean, started_at timestamp"
 )
 
 
@@ -60,8 +61,10 @@ class RunStore:
                 return None
             raise
 
-    def start(self, p: RunParameters) -> None:
-        row = (p.run_id, p.freeze_date, p.cutoff_months, p.header_hash, p.record_count, False)
+    def start(self, p: RunParameters, rules_hash: str) -> None:
+        row = (
+            p.run_id, p.freeze_date, p.cutoff_months, p.header_hash, p.record_count, rules_hash, False,
+        )
         schema = RUN_SCHEMA.rsplit(",", 1)[0]
         self.spark.createDataFrame([row], schema).withColumn(
             "started_at", F.current_timestamp()
@@ -76,7 +79,7 @@ class RunStore:
     def run(self, run_id: str) -> DataFrame:
         """The run row: first start, closed once any row says so."""
         log = self.spark.read.schema(RUN_SCHEMA).parquet(self.runs_path)
-        fields = ["freeze_date", "cutoff_months", "header_hash", "record_count"]
+        fields = ["freeze_date", "cutoff_months", "header_hash", "record_count", "rules_hash"]
         return (
             log.where(F.col("run_id") == run_id)
             .groupBy("run_id")
@@ -116,7 +119,9 @@ def load_intents(store: RunStore, run: DryRun) -> DataFrame:
     Intents and commands both come from the written plan, so the export is
     classified once and no command can leave without its durable intent."""
     p = run.parameters
-    store.start(p)
+    store.start(p, run.rules_hash)
+    if store.run(p.run_id).first()["rules_hash"] != run.rules_hash:
+        raise RunHalted(f"run {p.run_id} was started with another rule table")
     if store.is_closed(p.run_id):
         raise RunHalted(f"run {p.run_id} has closed creation")
     seq = store.next_seq(p.run_id)
@@ -181,6 +186,31 @@ def record_releases(store: RunStore, run_id: str, answers: DataFrame) -> None:
     )
 
 
+def record_resolutions(store: RunStore, run_id: str, resolutions: DataFrame) -> None:
+    """Take operators' decisions on quarantined rows into the ledger: a chosen
+    target becomes a create intent, the others are skipped. ``resolutions`` has the
+    row key, ``decision`` (TARGET or SKIP) and ``chosen_target``."""
+    queue = quarantine_queue(store.ledger(run_id), resolutions)
+    decided = queue.where("next_state <> 'QUARANTINED'")
+    store.append(
+        ledger_events(
+            decided.select(
+                "run_id",
+                "part",
+                "source_line",
+                F.lit("CLASSIFY").alias("kind"),
+                "source_hash",
+                "case_ref",
+                F.col("next_state").alias("state"),
+                F.col("next_target").alias("target_element"),
+                "reason_code",
+                "rule_ids",
+                F.lit(store.next_seq(run_id)).alias("seq"),
+            )
+        )
+    )
+
+
 def abort(store: RunStore, run_id: str, active: DataFrame) -> DataFrame:
     """The instances to cancel, or a halt once anything is released."""
     ledger = store.ledger(run_id)

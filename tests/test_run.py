@@ -7,7 +7,7 @@ from casegate.operators.integrity import expectation_diff, expectation_summary
 from casegate.operators.ledger import rows_in_state
 from casegate.plans import run as plans
 from casegate.plans.classify import dry_run, halt_on_expectation
-from casegate.sources import export, manifest
+from casegate.sources import export, manifest, rules
 from casegate.sources.expectations import scan_expectations
 from casegate.sources.tables import read_engine_snapshot
 from tests.samples import GOLDEN, HEADER
@@ -204,9 +204,34 @@ def test_a_run_nobody_started_is_open(spark, tmp_path):
 def test_restarting_keeps_the_first_run_row(spark, tmp_path):
     store = plans.RunStore(spark, str(tmp_path / "r"))
     p = dry_run(spark, *freeze(spark, tmp_path)).parameters
-    store.start(p)
+    store.start(p, "rules-1")
     store.close(RUN)
-    store.start(plans.RunParameters(RUN, p.freeze_date, 99, "other", 1))
+    store.start(plans.RunParameters(RUN, p.freeze_date, 99, "other", 1), "rules-2")
     row = store.run(RUN).first()
     assert (row["cutoff_months"], row["record_count"], row["creation_closed"]) == (6, 13, True)
+    assert row["rules_hash"] == "rules-1"
     assert store.run(RUN).select(F.col("started_at").isNotNull().alias("x")).first()["x"]
+
+
+def test_a_run_cannot_resume_under_another_rule_table(spark, tmp_path):
+    store, *_ = loaded(spark, tmp_path, OK)
+    source, frozen = str(tmp_path / "export.csv"), str(tmp_path / "manifest.csv")
+    other = dry_run(spark, source, frozen, rules.overlap_rules(spark))
+    with pytest.raises(manifest.RunHalted, match="another rule table"):
+        plans.load_intents(store, other)
+
+
+def test_quarantine_has_two_ways_out(spark, tmp_path):
+    store, *_ = loaded(spark, tmp_path, OK)
+    decisions = spark.createDataFrame(
+        [(RUN, 0, 10, "TARGET", "vision-assessment"), (RUN, 0, 9, "SKIP", None), (RUN, 0, 5, "SKIP", None)],
+        "run_id string, part int, source_line bigint, decision string, chosen_target string",
+    )
+    plans.record_resolutions(store, RUN, decisions)
+    rows = {r["source_line"]: r for r in store.ledger(RUN).collect()}
+    assert (rows[10]["state"], rows[10]["target_element"], rows[10]["reason_code"]) == (
+        "CREATE_PENDING", "vision-assessment", "UNMATCHED",
+    )
+    assert (rows[9]["state"], rows[11]["state"]) == ("SKIPPED", "QUARANTINED")
+    # Line 5 was never in quarantine: a decision on it changes nothing.
+    assert rows[5]["last_seq"] < rows[9]["last_seq"]
