@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casegate.llm import decontam, mixing
+from casegate.llm import ann, decontam, mixing, urlfilter, warc
 from casegate.llm.common import table
 
 QUERIES: dict = {}
@@ -64,3 +64,82 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of each document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op10_nearest")
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every vector whose id is divisible by 100."""
+    return ann.Index(table(spark, sf_dir, "embeddings"), k=10).search(F.col("vec_id") % 100 == 0)
+
+
+OP1_SQL = """
+WITH sized AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), tops AS (
+  SELECT hex, payload_bytes, max(page_id) AS top FROM sized GROUP BY ALL
+), coded AS (
+  SELECT page_id, payload_bytes, top, array_to_string([substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31)::INT, 1)
+    FOR i IN range(0, 32)], '') AS payload_digest
+  FROM sized JOIN tops USING (hex, payload_bytes)
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN top IS NULL OR page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN top IS NULL OR page_id IS NOT DISTINCT FROM top THEN NULL ELSE top END AS refers_to
+FROM coded
+"""
+
+
+@query("op1_warc", OP1_SQL)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records, written and read back along the chain of lengths."""
+    read = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# The captures' days and the lists' entries are bound to the pages: a capture's day
+# comes from its page_id, and domains that occur are listed and cleared on days that
+# come from the digits of their MD5.
+OP6_SQL = r"""
+WITH captures AS (
+  SELECT page_id, url, (DATE '2023-01-01' + ((page_id * 37) % 730)::INT)::DATE AS fetched,
+         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', ''), '') AS host
+  FROM pages
+), keys AS (
+  SELECT DISTINCT host, fetched, array_to_string(string_split(host, '.')[i:], '.') AS domain
+  FROM captures, unnest(range(1, len(string_split(host, '.')) + 1)) AS t(i)
+), drawn AS (
+  SELECT domain, ('0x' || substr(md5(domain), 1, 10))::BIGINT AS n FROM (SELECT DISTINCT domain FROM keys)
+), entries AS (
+  SELECT domain, (DATE '2023-01-01' + ((n // (97 * k)) % 730)::INT)::DATE AS day, bool_or((n // (7 * k)) % 2 = 1) AS listed
+  FROM drawn, unnest(range(1, 5)) AS t(k) WHERE n % 3 > 0 GROUP BY ALL
+), valid AS (
+  SELECT domain, listed, day AS valid_from, lead(day) OVER (PARTITION BY domain ORDER BY day) AS valid_to FROM entries
+), best AS (
+  SELECT host, fetched, arg_max(valid, length(domain)) AS e
+  FROM keys JOIN valid USING (domain) WHERE valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to) GROUP BY ALL
+)
+SELECT page_id, host, fetched,
+       CASE WHEN host IS NULL OR fetched IS NULL THEN 'invalid' WHEN e.listed THEN 'blocked'
+            WHEN NOT e.listed THEN 'allowed' ELSE 'unlisted' END AS verdict,
+       e.domain AS "domain", e.valid_from AS valid_from, e.valid_to AS valid_to
+FROM captures LEFT JOIN best USING (host, fetched)
+"""
+
+
+@query("op6_url_filter", OP6_SQL)
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the list entries valid on the day it was fetched."""
+    start = F.lit("2023-01-01").cast("date")
+    captures = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.date_add(start, (F.col("page_id") * 37 % 730).cast("int")).alias("fetched")
+    )
+    listed = captures.select(F.explode(urlfilter.domains(urlfilter.host(F.col("url")))).alias("domain")).distinct()
+    drawn = F.conv(F.substring(F.md5("domain"), 1, 10), 16, 10).cast("bigint")
+    entries = (
+        listed.select("domain", drawn.alias("n"), F.explode(F.array(*[F.lit(k) for k in range(1, 5)])).alias("k"))
+        .where("n % 3 > 0")
+        .select("domain", F.expr("date_add(date'2023-01-01', cast((n div (97 * k)) % 730 as int))").alias("day"), F.expr("(n div (7 * k)) % 2 = 1").alias("listed"))
+    )
+    return urlfilter.judge(captures, entries).drop("url")
