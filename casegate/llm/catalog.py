@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casegate.llm import ann, decontam, mixing, urlfilter, warc
-from casegate.llm.common import table
+from casegate.llm import ann, decontam, langid, mixing, toxicity, urlfilter, warc
+from casegate.llm.common import fold, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,20 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("domain", F.expr("date_add(date'2023-01-01', cast((n div (97 * k)) % 730 as int))").alias("day"), F.expr("(n div (7 * k)) % 2 = 1").alias("listed"))
     )
     return urlfilter.judge(captures, entries).drop("url")
+
+
+@query("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    learned = langid.fit(docs.where(fold(F.col("doc_id")) != 0))
+    return langid.predict(docs, learned).withColumn("held_out", fold(F.col("doc_id")) == 0)
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the documents that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = fold(F.col("doc_id")) != 0
+    models = toxicity.fit(docs.where(learned), labels.where(learned))
+    return toxicity.score(docs, models).withColumn("held_out", ~learned)
