@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from casegate.llm.common import blocks, offsets, word_codes, written
@@ -214,7 +215,7 @@ def matches(
     answers = []
     for k in range(passes):
         query = Query([tuple(r) for r in asked.filter(part == k).collect()], window)
-        answers.append(index.mapInPandas(_matcher(pickle.dumps(query), slop), MATCHES))
+        answers.append(index.mapInPandas(_matcher(cloudpickle.dumps(query), slop), MATCHES))
     if passes == 1:
         return answers[0]
     together = answers[0]
