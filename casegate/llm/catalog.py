@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casegate.llm import ann, decontam, langid, mixing, toxicity, urlfilter, warc
+from casegate.llm import ann, decontam, langid, mixing, tokens, toxicity, urlfilter, warc
 from casegate.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -160,3 +160,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = fold(F.col("doc_id")) != 0
     models = toxicity.fit(docs.where(learned), labels.where(learned))
     return toxicity.score(docs, models).withColumn("held_out", ~learned)
+
+
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary that the queries encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op8_tokens")
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as token ids, written to compressed shards and read back."""
+    read = tokens.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
@@ -11,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casegate.session import workspace
 
+T = TypeVar("T")
+
 # Characters of text a task holds as words at once.
 BLOCK_CHARS = 3_000_000
 
@@ -73,3 +78,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def offsets(counts: np.ndarray) -> np.ndarray:
     """Start of each run, and the end of the last."""
     return np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+
+
+def per_process(name: str, build: Callable[[], T]) -> T:
+    """What ``build`` makes, kept as long as the worker process lives."""
+    kept = sys.modules.setdefault("_casegate_kept", types.ModuleType("_casegate_kept")).__dict__
+    if name not in kept:
+        kept[name] = build()
+    return kept[name]
