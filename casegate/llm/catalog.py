@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casegate.llm import ann, decontam, langid, mixing, tokens, toxicity, urlfilter, warc
+from casegate.llm import ann, decontam, langid, mixing, neardup, tokens, toxicity, urlfilter, warc
 from casegate.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -174,3 +174,9 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token ids, written to compressed shards and read back."""
     read = tokens.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies, copies and links of 0.8 or more over five-word shingles."""
+    return neardup.join(table(spark, sf_dir, "documents")).drop("row_hash")
