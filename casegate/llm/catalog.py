@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casegate.llm import ann, decontam, langid, mixing, neardup, tokens, toxicity, urlfilter, warc
+from casegate.llm import ann, decontam, langid, mixing, neardup, quality, tokens, toxicity, urlfilter, warc
 from casegate.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -180,3 +180,9 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near copies, copies and links of 0.8 or more over five-word shingles."""
     return neardup.join(table(spark, sf_dir, "documents")).drop("row_hash")
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of trusted text, and whether it is kept."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_hash")
