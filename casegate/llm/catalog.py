@@ -179,7 +179,7 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_jaccard_join")
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near copies, copies and links of 0.8 or more over five-word shingles."""
-    return neardup.join(table(spark, sf_dir, "documents")).drop("row_hash")
+    return neardup.join(table(spark, sf_dir, "documents")).drop("row_hash", "class_key")
 
 
 @query("op2_quality")

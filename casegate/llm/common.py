@@ -10,7 +10,7 @@ from typing import TypeVar
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from casegate.session import workspace
 
@@ -86,3 +86,15 @@ def per_process(name: str, build: Callable[[], T]) -> T:
     if name not in kept:
         kept[name] = build()
     return kept[name]
+
+
+def only(docs: DataFrame, chosen: DataFrame, once: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose id and text stand in ``chosen`` (doc_id, row_hash of the
+    text), with the columns of ``docs``; rows that repeat stay ``once`` or each."""
+    nobody = F.lit(-(1 << 63))
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), nobody), "__hash": F.xxhash64("text")})
+    keys = chosen.select(F.coalesce("doc_id", nobody).alias("__id"), F.col("row_hash").alias("__hash"))
+    kept = keyed.join(keys, ["__id", "__hash"], "left_semi")
+    if once:
+        kept = kept.withColumn("__n", F.row_number().over(W.partitionBy("__id", "__hash").orderBy("__id"))).where("__n = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,8 +25,8 @@ from casegate.llm.common import blocks, offsets, word_codes, written
 # Words of a query set that go to all shards at once; a larger set makes several passes.
 QUERY_WORDS = 2_000_000
 
-INDEX = "shard string, doc_ids array<bigint>, n_words binary, words binary, counts binary, positions binary"
-MATCHES = "shard string, slot int, doc_id bigint, n_words bigint, n_hit bigint, hits binary, items array<string>"
+INDEX = "shard string, doc_ids array<bigint>, hashes array<bigint>, n_words binary, words binary, counts binary, positions binary"
+MATCHES = "shard string, slot int, doc_id bigint, row_hash bigint, n_words bigint, n_hit bigint, hits binary, items array<string>"
 
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -58,6 +58,7 @@ def _index_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 {
                     "shard": [f"{task}/{n}"],
                     "doc_ids": [[None if pd.isna(i) else int(i) for i in batch["doc_id"].iloc[run]]],
+                    "hashes": [batch["row_hash"].iloc[run].tolist()],
                     "n_words": [lengths.tobytes()],
                     "words": [pack(b" ".join(distinct))],
                     "counts": [pack(np.bincount(codes, minlength=len(distinct)).astype(np.int32).tobytes())],
@@ -70,8 +71,8 @@ def _index_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def build_index(docs: DataFrame) -> DataFrame:
     """Positional index over all words of all texts (doc_id, text), written to the
     shared folder. One row per shard; null texts are documents without words."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(_index_rows, INDEX)
-    return written(rows, "positions")
+    source = docs.select(F.col("doc_id").cast("bigint"), F.col("text"), F.xxhash64("text").alias("row_hash"))
+    return written(source.mapInPandas(_index_rows, INDEX), "positions")
 
 
 class Shard:
@@ -167,6 +168,7 @@ def _matcher(query: bytes, slop: int | None):
                         "shard": [row["shard"]] * n,
                         "slot": np.arange(n, dtype=np.int32),
                         "doc_id": pd.array(row["doc_ids"], dtype="Int64"),
+                        "row_hash": np.array(row["hashes"], dtype=np.int64),
                         "n_words": shard.n_words.astype(np.int64),
                         "n_hit": np.array([h.sum() for h in hits], dtype=np.int64),
                         "hits": [np.packbits(h).tobytes() for h in hits],
@@ -196,7 +198,8 @@ def matches(
     slop: int | None = None,
     query_words: int = QUERY_WORDS,
 ) -> DataFrame:
-    """Every document with the words that items hit in it.
+    """Every document with the words that items hit in it: shard and slot (its place in
+    the index), doc_id, row_hash (of the text), n_words, n_hit, hits, items.
 
     ``items`` (item_id, text) is the query set. Its phrases are all runs of
     ``window`` words; a shorter item is one phrase, one without words none. Without

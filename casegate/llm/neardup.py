@@ -235,12 +235,12 @@ def join(
 ) -> DataFrame:
     """Links between the documents of ``docs`` (doc_id, text): one row per document.
 
-    Returns doc_id, row_hash (of the text), class_id, copy_id, copies, links,
+    Returns doc_id, row_hash (of the text), class_key, class_id, copy_id, copies, links,
     linked_docs. ``copy_id`` is the smallest doc_id among documents with the same set
     of shingles and ``copies`` their number; ``links`` counts the other sets that
     overlap by ``threshold`` or more, ``linked_docs`` the documents that have them;
     ``class_id`` is the smallest doc_id among all documents that copies and links
-    connect. Null and empty texts have no shingles: they are copies of each other and
+    connect (null if none has an id) and ``class_key`` a number that only they have. Null and empty texts have no shingles: they are copies of each other and
     link to nothing. Rows that repeat count each. Of pairs at the threshold the bands
     miss one in twenty million, and pruning drops those whose chance to reach it is
     below ``tolerance``; what is linked is exact.
@@ -342,6 +342,7 @@ def join(
     firsts = named.where("component is not null").groupBy("component").agg(F.min("copy_id").alias("first"))
     final = named.join(firsts, "component", "left").select(
         "key",
+        F.coalesce("component", "kid").alias("class_key"),
         F.coalesce("first", "copy_id").alias("class_id"),
         "copy_id",
         "copies",
