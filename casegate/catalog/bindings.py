@@ -1,7 +1,6 @@
 """The benchmark tables seen as case records.
 
-Orders are cases, their returned or accepted lineitems are attempts, customers
-are applicants. Defects that the rules must find are planted by key. The same
+Orders are cases, their lineitems are attempts, customers are applicants. Defects that the rules must find are planted by key. The same
 binding is written as SQL in ``oracle``.
 """
 
@@ -10,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casegate.functions.text import blank_to_null, line_hash
 from casegate.functions.values import cutoff_boundary
@@ -33,19 +32,18 @@ PROCESS_ID = "permit-process"
 FREEZE_DATE = "2001-09-15"
 CUTOFF_MONTHS = 36
 LOAD_SEQ = 10
-# Records per export part: bounds the size of every text file.
-PART_ROWS = 1_000_000
+# Records per export part: bounds the size of every text file, and is small enough
+# that the test sizes have several parts.
+PART_ROWS = 5_000
 # Records per landed file.
 FILE_ROWS = 2_000_000
 PRIOR_KEY = 1_000_000_000_000_000
 NEW_KEY = 2_000_000_000_000_000
 ORPHAN_KEY = 9_000_000_000_000_000
 
-HEADER = (
-    "CASE_REF,ISN,APPLICANT_USER_ID,APPLICANT_NAME,PERMIT_CATEGORY,FEE_AMOUNT,LAST_UPDATED,FEE_PAID,"
-    "VT_1_DATE,VT_1_RESULT,VT_2_DATE,VT_2_RESULT,VT_3_DATE,VT_3_RESULT,"
-    "RESTR_1,RESTR_2,RESTR_3,ISSUED,EXPIRED,DATE_COMPLETED"
-)
+# The export's columns around the numbered attempts.
+HEADER_START = "CASE_REF,ISN,APPLICANT_USER_ID,APPLICANT_NAME,PERMIT_CATEGORY,FEE_AMOUNT,LAST_UPDATED,FEE_PAID"
+HEADER_END = "RESTR_1,RESTR_2,RESTR_3,ISSUED,EXPIRED,DATE_COMPLETED"
 
 ATTEMPT_ORDER = [
     "l_shipdate",
@@ -60,6 +58,7 @@ ATTEMPT_ORDER = [
 ]
 
 _written: dict[tuple[str, str, str], str] = {}
+_attempts: dict[tuple[str, str], int] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,31 +92,35 @@ def day(value: Column) -> Column:
 
 
 def long_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every attempt in long form, with one sortable position per order."""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag in ('A', 'R')")
-    return lines.select(
+    """Every attempt in long form, with one sortable position per order. Accepted
+    lines are passes, all others failures."""
+    return table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         *ATTEMPT_ORDER,
         F.when(F.col("l_returnflag") == "A", "PASS").otherwise("FAIL").alias("result"),
     )
 
 
+def n_attempts(spark: SparkSession, sf_dir: str) -> int:
+    """The most attempts of an order: the export has as many pairs of columns."""
+    app = spark.sparkContext.applicationId
+    if (app, sf_dir) not in _attempts:
+        counts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").count()
+        _attempts[app, sf_dir] = counts.agg(F.max("count")).first()[0] or 0
+    return _attempts[app, sf_dir]
+
+
+def header(spark: SparkSession, sf_dir: str) -> str:
+    """The export's header line, as wide as its data."""
+    pairs = [f"VT_{n}_DATE,VT_{n}_RESULT" for n in range(1, n_attempts(spark, sf_dir) + 1)]
+    return ",".join([HEADER_START, *pairs, HEADER_END])
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three attempts of each order, side by side. The rank filter is
-    pushed below the shuffle, so an order with very many lines sends three."""
-    window = Window.partitionBy("l_orderkey").orderBy(*ATTEMPT_ORDER)
-    first = (
-        long_attempts(spark, sf_dir)
-        .withColumn("n", F.row_number().over(window))
-        .where("n <= 3")
-        .select("l_orderkey", "n", day(F.col("l_shipdate")).alias("date"), "result")
-    )
-    slots = []
-    for n in (1, 2, 3):
-        at = F.col("n") == n
-        slots.append(F.max(F.when(at, F.col("date"))).alias(f"vt_{n}_date"))
-        slots.append(F.max(F.when(at, F.col("result"))).alias(f"vt_{n}_result"))
-    return first.groupBy("l_orderkey").agg(*slots)
+    """All attempts of each order as one ordered array."""
+    columns = [*ATTEMPT_ORDER, "result"]
+    one = F.struct(*columns)
+    return long_attempts(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("attempts"))
 
 
 def wide_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,15 +134,13 @@ def wide_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = orders.join(attempts(spark, sf_dir), k == F.col("l_orderkey"), "left").join(
         customer, F.col("o_custkey") == F.col("c_custkey"), "left"
     )
-    tried = F.col("l_orderkey").isNotNull()
-
-    def result(n: int) -> Column:
-        value = F.col(f"vt_{n}_result")
-        return F.when(value.isNotNull() & every(k, 107), "MAYBE").otherwise(
-            F.coalesce(value, blank)
-        )
+    def pair(n: Column) -> Column:
+        one = F.get(F.col("attempts"), n - 1)
+        date = F.when((n == 1) & every(k, 113), "").otherwise(day(one["l_shipdate"]))
+        result = F.when(every(k, 107), "MAYBE").otherwise(one["result"])
+        return F.when(one.isNull(), ",").otherwise(F.concat(date, F.lit(","), result))
 
-    first_date = F.when(tried & every(k, 113), "").otherwise(F.coalesce("vt_1_date", blank))
+    slots = F.sequence(F.lit(1), F.lit(n_attempts(spark, sf_dir)))
     fields = {
         "case_ref": F.when(every(k, 97), "")
         .when(every(k, 211, 1), F.concat(F.lit("LP-"), (k - 1).cast("string")))
@@ -165,12 +166,7 @@ def wide_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderpriority") == "3-MEDIUM", "FALSE")
         .when(F.col("o_orderpriority") == "5-LOW", "N")
         .otherwise(""),
-        "vt_1_date": first_date,
-        "vt_1_result": result(1),
-        "vt_2_date": F.coalesce("vt_2_date", blank),
-        "vt_2_result": result(2),
-        "vt_3_date": F.coalesce("vt_3_date", blank),
-        "vt_3_result": result(3),
+        "attempts": F.array_join(F.transform(slots, pair), ","),
         "restr_1": F.when(every(k, 4), "B").otherwise(""),
         "restr_2": blank,
         "restr_3": F.when(every(k, 6), "G").otherwise(""),
@@ -218,7 +214,7 @@ def case_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source records, parsed from the landed lines."""
-    return source_records(case_lines(spark, sf_dir), HEADER)
+    return source_records(case_lines(spark, sf_dir), header(spark, sf_dir))
 
 
 def classified(
@@ -242,10 +238,10 @@ def export_path(spark: SparkSession, sf_dir: str) -> str:
         lines = case_lines(spark, sf_dir)
         orders = table(spark, sf_dir, "orders")
         parts = orders.select(F.floor(F.col("o_orderkey") / PART_ROWS).cast("int").alias("part"))
-        header = parts.distinct().select(
-            "part", F.lit(1).cast("bigint").alias("source_line"), F.lit(HEADER).alias("raw")
+        first = parts.distinct().select(
+            "part", F.lit(1).cast("bigint").alias("source_line"), F.lit(header(spark, sf_dir)).alias("raw")
         )
-        write_parts(lines.unionByName(header), path)
+        write_parts(lines.unionByName(first), path)
 
     return written(spark, sf_dir, "export", write)
 
@@ -254,7 +250,7 @@ def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "orders").select(
         F.floor(F.col("o_orderkey") / PART_ROWS).cast("int").alias("part")
     )
-    return parts.distinct().withColumn("header_hash", line_hash(F.lit(HEADER)))
+    return parts.distinct().withColumn("header_hash", line_hash(F.lit(header(spark, sf_dir))))
 
 
 def manifest_path(spark: SparkSession, sf_dir: str) -> str:

@@ -11,7 +11,7 @@ from casegate.functions import text, values
 from casegate.operators import decide, normalise, validate
 from casegate.sources import expectations, export, manifest, rules
 
-HEADER_SQL = f"'{b.HEADER}'"
+HEADER_SQL = o.HEADER_SQL
 HEADER_HASH_SQL = f"'sha256:' || sha256({HEADER_SQL})"
 PARTS_SQL = f"SELECT DISTINCT CAST(o_orderkey // {b.PART_ROWS} AS INT) AS part FROM orders"
 
@@ -197,7 +197,7 @@ def source_identity(spark, sf):
     "nest_occurrences",
     f"{o.WITH_CASES} SELECT part, source_line, n AS occurrence, d AS date, r AS result FROM ("
     + " UNION ALL ".join(
-        f"SELECT part, source_line, {n} AS n, vt_{n}_date AS d, vt_{n}_result AS r FROM rec" for n in (1, 2, 3)
+        f"SELECT part, source_line, {n} AS n, vt_{n}_date AS d, vt_{n}_result AS r FROM rec" for n in o.SLOTS
     )
     + ") WHERE d <> '' OR r <> ''",
 )
@@ -439,14 +439,17 @@ def rule_duplicate_key(spark, sf):
 
 @query(
     "rule_truncated_group",
-    f"{o.WITH_CASES}, totals AS (SELECT l_orderkey, count(*) AS declared FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1) "
+    f"{o.WITH_CASES}, totals AS (SELECT l_orderkey, count(*) + CAST(l_orderkey % 37 = 0 AS INT) AS declared FROM lineitem GROUP BY 1) "
     "SELECT part, source_line, declared, n AS n_arrived FROM (SELECT part, source_line, declared, "
-    + " + ".join(f"CAST((vt_{n}_date <> '' OR vt_{n}_result <> '') AS INT)" for n in (1, 2, 3))
+    + " + ".join(f"CAST((vt_{n}_date <> '' OR vt_{n}_result <> '') AS INT)" for n in o.SLOTS)
     + " AS n FROM rec JOIN totals ON k = l_orderkey) WHERE declared > n",
 )
 def rule_truncated_group(spark, sf):
-    """The independent count is the number of attempts the source table holds."""
-    totals = b.long_attempts(spark, sf).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("total"))
+    """The independent count is the number of attempts the source table holds, and
+    one more for the cases planted to have lost one."""
+    lost = b.every(F.col("l_orderkey"), 37).cast("int")
+    totals = b.long_attempts(spark, sf).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    totals = totals.select("l_orderkey", (F.col("n") + lost).alias("total"))
     counted = b.cases(spark, sf).withColumn("k", b.order_key())
     joined = counted.join(totals, F.col("k") == F.col("l_orderkey"), "left")
     return validate.truncated_groups(joined, F.col("total")).select(

@@ -7,7 +7,8 @@ from casegate.catalog.bindings import (
     ATTEMPT_ORDER,
     CUTOFF_MONTHS,
     FREEZE_DATE,
-    HEADER,
+    HEADER_END,
+    HEADER_START,
     NEW_KEY,
     ORPHAN_KEY,
     PART_ROWS,
@@ -18,7 +19,15 @@ from casegate.operators.decide import TARGET_CONTRACT
 from casegate.operators.ledger import ALLOWED_EDGES, STATE_BUCKETS
 from casegate.sources.rules import BASELINE_RULES, OVERLAP_RULES
 
-FIELDS = [name.lower() for name in HEADER.split(",")]
+# Attempts the SQL can hold; the columns that are written follow the data.
+SLOTS = range(1, 25)
+_before = [name.lower() for name in HEADER_START.split(",")]
+_after = [name.lower() for name in HEADER_END.split(",")]
+_width = "(SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey))"
+HEADER_SQL = (
+    f"'{HEADER_START},' || array_to_string(['VT_' || i || '_DATE,VT_' || i || '_RESULT' "
+    f"FOR i IN range(1, {_width} + 1)], ',') || ',{HEADER_END}'"
+)
 BOUNDARY = f"CAST(DATE '{FREEZE_DATE}' - INTERVAL {CUTOFF_MONTHS} MONTH AS DATE)"
 
 
@@ -62,7 +71,7 @@ def rules_values(rules: list[tuple]) -> str:
 
 _attempt_order = ", ".join(ATTEMPT_ORDER)
 _slots = ", ".join(
-    f"max(CASE WHEN n={n} THEN d END) AS d{n}, max(CASE WHEN n={n} THEN r END) AS r{n}" for n in (1, 2, 3)
+    f"max(CASE WHEN n={n} THEN d END) AS d{n}, max(CASE WHEN n={n} THEN r END) AS r{n}" for n in SLOTS
 )
 
 
@@ -70,16 +79,26 @@ def _result(n: int) -> str:
     return f"CASE WHEN r{n} IS NOT NULL AND k % 107 = 0 THEN 'MAYBE' ELSE coalesce(r{n}, '') END AS vt_{n}_result"
 
 
+def _date(n: int) -> str:
+    first = "l_orderkey IS NOT NULL AND k % 113 = 0" if n == 1 else "false"
+    return f"CASE WHEN {first} THEN '' ELSE coalesce(d{n}, '') END AS vt_{n}_date"
+
+
+_pairs = ", ".join(f"vt_{n}_date || ',' || vt_{n}_result" for n in SLOTS)
+_raw = (
+    f"concat_ws(',', {', '.join(_before)}, array_to_string(list_slice([{_pairs}], 1, {_width}), ','), {', '.join(_after)})"
+)
+
 # Cases as text fields, with the raw line and its hash.
 CASES = f"""
 long_attempts AS (
   SELECT *, CASE WHEN l_returnflag = 'A' THEN 'PASS' ELSE 'FAIL' END AS result,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY {_attempt_order}) AS n
-  FROM lineitem WHERE l_returnflag IN ('A', 'R')),
+  FROM lineitem),
 att AS (
   SELECT l_orderkey, {_slots}
   FROM (SELECT l_orderkey, n, strftime(l_shipdate, '%Y-%m-%d') AS d, result AS r
-        FROM long_attempts WHERE n <= 3)
+        FROM long_attempts)
   GROUP BY l_orderkey),
 src AS (
   SELECT o_orderkey AS k, o.*, a.*, c.*, strftime(o_orderdate, '%Y-%m-%d') AS od
@@ -96,9 +115,7 @@ wide AS (
     CASE WHEN k % 101 = 0 THEN 'SORT OF' WHEN o_orderpriority = '1-URGENT' THEN 'TRUE'
       WHEN o_orderpriority = '2-HIGH' THEN 'Y' WHEN o_orderpriority = '3-MEDIUM' THEN 'FALSE'
       WHEN o_orderpriority = '5-LOW' THEN 'N' ELSE '' END AS fee_paid,
-    CASE WHEN l_orderkey IS NOT NULL AND k % 113 = 0 THEN '' ELSE coalesce(d1, '') END AS vt_1_date, {_result(1)},
-    coalesce(d2, '') AS vt_2_date, {_result(2)},
-    coalesce(d3, '') AS vt_3_date, {_result(3)},
+    {', '.join(_date(n) + ', ' + _result(n) for n in SLOTS)},
     CASE WHEN k % 4 = 0 THEN 'B' ELSE '' END AS restr_1, '' AS restr_2,
     CASE WHEN k % 6 = 0 THEN 'G' ELSE '' END AS restr_3,
     CASE WHEN o_orderstatus = 'F' THEN CASE WHEN k % 109 = 0 THEN 'not-a-date' ELSE od END ELSE '' END AS issued,
@@ -108,16 +125,16 @@ wide AS (
   FROM src),
 rec AS (
   SELECT *, 'sha256:' || sha256(raw) AS source_hash
-  FROM (SELECT *, concat_ws(',', {', '.join(FIELDS)}) AS raw FROM wide))"""
+  FROM (SELECT *, {_raw} AS raw FROM wide))"""
 
-_present = {n: f"(vt_{n}_date <> '' OR vt_{n}_result <> '')" for n in (1, 2, 3)}
+_present = {n: f"(vt_{n}_date <> '' OR vt_{n}_result <> '')" for n in SLOTS}
 
 BAD_OCCURRENCE = (
     "coalesce("
     + ", ".join(
         f"CASE WHEN {_present[n]} AND upper(vt_{n}_result) NOT IN ('PASS', 'FAIL') THEN 'ATTEMPT_RESULT:{n}:' || vt_{n}_result "
         f"WHEN {_present[n]} AND ({day(f'vt_{n}_date')}) IS NULL THEN 'ATTEMPT_DATE:{n}:' || vt_{n}_date END"
-        for n in (1, 2, 3)
+        for n in SLOTS
     )
     + ")"
 )
@@ -140,12 +157,12 @@ RULE_SQL = {
 }
 
 _marks = ", ".join(
-    f"CASE WHEN ({day(f'vt_{n}_date')}) IS NOT NULL THEN vt_{n}_date || '{n}' || upper(vt_{n}_result) END"
-    for n in (1, 2, 3)
+    f"CASE WHEN ({day(f'vt_{n}_date')}) IS NOT NULL THEN vt_{n}_date || '{n:02d}' || upper(vt_{n}_result) END"
+    for n in SLOTS
 )
 COLLAPSE_SQL = {
-    "latest": f"coalesce(substr(greatest({_marks}), 12), 'NONE')",
-    "first": f"coalesce(substr(least({_marks}), 12), 'NONE')",
+    "latest": f"coalesce(substr(greatest({_marks}), 13), 'NONE')",
+    "first": f"coalesce(substr(least({_marks}), 13), 'NONE')",
     "any_pass": f"CASE WHEN contains(concat({_marks}), 'PASS') THEN 'PASS' "
     f"WHEN coalesce({_marks}) IS NOT NULL THEN 'FAIL' ELSE 'NONE' END",
 }

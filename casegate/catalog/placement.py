@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from casegate.catalog import bindings as b
 from casegate.catalog import intake
@@ -191,7 +191,7 @@ def collapse_latest(spark, sf):
     f"{o.WITH_CASES} SELECT part, source_line, "
     + ", ".join(f"{sql} AS {name}" for name, sql in o.COLLAPSE_SQL.items())
     + ", "
-    + " + ".join(f"CAST((vt_{n}_date <> '' OR vt_{n}_result <> '') AS INT)" for n in (1, 2, 3))
+    + " + ".join(f"CAST((vt_{n}_date <> '' OR vt_{n}_result <> '') AS INT)" for n in o.SLOTS)
     + " AS n_attempts FROM rec",
 )
 def collapse_policies(spark, sf):
@@ -254,10 +254,14 @@ def unmatched_combinations(spark, sf):
     return report.unmatched_combinations(report.patterns(b.classified(spark, sf)))
 
 
-@query("top_unmatched", f"{_unmatched_sql} ORDER BY n DESC, combination LIMIT 1")
+@query(
+    "top_unmatched",
+    f"SELECT *, CAST(row_number() OVER (ORDER BY n DESC, combination) AS INT) AS place FROM ({_unmatched_sql})",
+)
 def top_unmatched(spark, sf):
-    """The most frequent gap of the rule table."""
-    return report.unmatched_combinations(report.patterns(b.classified(spark, sf))).limit(1)
+    """All gaps of the rule table, the most frequent first. The table has 96 cells at most."""
+    gaps = report.unmatched_combinations(report.patterns(b.classified(spark, sf)))
+    return gaps.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "combination")))
 
 
 @query(
@@ -333,7 +337,7 @@ _profile = {
     f"{o.WITH_CASES}, flagged AS (SELECT "
     + ", ".join(f"{e} AS {n}" for n, e in _profile.items())
     + " FROM (SELECT *, "
-    + " + ".join(f"CAST((vt_{n}_date <> '' OR vt_{n}_result <> '') AS INT)" for n in (1, 2, 3))
+    + " + ".join(f"CAST((vt_{n}_date <> '' OR vt_{n}_result <> '') AS INT)" for n in o.SLOTS)
     + " AS n_att FROM rec)) SELECT "
     + ", ".join(f"coalesce({n}, '*') AS {n}" for n in _profile)
     + f", count(*) AS n FROM flagged GROUP BY CUBE ({', '.join(_profile)})",
@@ -468,7 +472,7 @@ def canonical_equal(spark, sf):
 )
 def manifest_build(spark, sf):
     numbered = export.number_lines(export.read_lines(spark, b.export_path(spark, sf)))
-    records = export.source_records(numbered, b.HEADER)
+    records = export.source_records(numbered, b.header(spark, sf))
     lines = manifest.build_manifest_lines(
         records, export.header_hashes(numbered), b.RUN_ID, b.FREEZE_DATE, b.CUTOFF_MONTHS
     )

@@ -45,7 +45,7 @@ def stream_classify(spark, sf):
     lines = _lines(spark, sf)
     path = _run(
         spark, sf, "stream-classify",
-        lambda path, check: jobs.stream_classify(lines, b.HEADER, b.boundary(), path, check),
+        lambda path, check: jobs.stream_classify(lines, b.header(spark, sf), b.boundary(), path, check),
     )
     return spark.read.parquet(path).select(
         "part", "source_line", "source_hash", "outcome", "target_element", "reason_code"
@@ -149,7 +149,7 @@ def stream_intent_first(spark, sf):
     lines = _lines(spark, sf)
     path = _run(
         spark, sf, "stream-intent",
-        lambda path, check: jobs.stream_intent_first(lines, b.HEADER, b.boundary(), b.RUN_ID, path, check),
+        lambda path, check: jobs.stream_intent_first(lines, b.header(spark, sf), b.boundary(), b.RUN_ID, path, check),
     )
     intents = spark.read.parquet(f"{path}/intents").groupBy("part", "source_line").agg(
         F.count(F.lit(1)).alias("n_intents")

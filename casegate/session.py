@@ -8,6 +8,7 @@ import functools
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -68,6 +69,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """Write a small table to the workspace and read it back: computed once, and
+    never taken from what an earlier frame left in memory."""
+    path = f"{workspace(df.sparkSession)}/kept/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns through a one-row generator instead of a projection.
 

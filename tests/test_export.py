@@ -33,6 +33,22 @@ def test_numbering_over_many_splits_of_one_file(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_numbers_outlast_other_splits_and_rewritten_files(spark, tmp_path):
+    path = write(tmp_path, "one.txt", "".join(f"line-{i}\n" for i in range(1, 20_002)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    numbered = export.number_lines(export.read_lines(spark, path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    write(tmp_path, "one.txt", "".join(f"other-{i}\n" for i in range(1, 9_001)))
+    try:
+        wanted = F.regexp_extract("raw", r"line-(\d+)$", 1).cast("bigint")
+        assert numbered.where(F.col("source_line") == wanted).count() == 20_001
+        again = export.number_lines(export.read_lines(spark, path))
+        wanted = F.regexp_extract("raw", r"other-(\d+)$", 1).cast("bigint")
+        assert again.where(F.col("source_line") == wanted).count() == again.count() == 9_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_numbering_does_not_shuffle_the_lines(spark, tmp_path):
     path = write(tmp_path, "a.txt", "H\nA\nB\n")
     plan = export.number_lines(export.read_lines(spark, path))._jdf.queryExecution().executedPlan().toString()
