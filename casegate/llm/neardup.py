@@ -34,6 +34,8 @@ SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-4
 BANDS, ROWS, STEP = 32, 4, 16
 # Classes of a block.
 BLOCK = 1024
+# Rows, at most, of the filter that goes to all tasks before texts are read again.
+FILTER_SLOTS = 1 << 20
 _STEPS = np.random.default_rng(20).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -314,10 +316,13 @@ def join(
                 yield part[same].assign(shingles=[s.tobytes() for s, x in zip(sets, same, strict=True) if x]).drop(columns="key")
 
     nobody = F.lit(-(1 << 63))
-    texts = source.select(F.coalesce("doc_id", nobody).alias("id"), "text")
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_SLOTS)).alias("slot")
     wanted = asked.select(F.coalesce("copy_id", nobody).alias("id"), "kid", "key", "component", "size", "copies")
+    # A filter of fixed size keeps most texts that nobody asks for out of the shuffle.
+    slots = F.broadcast(wanted.select(slot).distinct())
+    texts = source.select(F.coalesce("doc_id", nobody).alias("id"), "text").withColumn("slot", slot).join(slots, "slot", "left_semi").drop("slot")
     exact = (
-        texts.join(wanted, "id")
+        texts.join(wanted.hint("merge"), "id")
         .drop("id")
         .mapInPandas(reshingle, "kid bigint, component bigint, size bigint, copies bigint, shingles binary")
     )
