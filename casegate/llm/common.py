@@ -25,10 +25,10 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{workspace(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut lineage: write the rows to the shared folder and read them back."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -19,6 +19,7 @@ of its language that the model has not seen.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casegate.llm.common import blocks, fold, offsets, word_codes, written
 
 VOCABULARY = 60_000
-# Bits of a word number in the number of a run.
-BITS = 17
+# Bits of a word number in the number of a run, and where weights note its length.
+BITS, LENGTH_BIT = 17, 58
 # Word numbers before the vocabulary: start, end, unknown of letters, digits, others.
 START, END, UNKNOWN, SPECIAL = 0, 1, 2, 5
 # Nats that each byte of an unknown word costs besides its kind, up to so many bytes.
 SPELLING, SPELLED = 2.0, 12
 # Runs whose weights go to all tasks, and runs of the model per shard.
-HOT_RUNS, SHARD_RUNS = 65_536, 1_000_000
+HOT_RUNS, SHARD_RUNS = 262_144, 1_000_000
+# Rows, at most, of the filter that goes to all tasks before trusted texts are joined.
+FILTER_SLOTS = 1 << 20
 # A document's score counts so many words of an average one besides its own.
 PRIOR_WORDS = 20
 _SHARD_PRIME = 1_000_003
@@ -149,9 +152,8 @@ class Model:
             shorter = tables[k + 1].groupBy(suffix(k + 1).alias("run")).agg(F.count("*").alias("n"))
             tables[k] = written(shorter, "runs") if k > 1 else shorter
         self._single(tables[1].toPandas(), size)  # at most as many rows as the vocabulary
-        weights = self._longer(tables, size)
-        self.weights = written(weights, "weights")
-        self.n_runs = self.weights.count()
+        self.weights = self._longer(tables, size)  # computed again where it is used: cheaper than kept
+        self.n_runs = tables[order].count()
 
     @staticmethod
     def discounts(n: list[int]) -> list[float]:
@@ -206,9 +208,10 @@ class Model:
                     (F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("total") + F.col("back") * F.col("p_tail")).alias("p"),
                 )
             )
-            gain = rows.select("run", "n", (F.log("p") - F.log("back") - F.log("p_tail")).alias("weight"))
+            tag = lambda run, size: run + (size - 2 << LENGTH_BIT)
+            gain = rows.select(tag(F.col("run"), k).alias("run"), "n", (F.log("p") - F.log("back") - F.log("p_tail")).alias("weight"))
             if k > 2:  # contexts of the longest runs are runs themselves
-                backs = heads.select(F.col("head").alias("run"), F.lit(0).cast("bigint").alias("n"), F.log(F.greatest("back", F.lit(1e-12))).alias("weight"))
+                backs = heads.select(tag(F.col("head"), k - 1).alias("run"), F.lit(0).cast("bigint").alias("n"), F.log(F.greatest("back", F.lit(1e-12))).alias("weight"))
                 out = out.unionByName(gain).unionByName(backs).groupBy("run").agg(F.max("n").alias("n"), F.sum("weight").alias("weight"))
             else:
                 out = gain
@@ -228,8 +231,9 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = [pd.concat(held).groupby(level=0, sort=False).sum()]
     if held:
         total = pd.concat(held).groupby(level=0, sort=False).sum()
-        words = [w.decode("utf-8", "replace") for w in total.index]
-        yield pd.DataFrame({"word": words, "n": total.to_numpy()})
+        if len(total):
+            words = [w.decode("utf-8", "replace") for w in total.index]
+            yield pd.DataFrame({"word": words, "n": total.to_numpy()})
 
 
 MESSAGES = "shard int, block string, n_docs int, runs binary, sizes binary, owners binary, doc_ids array<bigint>, hashes array<bigint>, base binary, words binary"
@@ -256,7 +260,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
         first = model.weights.where(F.col("run") == START).first()
         starts = first["weight"] if first else 0.0
     spark = docs.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.n_runs // SHARD_RUNS))
+    shards = max(spark.sparkContext.defaultParallelism, -(-model.n_runs // SHARD_RUNS))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -274,6 +278,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
                 before = numbers[np.flatnonzero(np.arange(len(numbers)) - np.repeat(edges[:-1], np.diff(edges)) >= order - 1) - 1]
                 base += np.bincount(owner, log_back[before], n)
                 parts = [runs_of(numbers, edges, order, k) for k in range(2, order + 1)]
+                parts = [(r + (k << LENGTH_BIT), d) for k, (r, d) in enumerate(parts)]
                 run = np.concatenate([r for r, _ in parts])
                 doc = np.concatenate([d for _, d in parts])
                 if len(hot_runs):
@@ -295,7 +300,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
                     )
                 ids = [None if pd.isna(i) else int(i) for i in batch["doc_id"].iloc[part]]
                 sizes = np.array([len(t) for t in texts], dtype=np.int64)
-                out.append((-1, name, n, None, None, None, ids, batch["row_hash"].iloc[part].tolist(), base.tobytes(), sizes.tobytes()))
+                out.append((zlib.crc32(name.encode()) % shards, name, n, None, None, None, ids, batch["row_hash"].iloc[part].tolist(), base.tobytes(), sizes.tobytes()))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in MESSAGES.split(", ")])
 
     def answer(key: tuple, sent: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -303,41 +308,36 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
         runs, weights = held["run"].to_numpy(np.int64), held["weight"].to_numpy(np.float64)
         out = []
         for m in sent.itertuples():
+            if m.runs is None:
+                out.append((m.block, None, m.doc_ids, m.hashes, m.base, m.words))
+                continue
             asked = np.cumsum(_unpack(m.runs, "<i8"))
             gain = np.zeros(len(asked))
             if len(runs):
                 at = np.minimum(np.searchsorted(runs, asked), len(runs) - 1)
                 gain = np.where(runs[at] == asked, weights[at], 0.0)
             sums = np.bincount(_unpack(m.owners, "<u4"), np.repeat(gain, _unpack(m.sizes, "<u4")), m.n_docs)
-            out.append((m.block, sums.tobytes()))
-        return pd.DataFrame(out, columns=["block", "sums"])
-
-    def settle(key: tuple, heads: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for h in heads.itertuples():
-            total = np.frombuffer(h.base).copy()
-            for s in sums["sums"]:
-                total += np.frombuffer(s)
-            sizes = np.frombuffer(h.words, dtype=np.int64)
-            out.append(
-                pd.DataFrame(
-                    {"doc_id": pd.array(list(h.doc_ids), dtype="Int64"), "row_hash": h.hashes, "n_words": sizes, "nll": np.where(sizes > 0, -total, 0.0)}
-                )
-            )
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "row_hash": [], "n_words": [], "nll": []})
+            out.append((m.block, sums.tobytes(), None, None, None, None))
+        return pd.DataFrame(out, columns=["block", "sums", "doc_ids", "hashes", "base", "words"], dtype=object)
+
+    def settle(parts: pd.DataFrame) -> pd.DataFrame:
+        head = parts[parts["base"].notna()].iloc[0]
+        total = np.frombuffer(head["base"]).copy()
+        for s in parts["sums"].dropna():
+            total += np.frombuffer(s)
+        sizes = np.frombuffer(head["words"], dtype=np.int64)
+        ids = pd.array([None if pd.isna(i) else int(i) for i in head["doc_ids"]], dtype="Int64")
+        return pd.DataFrame({"doc_id": ids, "row_hash": head["hashes"], "n_words": sizes, "nll": np.where(sizes > 0, -total, 0.0)})
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("row_hash"))
-    messages = written(source.mapInPandas(send, MESSAGES), "messages")
     sharded = model.weights.select("run", "weight", ((F.col("run") % _SHARD_PRIME) % shards).cast("int").alias("shard"))
-    sums = (
-        messages.where("shard >= 0")
-        .select("shard", "block", "n_docs", "runs", "sizes", "owners")
+    answers = (
+        source.mapInPandas(send, MESSAGES)
         .groupBy("shard")
         .cogroup(sharded.groupBy("shard"))
-        .applyInPandas(answer, "block string, sums binary")
+        .applyInPandas(answer, "block string, sums binary, doc_ids array<bigint>, hashes array<bigint>, base binary, words binary")
     )
-    heads = messages.where("shard < 0").select("block", "doc_ids", "hashes", "base", "words")
-    return heads.groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(settle, "doc_id bigint, row_hash bigint, n_words bigint, nll double")
+    return answers.groupBy("block").applyInPandas(settle, "doc_id bigint, row_hash bigint, n_words bigint, nll double")
 
 
 def judge(
@@ -360,8 +360,13 @@ def judge(
     kept. Without trusted documents everything with words is kept.
     """
     trusted = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    chosen = docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi")
-    model = Model(chosen.where(fold(F.col("doc_id")) != 0), order, vocabulary)
+    # A filter of fixed size keeps most other texts out of the shuffle.
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_SLOTS)).alias("slot")
+    counted = trusted.where(fold(F.col("doc_id")) != 0)
+    texts = docs.select("doc_id", "text").withColumn("slot", slot)
+    near = texts.join(F.broadcast(counted.select(slot).distinct()), "slot", "left_semi")
+    chosen = written(near.join(counted.hint("merge"), "doc_id", "left_semi").select("text"), "trusted", compression="zstd")
+    model = Model(chosen, order, vocabulary)
     nll = written(perplexity(docs, model), "perplexity")
     langs = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "lang").distinct()
     rows = written(
