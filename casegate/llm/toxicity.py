@@ -152,7 +152,7 @@ def fit(
         group = group.sort_values(["doc_id", "text"])
         sets = {k: [features(t) for t in group["text"][group["kind"] == k]] for k in (0, 1)}
         if not sets[1] or not sets[0]:
-            return pd.DataFrame({"names": [], "weights": []})
+            return pd.DataFrame({"names": [], "weights": []}, dtype=object)
         names, weights = train(sets[1], sets[0], share)
         return pd.DataFrame({"names": [names], "weights": [weights.tolist()]})
 
