@@ -94,7 +94,7 @@ def stream_visibility_timeout(spark, sf):
     )
     path = _run(
         spark, sf, "stream-visibility",
-        lambda path, check: jobs.stream_visibility_timeout(left, right, "30 SECONDS", path, check),
+        lambda path, check: jobs.stream_visibility_timeout(left, right, "30 SECONDS", path, check, "10 minutes"),
     )
     return spark.read.parquet(path).where("instance_key >= 0").select("instance_key", "visible")
 

@@ -12,8 +12,10 @@ from casegate.session import broadcast_if_small
 
 def _join_key(df: DataFrame) -> Column:
     """Instance key, or a unique negative stand-in, so that rows without a key are
-    spread over the shuffle instead of meeting in one task."""
-    return F.coalesce("instance_key", -1 - F.col("source_line").cast("bigint"))
+    spread over the shuffle instead of meeting in one task. Lines of a part are
+    fewer than 2**32."""
+    row = F.shiftleft(F.col("part").cast("bigint"), 32) + F.col("source_line").cast("bigint")
+    return F.coalesce("instance_key", -1 - row)
 
 
 def held_not_alive(ledger: DataFrame, active: DataFrame) -> DataFrame:
@@ -100,11 +102,12 @@ def abort_allowed(ledger: DataFrame) -> DataFrame:
 
 
 def known_instances(ledger: DataFrame) -> DataFrame:
-    """Instances the ledger knows and an abort would cancel."""
+    """Instances the ledger knows and an abort would cancel, each with a row that
+    names it (the last, should several) and their number."""
     rows = ledger.where("state in ('CREATED', 'RELEASE_PENDING') and instance_key is not null")
-    return rows.groupBy("instance_key").agg(
-        F.max("part").alias("part"), F.max("source_line").alias("source_line")
-    )
+    last = F.max(F.struct("part", "source_line")).alias("row")
+    named = rows.groupBy("instance_key").agg(last, F.count(F.lit(1)).alias("n_rows"))
+    return named.select("instance_key", "row.part", "row.source_line", "n_rows")
 
 
 def orphan_instances(ledger: DataFrame, active: DataFrame) -> DataFrame:
@@ -117,7 +120,7 @@ def orphan_instances(ledger: DataFrame, active: DataFrame) -> DataFrame:
 
 def abort_set(ledger: DataFrame, active: DataFrame) -> DataFrame:
     """What the ledger knows plus what it lost, once per instance."""
-    known = known_instances(ledger).withColumn("origin", F.lit("LEDGER"))
+    known = known_instances(ledger).drop("n_rows").withColumn("origin", F.lit("LEDGER"))
     lost = orphan_instances(ledger, active).select("instance_key").distinct().select(
         "instance_key",
         F.lit(None).cast("int").alias("part"),

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casegate.functions.text import is_present
-from casegate.functions.values import boolean_word, iso_day
+from casegate.functions.text import is_present, trim_padding
+from casegate.functions.values import iso_day, parse_boolean_strict
 from casegate.session import per_session, settled
 
 # Typed readings of a record's text fields, made once and used by the rules and
-# by normalisation. Fields are trimmed when a record is read.
+# by normalisation. Records from tables may be untrimmed or null; null reads as blank.
 TYPED = ["_updated_day", "_fee", "_issued_day", "_expired_day", "_completed_day", "_attempts"]
 
 
@@ -22,17 +22,17 @@ def _typed_columns() -> dict[str, Column]:
     attempts = F.transform(
         "attempts",
         lambda a: F.struct(
-            iso_day(a["date"]).alias("day"),
+            iso_day(trim_padding(a["date"])).alias("day"),
             a["occurrence"].alias("occurrence"),
-            F.upper(a["result"]).alias("result"),
+            F.upper(trim_padding(F.coalesce(a["result"], F.lit("")))).alias("result"),
         ),
     )
     columns = [
-        iso_day(F.col("last_updated")),
-        boolean_word(F.col("fee_paid")),
-        iso_day(F.col("issued")),
-        iso_day(F.col("expired")),
-        iso_day(F.col("date_completed")),
+        iso_day(trim_padding(F.col("last_updated"))),
+        parse_boolean_strict(F.col("fee_paid")),
+        iso_day(trim_padding(F.col("issued"))),
+        iso_day(trim_padding(F.col("expired"))),
+        iso_day(trim_padding(F.col("date_completed"))),
         attempts,
     ]
     return dict(zip(TYPED, columns))
@@ -93,8 +93,8 @@ def bad_occurrence() -> Column:
     def message(typed_one: Column, text: Column) -> Column:
         at = typed_one["occurrence"].cast("string")
         return F.when(
-            bad_result(typed_one), F.concat(F.lit("ATTEMPT_RESULT:"), at, F.lit(":"), text["result"])
-        ).otherwise(F.concat(F.lit("ATTEMPT_DATE:"), at, F.lit(":"), text["date"]))
+            bad_result(typed_one), F.concat(F.lit("ATTEMPT_RESULT:"), at, F.lit(":"), F.coalesce(text["result"], F.lit("")))
+        ).otherwise(F.concat(F.lit("ATTEMPT_DATE:"), at, F.lit(":"), F.coalesce(text["date"], F.lit(""))))
 
     first = F.get(F.filter("_attempts", bad), F.lit(0))
     same = F.filter("attempts", lambda a: a["occurrence"] == first["occurrence"])

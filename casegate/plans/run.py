@@ -7,8 +7,9 @@ come out as tables; whoever executes them hands back tables of answers.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
+from casegate.operators.decide import TARGET_CONTRACT
 from casegate.operators.ledger import fold_ledger
 from casegate.operators.load import (
     apply_create_responses,
@@ -71,10 +72,9 @@ class RunStore:
         ).write.mode("append").parquet(self.runs_path)
 
     def close(self, run_id: str) -> None:
-        row = self.run(run_id)
-        if not row.head(1):
+        if self.row(run_id) is None:
             return
-        row.withColumn("creation_closed", F.lit(True)).write.mode("append").parquet(self.runs_path)
+        self.run(run_id).withColumn("creation_closed", F.lit(True)).write.mode("append").parquet(self.runs_path)
 
     def run(self, run_id: str) -> DataFrame:
         """The run row: first start, closed once any row says so."""
@@ -90,12 +90,15 @@ class RunStore:
             )
         )
 
-    def is_closed(self, run_id: str) -> bool:
-        """A run nobody has started has not closed creation."""
+    def row(self, run_id: str) -> Row | None:
+        """The run row itself; nothing for a run nobody has started."""
         if self._read(self.runs_path, RUN_SCHEMA) is None:
-            return False
-        row = self.run(run_id).head(1)
-        return bool(row and row[0]["creation_closed"])
+            return None
+        return self.run(run_id).first()
+
+    def is_closed(self, run_id: str) -> bool:
+        row = self.row(run_id)
+        return bool(row and row["creation_closed"])
 
     def ledger(self, run_id: str) -> DataFrame:
         events = self._read(self.ledger_path, LEDGER_SCHEMA)
@@ -138,10 +141,13 @@ def record_responses(store: RunStore, run_id: str, commands: DataFrame, response
 
 
 def gate(store: RunStore, run_id: str, active: DataFrame) -> DataFrame:
-    """Close creation, then check. Membership must be frozen before it is counted."""
+    """Stop new creates, then run the checks over what there is. A run that was never
+    started has no gate."""
+    row = store.row(run_id)
+    if row is None:
+        raise RunHalted(f"run {run_id} was never started")
     store.close(run_id)
-    count = store.run(run_id).first()["record_count"]
-    return gate_checks(store.ledger(run_id), active, count)
+    return gate_checks(store.ledger(run_id), active, row["record_count"])
 
 
 def release_intents(store: RunStore, run_id: str, checks: DataFrame) -> DataFrame:
@@ -189,7 +195,13 @@ def record_releases(store: RunStore, run_id: str, answers: DataFrame) -> None:
 def record_resolutions(store: RunStore, run_id: str, resolutions: DataFrame) -> None:
     """Take operators' decisions on quarantined rows into the ledger: a chosen
     target becomes a create intent, the others are skipped. ``resolutions`` has the
-    row key, ``decision`` (TARGET or SKIP) and ``chosen_target``."""
+    row key, ``decision`` (TARGET or SKIP) and ``chosen_target``. A target must be one
+    that cases can be placed on, and once creation is closed none can be chosen."""
+    chosen = resolutions.where("decision = 'TARGET'")
+    if chosen.where(~F.coalesce(F.col("chosen_target").isin(list(TARGET_CONTRACT)), F.lit(False))).limit(1).count():
+        raise RunHalted(f"run {run_id}: a chosen target is not one that cases can be placed on")
+    if store.is_closed(run_id) and chosen.limit(1).count():
+        raise RunHalted(f"run {run_id} has closed creation")
     queue = quarantine_queue(store.ledger(run_id), resolutions)
     decided = queue.where("next_state <> 'QUARANTINED'")
     store.append(

@@ -88,7 +88,9 @@ def overlap_rules(spark: SparkSession) -> DataFrame:
 
 def scan_rules_xml(spark: SparkSession, path: str) -> DataFrame:
     """Decision-table XML: positional input and output entries of every rule.
-    ``-`` is a wildcard; outputs are quoted text or the word ``null``."""
+    ``-`` or nothing is a wildcard; outputs are quoted text or the word ``null``. Input
+    cells hold a boolean or one quoted word of the vocabulary: any other expression
+    fails the read, for it would match no record without a word."""
     raw = (
         spark.read.option("rowTag", "rule").schema(_XML_SCHEMA).xml(path)
         .withColumn("position", F.monotonically_increasing_id())
@@ -96,7 +98,10 @@ def scan_rules_xml(spark: SparkSession, path: str) -> DataFrame:
 
     def entry(i: int):
         text = trim_padding(F.get("inputEntry", F.lit(i))["text"])
-        return F.when(text != "-", F.regexp_replace(text, '^"|"$', ""))
+        cell = F.lower(text).isin("true", "false") if i < 5 else text.isin('"NONE"', '"PASS"', '"FAIL"')
+        wrong = F.raise_error(F.concat(F.lit(f"unsupported cell in input {i + 1}: "), text)).cast("string")
+        blank = text.isNull() | text.isin("-", "")
+        return F.when(~blank & cell, F.regexp_replace(text, '^"|"$', "")).when(~blank, wrong)
 
     def output(i: int):
         return unquote_output(trim_padding(F.get("outputEntry", F.lit(i))["text"]))

@@ -67,12 +67,12 @@ def latest_state(changes: DataFrame) -> DataFrame:
 
 
 def stream_visibility_timeout(
-    created: DataFrame, exported: DataFrame, timeout: str, path: str, checkpoint: str, lag: str = "0 seconds"
+    created: DataFrame, exported: DataFrame, timeout: str, path: str, checkpoint: str, lag: str
 ) -> StreamingQuery:
     """Held instances against their export: visible within the timeout, or vanished.
 
     ``created`` has ``instance_key, created_at``; ``exported`` has ``exported_key,
-    exported_at``. An unmatched instance comes out once the watermark has passed
+    exported_at``. Rows may come up to ``lag`` behind the newest seen. An unmatched instance comes out once the watermark has passed
     its deadline, so lag and loss are told apart without polling.
     """
     left = created.withWatermark("created_at", lag)
@@ -104,15 +104,24 @@ def stream_late_after_close(rows: DataFrame, runs: DataFrame, path: str, checkpo
 
 
 def stream_intent_first(
-    lines: DataFrame, header: str, boundary: Column, run_id: str, path: str, checkpoint: str
+    lines: DataFrame, header: str, boundary: Column, run_id: str, path: str, checkpoint: str,
+    ledger: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Per batch: write the plan, then its intents, and only then the commands that
     are read back from the plan. Folders carry the batch number, so a repeated
-    batch writes the same rows again instead of more of them."""
+    batch writes the same rows again instead of more of them.
+
+    A batch is planned against ``ledger()``, the events so far, and the intents of the
+    batches before it: a row that is live or waits for an answer gets no second command.
+    """
     spark = lines.sparkSession
 
     def work(records: DataFrame, batch: int) -> None:
-        nothing = fold_ledger(records.sparkSession.createDataFrame([], LEDGER_SCHEMA))
+        events = ledger() if ledger else spark.createDataFrame([], LEDGER_SCHEMA)
+        if batch:
+            earlier = spark.read.schema(f"{LEDGER_SCHEMA}, batch bigint").option("basePath", f"{path}/intents").parquet(f"{path}/intents")
+            events = events.unionByName(earlier.where(F.col("batch") < batch).drop("batch"))
+        nothing = fold_ledger(events.where(F.col("run_id") == run_id))
         plan_path = f"{path}/plan/batch={batch}"
         load_plan(classify(records, boundary), nothing).write.mode("overwrite").parquet(plan_path)
         plan = spark.read.parquet(plan_path)
