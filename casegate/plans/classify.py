@@ -17,9 +17,8 @@ from casegate.operators.normalise import normalise
 from casegate.operators.validate import TYPED, prevalidate
 from casegate.sources.export import (
     number_lines,
-    read_header,
     read_lines,
-    source_records,
+    records_by_header,
 )
 from casegate.sources.manifest import (
     RunHalted,
@@ -32,6 +31,7 @@ from casegate.sources.manifest import (
 )
 from casegate.sources.rules import baseline_rules, rule_version
 from casegate.functions.values import cutoff_boundary
+from casegate.session import materialised
 
 
 def classify(
@@ -85,11 +85,12 @@ def dry_run(
     broken = first_problem(freeze_check(numbered, rows, summary.select("part", "header_hash")))
     if broken:
         raise RunHalted(f"export is not the frozen one: {broken}")
-    records = source_records(numbered, read_header(spark, export))
+    records = records_by_header(numbered)
 
     boundary = cutoff_boundary(F.lit(parameters.freeze_date), parameters.cutoff_months)
     version = rule_version(baseline_rules(spark) if rules is None else rules).first()
-    classified = classify(records, boundary, rules, policy=policy)
+    # Written once: the expectation check, the report and the load plan all read it.
+    classified = materialised(classify(records, boundary, rules, policy=policy))
     return DryRun(parameters, classified, version["rules_hash"])
 
 

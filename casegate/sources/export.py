@@ -235,9 +235,28 @@ def source_records(numbered: DataFrame, header: str | Sequence[str]) -> DataFram
     return wide.select(*RECORD_COLUMNS)
 
 
+def records_by_header(numbered: DataFrame) -> DataFrame:
+    """Source records of an export, every part read by its own header. Lines of the
+    parts that share a header are read together; there are few different ones."""
+    headers = numbered.where("source_line = 1").select("file", "raw")
+    kinds = sorted(row["raw"] for row in headers.select("raw").distinct().collect())
+    if not kinds:
+        raise ValueError("export is empty")
+    if len(kinds) == 1:
+        return source_records(numbered, kinds[0].removesuffix("\r"))
+    frames = []
+    for kind in kinds:
+        files = headers.where(F.col("raw") == kind).select("file")
+        frames.append(source_records(numbered.join(F.broadcast(files), "file", "left_semi"), kind.removesuffix("\r")))
+    together = frames[0]
+    for frame in frames[1:]:
+        together = together.unionByName(frame)
+    return together
+
+
 def scan_export(spark: SparkSession, path: str) -> DataFrame:
     """Export folder or file to source records."""
-    return source_records(number_lines(read_lines(spark, path)), read_header(spark, path))
+    return records_by_header(number_lines(read_lines(spark, path)))
 
 
 def write_parts(lines: DataFrame, path: str, order: str = "source_line") -> None:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from casegate.operators.ledger import ROW_KEY, fold_ledger
 from casegate.operators.load import create_commands, intent_events, load_plan
 from casegate.plans.classify import classify
+from casegate.session import broadcast_if_small
 from casegate.sources.export import source_records
 from casegate.sources.tables import LEDGER_SCHEMA
 
@@ -97,7 +98,7 @@ def stream_late_after_close(rows: DataFrame, runs: DataFrame, path: str, checkpo
     """Every arriving create with whether its run had already closed creation.
     ``runs`` is the static run table; a run that is not in it is open."""
     closed = runs.where("creation_closed").select("run_id", F.lit(True).alias("closed")).distinct()
-    flagged = rows.join(closed, "run_id", "left").withColumn(
+    flagged = rows.join(broadcast_if_small(closed), "run_id", "left").withColumn(
         "refused", F.coalesce("closed", F.lit(False))
     )
     return _append(flagged.drop("closed"), path, checkpoint)

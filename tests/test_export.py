@@ -62,6 +62,13 @@ def test_parts_are_numbered_on_their_own(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [(0, 2, "P0-a"), (0, 3, "P0-b"), (3, 2, "P3-a"), (3, 3, "P3-b")]
 
 
+def test_every_part_is_read_by_its_own_header(spark, tmp_path):
+    write(tmp_path, "part=0/x.txt", "CASE_REF,ISN\nA,1\n")
+    write(tmp_path, "part=1/x.txt", "ISN,CASE_REF\n2,B\n3,C\n")
+    rows = export.scan_export(spark, str(tmp_path)).select("part", "source_line", "case_ref", "isn").collect()
+    assert sorted(map(tuple, rows)) == [(0, 2, "A", "1"), (1, 2, "B", "2"), (1, 3, "C", "3")]
+
+
 def test_occurrences_are_discovered_not_assumed(spark, tmp_path):
     path = write(
         tmp_path, "a.txt",
