@@ -2,7 +2,8 @@
 
 Counting. Words and runs of words are counted over all trusted text; tasks count
 their part before anything is shuffled. The vocabulary is closed: words that are not
-among its ``VOCABULARY`` most frequent become unknown words of three kinds, which
+among its about ``VOCABULARY`` most frequent (those of one count stand or fall together)
+become unknown words of three kinds, which
 also pay for their letters, so a rare word is never cheap.
 
 Scoring. Interpolation makes the log probability of a word a sum over the runs that
@@ -102,6 +103,17 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return flat, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(flat)).astype(np.int64)
 
 
+def least_count(table: DataFrame, most: int) -> int:
+    """The smallest count ``n`` that at most ``most`` rows of ``table`` reach, from how
+    many rows have each count."""
+    reached = 0
+    for row in table.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        reached += row["count"]
+        if reached > most:
+            return row["n"] + 1
+    return 0
+
+
 class Model:
     """Counts of trusted text, as weights by run.
 
@@ -115,16 +127,10 @@ class Model:
         if not 2 <= order <= 3:
             raise ValueError("runs have 2 or 3 words")
         self.order = order
-        top = (
-            texts.select("text")
-            .mapInPandas(_word_counts, "word string, n bigint")
-            .groupBy("word")
-            .agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "word")
-            .limit(vocabulary)
-            .select("word")
-            .toPandas()
+        found = written(
+            texts.select("text").mapInPandas(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words"
         )
+        top = found.where(F.col("n") >= least_count(found, vocabulary)).orderBy(F.desc("n"), "word").select("word").toPandas()
         self.vocabulary = Vocabulary(top["word"].tolist())
         vocab, size = self.vocabulary, self.vocabulary.size
 
@@ -154,6 +160,14 @@ class Model:
         self._single(tables[1].toPandas(), size)  # at most as many rows as the vocabulary
         self.weights = self._longer(tables, size)  # computed again where it is used: cheaper than kept
         self.n_runs = tables[order].count()
+        self._counts = tables
+
+    def hot_count(self, most: int) -> int:
+        """From which count on the runs of all lengths are ``most`` or fewer."""
+        together = self._counts[self.order].select("n")
+        for k in range(2, self.order):
+            together = together.unionByName(self._counts[k].select("n"))
+        return max(1, least_count(together, most))
 
     @staticmethod
     def discounts(n: list[int]) -> list[float]:
@@ -253,14 +267,14 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
     have no words and nll 0."""
     order, vocab = model.order, model.vocabulary
     log_p, log_back = model.log_p, model.log_back
-    hot = model.weights.orderBy(F.desc("n"), "run").limit(HOT_RUNS).toPandas().sort_values("run")
+    hot = model.weights.where(F.col("n") >= model.hot_count(HOT_RUNS)).select("run", "weight").toPandas().sort_values("run")
     hot_runs, hot_weights = hot["run"].to_numpy(np.int64), hot["weight"].to_numpy(np.float64)
     starts = 0.0
     if order == 3:  # the context of starts only, which is no run of a document
         first = model.weights.where(F.col("run") == START).first()
         starts = first["weight"] if first else 0.0
     spark = docs.sparkSession
-    shards = max(spark.sparkContext.defaultParallelism, -(-model.n_runs // SHARD_RUNS))
+    shards = max(spark.sparkContext.defaultParallelism, -(-model.n_runs // SHARD_RUNS), docs.rdd.getNumPartitions())
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -309,7 +323,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
         out = []
         for m in sent.itertuples():
             if m.runs is None:
-                out.append((m.block, None, m.doc_ids, m.hashes, m.base, m.words))
+                out.append((m.block, None, None, m.doc_ids, m.hashes, m.base, m.words))
                 continue
             asked = np.cumsum(_unpack(m.runs, "<i8"))
             gain = np.zeros(len(asked))
@@ -317,14 +331,16 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
                 at = np.minimum(np.searchsorted(runs, asked), len(runs) - 1)
                 gain = np.where(runs[at] == asked, weights[at], 0.0)
             sums = np.bincount(_unpack(m.owners, "<u4"), np.repeat(gain, _unpack(m.sizes, "<u4")), m.n_docs)
-            out.append((m.block, sums.tobytes(), None, None, None, None))
-        return pd.DataFrame(out, columns=["block", "sums", "doc_ids", "hashes", "base", "words"], dtype=object)
+            some = np.flatnonzero(sums)
+            if len(some):
+                out.append((m.block, some.astype(np.uint32).tobytes(), sums[some].astype(np.float32).tobytes(), None, None, None, None))
+        return pd.DataFrame(out, columns=["block", "slots", "sums", "doc_ids", "hashes", "base", "words"], dtype=object)
 
     def settle(parts: pd.DataFrame) -> pd.DataFrame:
         head = parts[parts["base"].notna()].iloc[0]
         total = np.frombuffer(head["base"]).copy()
-        for s in parts["sums"].dropna():
-            total += np.frombuffer(s)
+        for at, gained in zip(parts["slots"].dropna(), parts["sums"].dropna(), strict=True):
+            total[np.frombuffer(at, dtype=np.uint32)] += np.frombuffer(gained, dtype=np.float32)
         sizes = np.frombuffer(head["words"], dtype=np.int64)
         ids = pd.array([None if pd.isna(i) else int(i) for i in head["doc_ids"]], dtype="Int64")
         return pd.DataFrame({"doc_id": ids, "row_hash": head["hashes"], "n_words": sizes, "nll": np.where(sizes > 0, -total, 0.0)})
@@ -335,7 +351,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
         source.mapInPandas(send, MESSAGES)
         .groupBy("shard")
         .cogroup(sharded.groupBy("shard"))
-        .applyInPandas(answer, "block string, sums binary, doc_ids array<bigint>, hashes array<bigint>, base binary, words binary")
+        .applyInPandas(answer, "block string, slots binary, sums binary, doc_ids array<bigint>, hashes array<bigint>, base binary, words binary")
     )
     return answers.groupBy("block").applyInPandas(settle, "doc_id bigint, row_hash bigint, n_words bigint, nll double")
 
