@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from casegate.llm.common import written
 
 # The bounded sample that is fitted on: texts of each kind, and how many classifiers share it.
-POSITIVES, UNLABELLED, CLASSIFIERS = 4_000, 16_000, 4
+POSITIVES, UNLABELLED, CLASSIFIERS = 2_000, 10_000, 4
 # Features kept per classifier; how much more often than in negatives a feature must
 # stand in positives, and the log likelihood ratio that says it isn't by chance.
 FEATURES, LIFT, LEAST_RATIO = 4_000, 3.0, 14.0
