@@ -23,8 +23,18 @@ from casegate.llm.common import folder, written
 # Fixed values of the format.
 MAGIC, GAP = "WARC/1.1\r\n", "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-# Records per archive file, and the longest header that is read.
-ARCHIVE_RECORDS, HEADER_BYTES = 2000, 65_536
+# Fields that are read, in lower case.
+READ = {
+    "content-length",
+    "warc-type",
+    "warc-payload-digest",
+    "warc-payload-length",
+    "warc-record-id",
+    "warc-target-uri",
+    "warc-refers-to",
+}
+# Records per archive file.
+ARCHIVE_RECORDS = 2000
 
 CANDIDATES = (
     "archive string, start bigint, following bigint, page_id bigint, url string, record_type string, "
@@ -95,15 +105,28 @@ def _number(value: str | None) -> int | None:
     return int(found[0]) if found else None
 
 
+def _fields(content: bytes, start: int, head: int) -> dict[str, tuple[int, str]]:
+    """Last line of each name between two offsets: where it starts, and its value."""
+    found = {}
+    for line in content[start:head].split(b"\r\n"):
+        name, _, value = line.decode("utf-8", "replace").partition(":")
+        found[name.strip().lower()] = start, value.strip()
+        start += len(line) + 2
+    return found
+
+
 def candidates_of(content: bytes) -> Iterator[dict]:
     """Every place of an archive that reads as a record, with its successor's offset
-    (the archive's length after the last)."""
+    (the archive's length after the last). A header may have any length; places before
+    the same blank line share its search and its lines, so the work stays linear."""
+    head, shared = -1, {}
     for magic in re.finditer(rb"WARC/1\.[01]\r\n", content):
-        head = content.find(b"\r\n\r\n", magic.end() - 2, magic.end() + HEADER_BYTES)
-        if head < 0:
-            continue
-        lines = content[magic.end() : head].decode("utf-8", "replace").split("\r\n")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        if head < magic.end() - 2:
+            head = content.find(b"\r\n\r\n", magic.end() - 2)
+            if head < 0:
+                break
+            shared = _fields(content, magic.end(), head)
+        fields = {k: shared[k][1] for k in READ & shared.keys() if shared[k][0] >= magic.end()}
         if not re.fullmatch(r"\d{1,18}", fields.get("content-length", "")):
             continue
         first = head + 4

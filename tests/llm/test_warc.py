@@ -54,3 +54,19 @@ def test_candidates_hold_more_than_the_chain(spark):
     links = spark.createDataFrame([(1, c["start"], c["following"]) for c in found], "archive long, start long, following long")
     kept = sorted(r["start"] for r in warc.reachable(links).collect())
     assert len(found) > 3 and kept == [0, len(record("a")), len(content) - len(record("z"))]
+
+
+def test_urls_of_any_length(spark):
+    urls = ["http://a/", "data:text/html," + "y" * 150_000, "http://b/", "http://c/" + "z" * 120_000 + "WARC/1.1", "http://d/"]
+    rows = [(i, url, f"page {i}") for i, url in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = warc.round_trip(pages).collect()
+    assert len({r["archive"] for r in got}) == 1
+    assert sorted((r["page_id"], r["url"], r["payload_bytes"]) for r in got) == [(i, url, len(html)) for i, url, html in rows]
+    assert all(r["intact"] for r in got)
+
+
+def test_magic_without_blank_lines_is_read_once():
+    body = "x WARC/1.1\r\n" * 50_000
+    content = f"WARC/1.1\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    assert [c["start"] for c in warc.candidates_of(content)] == [0]
