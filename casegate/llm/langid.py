@@ -5,8 +5,8 @@ case. A text is compressed with every dictionary, block by block over its whole
 length, and the language whose dictionary leaves the fewest bytes is its language.
 The margin to the second says how sure that is; narrow margins are rejected.
 
-Fitting counts the texts of every language, and draws a sample of them by hash whose
-size does not depend on the number of texts. Prediction reads nothing but the text.
+Fitting counts the different texts of every language, and draws a sample of them by
+hash whose size does not depend on the number of texts or of their copies. Prediction reads nothing but the text.
 """
 
 from __future__ import annotations
@@ -77,18 +77,25 @@ def fit(
 ) -> dict[str, bytes]:
     """Dictionaries from ``docs`` (text, lang). Rows without either are not used.
 
-    About ``sample_texts`` texts per language are drawn by a seeded hash of the text,
-    each giving ``sample_chars`` characters from a drawn place; equal texts are drawn
-    once. That bounds what reaches the driver. Languages come with the most frequent
+    About ``sample_texts`` different texts per language (all, if there are no more) are
+    drawn by a seeded hash of the text, each giving ``sample_chars`` characters from a
+    drawn place; equal texts count and are drawn once. That bounds what reaches the driver. Languages come with the most frequent
     first. Without texts there is none.
     """
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return {}
     scale = 1 << 40
     draw = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(scale))
-    below = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(scale, sample_texts * scale // r["count"])))])
+    different = rows.groupBy("lang", draw.alias("draw")).agg(F.count("*").alias("n"))
+    counts = (
+        different.groupBy("lang")
+        .agg(F.sum("n").alias("rows"), F.count("*").alias("texts"))
+        .orderBy(F.desc("rows"), "lang")
+        .limit(MAX_LANGUAGES)
+        .collect()
+    )
+    if not counts:
+        return {}
+    below = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(scale, sample_texts * scale // r["texts"])))])
     spare = F.greatest(F.length("text") - sample_chars, F.lit(0))
     start = F.pmod(F.xxhash64(F.lit(seed + 1), "text"), spare + 1) + 1
     picked = (

@@ -44,6 +44,13 @@ def test_languages_of_awkward_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, {}).collect()} == {"und"}
 
 
+def test_copies_do_not_thin_out_the_sample(spark):
+    rows = [("foo bar baz " * 3, "xx")] * 20_000 + [(f"rare{w} words{w} here{w}", "xx") for w in "abcdef"] + [("delta epsilon", "yy")]
+    learned = langid.fit(spark.createDataFrame(rows, "text string, lang string"), sample_texts=10)
+    assert list(learned) == ["xx", "yy"]
+    assert all(f" rare{w} ".encode() in learned["xx"] for w in "abcdef") and learned["xx"].count(b"foo") == 3
+
+
 def test_narrow_margins_are_rejected():
     engines = langid.Compressors({"en": b" alpha beta gamma " * 9, "de": b" delta epsilon " * 9})
     assert engines.predict("alpha beta gamma")[0] == "en" and engines.predict("delta epsilon")[0] == "de"
