@@ -24,8 +24,8 @@ DICTIONARY_BYTES = 192 * 1024
 # Bytes compressed at once; every block starts from the dictionary anew.
 BLOCK = 4_096
 LEVEL = 6
-# Languages learned at most: the most frequent ones, ties by name.
-MAX_LANGUAGES = 64
+# Languages whose digested dictionaries a task holds at once.
+GROUP = 64
 
 UNDETERMINED = "und"
 
@@ -40,32 +40,51 @@ def folded(text: str) -> bytes:
 
 
 class Compressors:
-    """One digested dictionary per language, in the order they are given."""
-
-    def __init__(self, dictionaries: dict[str, bytes]) -> None:
-        self.names = list(dictionaries)
-        self.engines = []
-        for name in self.names:
-            held = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    """One dictionary per language, in the order they are given. They are digested in
+    groups of ``group``, of which one is held at a time."""
+
+    def __init__(self, dictionaries: dict[str, bytes], group: int = GROUP) -> None:
+        self.names, self.dictionaries = list(dictionaries), dictionaries
+        self.groups = [self.names[i : i + group] for i in range(0, len(self.names), group)]
+        self.held: int | None = None
+
+    def engines_of(self, number: int) -> list[zstandard.ZstdCompressor]:
+        """Compressors of a group, kept until another group is asked for."""
+        if self.held == number:
+            return self.engines
+        self.held, self.engines = number, []
+        for name in self.groups[number]:
+            held = zstandard.ZstdCompressionDict(self.dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(level=LEVEL)
             self.engines.append(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
-
-    def sizes(self, text: str) -> list[int]:
-        """Compressed bytes of the whole text per language."""
-        whole = folded(text)
-        parts = [whole[i : i + BLOCK] for i in range(0, len(whole), BLOCK)]
-        return [sum(len(e.compress(p)) for p in parts) for e in self.engines]
+        return self.engines
+
+    def sizes(self, texts: list[str]) -> list[list[int]]:
+        """Compressed bytes of each whole text per language."""
+        found: list[list[int]] = [[] for _ in texts]
+        for number in range(len(self.groups)):
+            engines = self.engines_of(number)
+            for text, sizes in zip(texts, found, strict=True):
+                whole = folded(text)
+                parts = [whole[i : i + BLOCK] for i in range(0, len(whole), BLOCK)]
+                sizes.extend(sum(len(e.compress(p)) for p in parts) for e in engines)
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and margin: the share of bytes saved against the second best. A
         text without letters is undetermined; ties go to the first, margin 0;
         a single learned language has margin 1."""
-        if text is None or not self.names or not any(c.isalpha() for c in text):
-            return UNDETERMINED, 0.0
-        sizes = self.sizes(text)
-        best = min(range(len(sizes)), key=sizes.__getitem__)
-        second = min((s for i, s in enumerate(sizes) if i != best), default=None)
-        return self.names[best], 1.0 if second is None else (second - sizes[best]) / second
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """As ``predict``, for many texts at once."""
+        asked = [i for i, t in enumerate(texts) if t is not None and self.names and any(c.isalpha() for c in t)]
+        answers = [(UNDETERMINED, 0.0)] * len(texts)
+        for i, sizes in zip(asked, self.sizes([texts[i] for i in asked]), strict=True):
+            best = min(range(len(sizes)), key=sizes.__getitem__)
+            second = min((s for j, s in enumerate(sizes) if j != best), default=None)
+            answers[i] = self.names[best], 1.0 if second is None else (second - sizes[best]) / second
+        return answers
 
 
 def fit(
@@ -79,7 +98,8 @@ def fit(
 
     About ``sample_texts`` different texts per language (all, if there are no more) are
     drawn by a seeded hash of the text, each giving ``sample_chars`` characters from a
-    drawn place; equal texts count and are drawn once. That bounds what reaches the driver. Languages come with the most frequent
+    drawn place; equal texts count and are drawn once. That bounds what reaches the
+    driver per language. Every language is learned; they come with the most frequent
     first. Without texts there is none.
     """
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
@@ -90,26 +110,26 @@ def fit(
         different.groupBy("lang")
         .agg(F.sum("n").alias("rows"), F.count("*").alias("texts"))
         .orderBy(F.desc("rows"), "lang")
-        .limit(MAX_LANGUAGES)
         .collect()
     )
     if not counts:
         return {}
-    below = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(scale, sample_texts * scale // r["texts"])))])
+    rates = [(r["lang"], min(scale, sample_texts * scale // r["texts"])) for r in counts]
+    below = F.broadcast(docs.sparkSession.createDataFrame(rates, "lang string, below bigint"))
     spare = F.greatest(F.length("text") - sample_chars, F.lit(0))
     start = F.pmod(F.xxhash64(F.lit(seed + 1), "text"), spare + 1) + 1
     picked = (
         rows.withColumn("draw", draw)
-        .where(F.col("draw") < F.coalesce(F.try_element_at(below, F.col("lang")), F.lit(0)))
+        .join(below, "lang")
+        .where("draw < below")
         .select("lang", "draw", F.substring("text", start, F.lit(sample_chars)).alias("text"))
         .groupBy("lang", "draw")
         .agg(F.min("text").alias("text"))
     )
-    found = picked.orderBy("lang", "draw").limit(4 * sample_texts * len(counts)).collect()
-    texts: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
-    for r in found:
-        texts[r["lang"]].append(folded(r["text"]))
-    return {lang: b"".join(parts)[-dictionary_bytes:] for lang, parts in texts.items() if parts}
+    texts: dict[str, bytes] = {r["lang"]: b"" for r in counts}
+    for r in picked.orderBy("lang", "draw").toLocalIterator():
+        texts[r["lang"]] = (texts[r["lang"]] + folded(r["text"]))[-dictionary_bytes:]
+    return {lang: text for lang, text in texts.items() if text}
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.005) -> DataFrame:
@@ -121,7 +141,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engines = Compressors(dictionaries)
         for batch in batches:
-            answers = [engines.predict(t) for t in batch["text"]]
+            answers = engines.predict_all(batch["text"].tolist())
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],

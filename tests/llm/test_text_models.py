@@ -51,6 +51,23 @@ def test_copies_do_not_thin_out_the_sample(spark):
     assert all(f" rare{w} ".encode() in learned["xx"] for w in "abcdef") and learned["xx"].count(b"foo") == 3
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for n in range(80):
+        words = ["".join(rng.choice(letters) for _ in range(9)) for _ in range(12)]
+        rows += [(100 * n + i, " ".join(rng.sample(words, 10)), f"l{n:02}") for i in range(1 + (n < 70))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.fit(docs)
+    assert len(learned) == 80
+    want = {i: lang for i, _, lang in rows}
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, learned).collect()} == want
+    engines = [langid.Compressors(learned, group) for group in (7, 80)]
+    texts = [t for _, t, _ in rows[:5]] + [None, ""]
+    assert engines[0].predict_all(texts) == engines[1].predict_all(texts)
+
+
 def test_narrow_margins_are_rejected():
     engines = langid.Compressors({"en": b" alpha beta gamma " * 9, "de": b" delta epsilon " * 9})
     assert engines.predict("alpha beta gamma")[0] == "en" and engines.predict("delta epsilon")[0] == "de"
