@@ -1,15 +1,17 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney model of trusted text.
 
 Counting. Words and runs of words are counted over all trusted text; tasks count
-their part before anything is shuffled. The vocabulary is closed: words that are not
-among its about ``VOCABULARY`` most frequent (those of one count stand or fall together)
-become unknown words of three kinds, which
-also pay for their letters, so a rare word is never cheap.
+their part before anything is shuffled. Every word of trusted text is in the vocabulary.
+About ``HOT_WORDS`` most frequent ones (those of one count stand or fall together) are
+numbered and known to all tasks; the others have a 64-bit hash as their number, which
+is negative. Words that trusted text does not have are unknown words of three kinds,
+which also pay for their letters.
 
 Scoring. Interpolation makes the log probability of a word a sum over the runs that
 end with it: the word's own, and for each longer run that was seen a gain over what
-it would be without, besides the context's back-off. What belongs to single words is
-looked up in arrays of the vocabulary's size. The rest is one weight per run. The
+it would be without, besides the context's back-off. What belongs to numbered words is
+looked up in arrays. The rest is one weight per run; a hashed word is a run of its own,
+whose weight is its gain over an unknown word. The
 most frequent runs, a fixed number, go to all tasks, so no run is hot afterwards; for
 all others documents send their runs, packed by block and sorted, to the shard that
 holds the run's count, and sums of weights per document come back.
@@ -28,9 +30,10 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casegate.llm.common import blocks, fold, offsets, word_codes, written
+from casegate.llm.common import blocks, fold, mixed, offsets, word_codes, word_hashes, written
 
-VOCABULARY = 60_000
+# Words, at most, that are numbered for all tasks.
+HOT_WORDS = 60_000
 # Bits of a word number in the number of a run, and where weights note its length.
 BITS, LENGTH_BIT = 17, 58
 # Word numbers before the vocabulary: start, end, unknown of letters, digits, others.
@@ -60,21 +63,32 @@ def _kind(word: bytes) -> int:
     return UNKNOWN if text.isalpha() else UNKNOWN + 1 if text.isdigit() else UNKNOWN + 2
 
 
+def _hashed(words: list) -> np.ndarray:
+    """Negative numbers of words that are not numbered."""
+    return (word_hashes(words) | np.uint64(1 << 63)).view(np.int64)
+
+
 class Vocabulary:
-    """Word numbers of a closed vocabulary, and what unknown words cost."""
+    """Numbers of words, and what unknown words cost. Words besides ``words`` are
+    unknown if the vocabulary is ``closed``, and else numbered by their hash."""
 
-    def __init__(self, words: list[str]) -> None:
+    def __init__(self, words: list[str], closed: bool = True) -> None:
         self.numbers = {w.encode(): i + SPECIAL for i, w in enumerate(words)}
         self.size = len(words) + SPECIAL
+        self.closed = closed
 
     def encode(self, docs: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of all words, each document led by ``order`` - 1 starts and closed by
-        an end; where documents begin; spelling costs by document."""
+        an end; where documents begin; spelling costs of words without such a number, by document."""
         lead = order - 1
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
         edges = offsets(lengths + order)
         codes, distinct = word_codes([w for d in docs for w in d])
-        numbers = np.array([self.numbers.get(w) or _kind(w) for w in distinct], dtype=np.int64)
+        if self.closed:
+            numbers = np.array([self.numbers.get(w) or _kind(w) for w in distinct], dtype=np.int64)
+        else:
+            numbers = np.array([self.numbers.get(w, -1) for w in distinct], dtype=np.int64)
+            numbers[numbers < 0] = _hashed([w for w in distinct if w not in self.numbers])
         costs = np.array([0.0 if w in self.numbers else SPELLING * min(len(w), SPELLED) for w in distinct])
         out = np.full(edges[-1], START, dtype=np.int64)
         out[edges[1:] - 1] = END
@@ -86,21 +100,48 @@ class Vocabulary:
 
 
 def runs_of(numbers: np.ndarray, edges: np.ndarray, order: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of ``size`` words that end with a word or an end: their numbers and documents."""
-    run = np.zeros(len(numbers), dtype=np.int64)
+    """Runs of ``size`` words that end with a word or an end: their numbers and documents.
+
+    The number of a run of numbered words holds their numbers; with a hashed word, it
+    is a negative hash. A single word's is the word's own."""
+    parts = []
     for back in range(size - 1, -1, -1):
-        moved = np.zeros_like(run)
+        moved = np.zeros_like(numbers)
         moved[back:] = numbers[: len(numbers) - back]
-        run = (run << BITS) | moved
+        parts.append(moved)
     lengths = np.diff(edges)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     ends = np.arange(len(numbers)) - np.repeat(edges[:-1], lengths) >= order - 1
-    return run[ends], doc[ends]
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    flat, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return flat, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(flat)).astype(np.int64)
+    return joined([p[ends] for p in parts]), doc[ends]
+
+
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """Numbers of runs from those of their words, in order."""
+    run = parts[0]
+    if len(parts) == 1:
+        return run
+    for part in parts[1:]:
+        run = (run << BITS) | part
+    cold = np.flatnonzero(np.any([p < 0 for p in parts], axis=0))
+    if len(cold):
+        key = np.full(len(cold), len(parts), dtype=np.uint64)
+        for part in parts:
+            key = mixed(key * np.uint64(31) + part[cold].view(np.uint64))
+        run[cold] = (key | np.uint64(1 << 63)).view(np.int64)
+    return run
+
+
+def _parts(numbers: np.ndarray, edges: np.ndarray, order: int) -> pd.DataFrame:
+    """Distinct runs of ``order`` words and their counts; of those with a hashed word
+    also the runs without their last word (head) and without their first (tail), and
+    of three words the two of the tail. Others hold these in their number."""
+    words = [runs_of(np.roll(numbers, k), edges, order, 1)[0] for k in range(order - 1, -1, -1)]
+    run, first, n = np.unique(joined(words), return_index=True, return_counts=True)
+    words = [w[first] for w in words]
+    found = {"run": run, "n": n, "head": joined(words[:-1]), "tail": joined(words[1:])}
+    if order == 3:
+        found |= {"mid": words[1], "last": words[2]}
+    return pd.DataFrame({k: v if k in ("run", "n") else np.where(run < 0, v, 0) for k, v in found.items()})
 
 
 def least_count(table: DataFrame, most: int) -> int:
@@ -117,54 +158,73 @@ def least_count(table: DataFrame, most: int) -> int:
 class Model:
     """Counts of trusted text, as weights by run.
 
-    ``words`` are the vocabulary; ``log_p`` and ``log_back`` the log probability and
-    back-off of single words by number; ``weights`` (run, weight) those of longer runs.
+    ``vocabulary`` holds the numbered words; ``log_p`` and ``log_back`` the log
+    probability and back-off of these by number, ``log_unseen`` the log probability of a
+    word that was not counted; ``weights`` (run, weight) those of hashed words and of
+    longer runs.
     """
 
-    def __init__(self, texts: DataFrame, order: int = 2, vocabulary: int = VOCABULARY) -> None:
+    def __init__(self, texts: DataFrame, order: int = 2, vocabulary: int | None = None) -> None:
         """Count ``texts`` (text). Null and empty texts add nothing; without any text
-        all words are equally likely."""
+        all words are equally likely. With ``vocabulary``, only about so many most
+        frequent words are known, and all others count as unknown ones."""
         if not 2 <= order <= 3:
             raise ValueError("runs have 2 or 3 words")
+        if vocabulary is not None and vocabulary > (1 << BITS) - SPECIAL:
+            raise ValueError("a closed vocabulary has to fit the numbers of words")
         self.order = order
         found = written(
-            texts.select("text").mapInPandas(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words"
+            texts.select("text")
+            .mapInPandas(_word_counts, "word string, number bigint, cost double, n bigint")
+            .groupBy("word", "number", "cost")
+            .agg(F.sum("n").alias("n")),
+            "words",
         )
-        top = found.where(F.col("n") >= least_count(found, vocabulary)).orderBy(F.desc("n"), "word").select("word").toPandas()
-        self.vocabulary = Vocabulary(top["word"].tolist())
-        vocab, size = self.vocabulary, self.vocabulary.size
+        closed = vocabulary is not None
+        least = least_count(found, vocabulary if closed else HOT_WORDS)
+        top = found.where(F.col("n") >= least).orderBy(F.desc("n"), "word").select("word").toPandas()
+        self.vocabulary = vocab = Vocabulary(top["word"].tolist(), closed)
+        rare = found.where(F.lit(not closed) & (F.col("n") < least)).select(F.col("number").alias("run"), "cost", "n")
+        size = vocab.size if closed else found.count() + SPECIAL
+        names = ["head", "tail", "mid", "last"][: 2 * order - 2]
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            keys, counts = [], []
+            held: list[pd.DataFrame] = []
+            add = lambda: pd.concat(held).groupby("run", sort=False).agg({"n": "sum"} | dict.fromkeys(names, "first")).reset_index()
             for batch in batches:
                 rows = ["" if t is None else t for t in batch["text"]]
                 for part in blocks(rows):
                     docs = [w for w in map(words_of, rows[part]) if w]
                     if docs:
                         numbers, edges, _ = vocab.encode(docs, order)
-                        runs, n = np.unique(runs_of(numbers, edges, order, order)[0], return_counts=True)
-                        keys.append(runs)
-                        counts.append(n)
-                if sum(map(len, keys)) > 4_000_000:
-                    keys, counts = map(lambda x: [x], _summed(keys, counts))
-            if keys:
-                run, n = _summed(keys, counts)
-                for at in range(0, len(run), 100_000):
-                    yield pd.DataFrame({"run": run[at : at + 100_000], "n": n[at : at + 100_000]})
-
-        tables = {order: written(texts.select("text").mapInPandas(count, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")), "runs")}
-        suffix = lambda k: F.col("run").bitwiseAND((1 << BITS * (k - 1)) - 1)
-        for k in range(order - 1, 0, -1):  # how many different words stand before a shorter run
-            shorter = tables[k + 1].groupBy(suffix(k + 1).alias("run")).agg(F.count("*").alias("n"))
-            tables[k] = written(shorter, "runs") if k > 1 else shorter
-        self._single(tables[1].toPandas(), size)  # at most as many rows as the vocabulary
-        self.weights = self._longer(tables, size)  # computed again where it is used: cheaper than kept
+                        held.append(_parts(numbers, edges, order))
+                if sum(map(len, held)) > 2_000_000:
+                    held = [add()]
+            if held:
+                total = add()
+                for at in range(0, len(total), 100_000):
+                    yield total.iloc[at : at + 100_000]
+
+        schema = "run bigint, n bigint, " + ", ".join(f"{c} bigint" for c in names)
+        most = [F.max(c).alias(c) for c in names]
+        counted = written(texts.select("text").mapInPandas(count, schema).groupBy("run").agg(F.sum("n").alias("n"), *most), "runs")
+        low = lambda k: F.col("run").bitwiseAND((1 << BITS * k) - 1)
+        inner = lambda name, held: F.when(F.col("run") < 0, F.col(name)).otherwise(held).alias(name)
+        held = {"head": F.shiftright("run", BITS), "tail": low(order - 1), "mid": F.shiftright(low(2), BITS), "last": low(1)}
+        tables = {order: counted.select("run", "n", *[inner(c, held[c]) for c in names])}
+        if order == 3:  # how many different words stand before a shorter run
+            ends = [F.max("mid").alias("head"), F.max("last").alias("tail")]
+            tables[2] = written(tables[3].groupBy(F.col("tail").alias("run")).agg(F.count("*").alias("n"), *ends), "runs")
+        tables[1] = written(tables[2].groupBy(F.col("tail").alias("run")).agg(F.count("*").alias("n")), "singles")
+        self._rare = rare
+        singles = self._single(tables[1], size)
+        self.weights = self._longer(tables, singles)  # computed again where it is used: cheaper than kept
         self.n_runs = tables[order].count()
         self._counts = tables
 
     def hot_count(self, most: int) -> int:
         """From which count on the runs of all lengths are ``most`` or fewer."""
-        together = self._counts[self.order].select("n")
+        together = self._counts[self.order].select("n").unionByName(self._rare.select("n"))
         for k in range(2, self.order):
             together = together.unionByName(self._counts[k].select("n"))
         return max(1, least_count(together, most))
@@ -179,56 +239,71 @@ class Model:
         found = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
         return [min(max(d, 0.0), k) for k, d in zip((1, 2, 3), found, strict=True)]
 
-    def _single(self, counts: pd.DataFrame, size: int) -> None:
-        run, n = counts["run"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
-        d = np.array([0.0, *self.discounts([int((n == k).sum()) for k in (1, 2, 3, 4)])])
-        cut = d[np.minimum(n, 3).astype(int)]
-        total = n.sum()
-        p = np.full(size, cut.sum() / total / size if total else 1.0 / size)
-        p[run] += np.maximum(n - cut, 0) / total if total else 0
-        self.log_p = np.log(p)
+    def _single(self, counts: DataFrame, size: int) -> DataFrame:
+        """Probabilities of single words (tail, p_tail)."""
+        stands = [F.count(F.when(F.col("n") == i, 1)) for i in (1, 2, 3, 4)]
+        *tally, rows, total = counts.agg(*stands, F.count("*"), F.sum("n")).first()
+        d = self.discounts(tally)
+        kept = d[0] * tally[0] + d[1] * tally[1] + d[2] * (rows - tally[0] - tally[1])
+        unseen = kept / total / size if total else 1.0 / size
+        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        p = F.greatest(F.col("n") - cut, F.lit(0.0)) / F.lit(float(total or 1)) + F.lit(unseen)
+        singles = counts.select(F.col("run").alias("tail"), p.alias("p_tail"))
+        held = singles.where("tail >= 0").toPandas()  # at most as many rows as numbered words
+        p_held = np.full(self.vocabulary.size, unseen)
+        p_held[held["tail"].to_numpy(np.int64)] = held["p_tail"]
+        self.log_unseen = float(np.log(unseen))
+        self.log_p = np.log(p_held)
         self.log_p[START] = 0.0  # never predicted
-        self.log_back = np.zeros(size)
+        self.log_back = np.zeros(self.vocabulary.size)
+        return singles
 
-    def _longer(self, tables: dict[int, DataFrame], size: int) -> DataFrame:
+    def _longer(self, tables: dict[int, DataFrame], lower: DataFrame) -> DataFrame:
         spark = tables[self.order].sparkSession
-        lower = spark.createDataFrame(
-            pd.DataFrame({"tail": np.arange(size), "p_tail": np.exp(self.log_p)}), "tail bigint, p_tail double"
-        )
+
+        def beside(rows: DataFrame, side: DataFrame, name: str) -> DataFrame:
+            """``rows`` with what ``side`` says of a word: numbered words, which may be
+            in many rows, go to all tasks, and only rows of hashed words are shuffled."""
+            numbered = spark.createDataFrame(side.where(F.col(name) >= 0).toPandas(), side.schema)
+            return (
+                rows.where(F.col(name) >= 0).join(F.broadcast(numbered), name)
+                .unionByName(rows.where(F.col(name) < 0).join(side.where(F.col(name) < 0), name))
+            )
+
         out = None
         for k in range(2, self.order + 1):
-            table = tables[k]
+            table = tables[k].select("run", "n", "head", "tail")
             tally = table.agg(*[F.count(F.when(F.col("n") == i, 1)) for i in (1, 2, 3, 4)]).first()
             d1, d2, d3 = self.discounts(list(tally))
             cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-            head = F.shiftright("run", BITS)
             back = (F.sum("cut") / F.sum("n")).alias("back")
-            heads = table.select(head.alias("head"), "n", cut.alias("cut")).groupBy("head").agg(F.sum("n").alias("total"), back)
-            if k == 2:  # at most as many rows as the vocabulary
-                held = heads.toPandas()
+            heads = table.select("head", "n", cut.alias("cut")).groupBy("head").agg(F.sum("n").alias("total"), back)
+            rows = table.withColumn("cut", cut)
+            if k == 2:
+                heads = written(heads, "heads")
+                held = heads.where("head >= 0").toPandas()
                 self.log_back[held["head"]] = np.log(np.maximum(held["back"], 1e-12))
-                heads = F.broadcast(spark.createDataFrame(held, "head bigint, total bigint, back double"))
-                lower = F.broadcast(lower)
-            rows = (
-                table.withColumns({"head": head, "tail": F.col("run").bitwiseAND((1 << BITS * (k - 1)) - 1), "cut": cut})
-                .join(heads, "head")
-                .join(lower, "tail")
-                .select(
-                    "run",
-                    "n",
-                    "head",
-                    F.greatest("back", F.lit(1e-12)).alias("back"),
-                    F.col("p_tail"),
-                    (F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("total") + F.col("back") * F.col("p_tail")).alias("p"),
-                )
+                own = F.log("p_tail") - F.lit(self.log_unseen) + F.col("cost") + F.log(F.greatest("back", F.lit(1e-12)))
+                single = self._rare.join(lower.withColumnRenamed("tail", "run"), "run").join(heads.withColumnRenamed("head", "run"), "run")
+                out = single.select("run", "n", own.alias("weight"))
+                rows = beside(beside(rows, heads, "head"), lower, "tail")
+            else:
+                rows = rows.join(heads, "head").join(lower, "tail")
+            rows = rows.select(
+                "run",
+                "n",
+                "head",
+                F.greatest("back", F.lit(1e-12)).alias("back"),
+                F.col("p_tail"),
+                (F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("total") + F.col("back") * F.col("p_tail")).alias("p"),
             )
-            tag = lambda run, size: run + (size - 2 << LENGTH_BIT)
+            tag = lambda run, size: F.when(run < 0, run).otherwise(run + (size - 2 << LENGTH_BIT))
             gain = rows.select(tag(F.col("run"), k).alias("run"), "n", (F.log("p") - F.log("back") - F.log("p_tail")).alias("weight"))
             if k > 2:  # contexts of the longest runs are runs themselves
                 backs = heads.select(tag(F.col("head"), k - 1).alias("run"), F.lit(0).cast("bigint").alias("n"), F.log(F.greatest("back", F.lit(1e-12))).alias("weight"))
                 out = out.unionByName(gain).unionByName(backs).groupBy("run").agg(F.max("n").alias("n"), F.sum("weight").alias("weight"))
             else:
-                out = gain
+                out = out.unionByName(gain)
             lower = rows.select(F.col("run").alias("tail"), F.col("p").alias("p_tail"))
         return out
 
@@ -247,7 +322,8 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = pd.concat(held).groupby(level=0, sort=False).sum()
         if len(total):
             words = [w.decode("utf-8", "replace") for w in total.index]
-            yield pd.DataFrame({"word": words, "n": total.to_numpy()})
+            costs = [SPELLING * min(len(w), SPELLED) for w in total.index]
+            yield pd.DataFrame({"word": words, "number": _hashed(list(total.index)), "cost": costs, "n": total.to_numpy()})
 
 
 MESSAGES = "shard int, block string, n_docs int, runs binary, sizes binary, owners binary, doc_ids array<bigint>, hashes array<bigint>, base binary, words binary"
@@ -266,7 +342,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
     text), n_words, nll (nats over all its words and its end). Null and empty texts
     have no words and nll 0."""
     order, vocab = model.order, model.vocabulary
-    log_p, log_back = model.log_p, model.log_back
+    log_p, log_back, log_unseen = model.log_p, model.log_back, model.log_unseen
     hot = model.weights.where(F.col("n") >= model.hot_count(HOT_RUNS)).select("run", "weight").toPandas().sort_values("run")
     hot_runs, hot_weights = hot["run"].to_numpy(np.int64), hot["weight"].to_numpy(np.float64)
     starts = 0.0
@@ -288,11 +364,12 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
                 n, name = len(texts), f"{task}/{number}"
                 number += 1
                 single, owner = runs_of(numbers, edges, order, 1)
-                base = np.bincount(owner, log_p[single], n) - spelling + starts
+                base = np.bincount(owner, np.where(single < 0, log_unseen, log_p[np.maximum(single, 0)]), n) - spelling + starts
                 before = numbers[np.flatnonzero(np.arange(len(numbers)) - np.repeat(edges[:-1], np.diff(edges)) >= order - 1) - 1]
-                base += np.bincount(owner, log_back[before], n)
+                base += np.bincount(owner, np.where(before < 0, 0.0, log_back[np.maximum(before, 0)]), n)
                 parts = [runs_of(numbers, edges, order, k) for k in range(2, order + 1)]
-                parts = [(r + (k << LENGTH_BIT), d) for k, (r, d) in enumerate(parts)]
+                parts = [(np.where(r < 0, r, r + (k << LENGTH_BIT)), d) for k, (r, d) in enumerate(parts)]
+                parts.append((single[single < 0], owner[single < 0]))
                 run = np.concatenate([r for r, _ in parts])
                 doc = np.concatenate([d for _, d in parts])
                 if len(hot_runs):
@@ -307,7 +384,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
                 out = []
                 for s in np.flatnonzero(np.diff(cuts)):
                     mine, owners = run[cuts[s] : cuts[s + 1]], doc[cuts[s] : cuts[s + 1]]
-                    new = np.flatnonzero(np.concatenate(([True], np.diff(mine) > 0)))
+                    new = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
                     distinct = mine[new]
                     out.append(
                         (int(s), name, n, _pack(np.diff(distinct, prepend=0)), _pack(np.diff(np.append(new, len(mine))).astype(np.uint32)), _pack(owners.astype(np.uint32)), None, None, None, None)
@@ -346,7 +423,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame({"doc_id": ids, "row_hash": head["hashes"], "n_words": sizes, "nll": np.where(sizes > 0, -total, 0.0)})
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("row_hash"))
-    sharded = model.weights.select("run", "weight", ((F.col("run") % _SHARD_PRIME) % shards).cast("int").alias("shard"))
+    sharded = model.weights.select("run", "weight", (F.pmod("run", F.lit(_SHARD_PRIME)) % shards).cast("int").alias("shard"))
     answers = (
         source.mapInPandas(send, MESSAGES)
         .groupBy("shard")
@@ -361,7 +438,7 @@ def judge(
     labels: DataFrame,
     order: int = 2,
     quantile: float = 0.995,
-    vocabulary: int = VOCABULARY,
+    vocabulary: int | None = None,
     prior_words: int = PRIOR_WORDS,
 ) -> DataFrame:
     """Quality of every row of ``docs`` (doc_id, text, lang) by ``labels`` (doc_id, quality).

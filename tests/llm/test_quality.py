@@ -58,6 +58,18 @@ def test_perplexity_equals_the_recursion(spark, monkeypatch, order, hot):
     assert [got[i] for i in range(len(DOCS))] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_every_trusted_word_is_known(spark, monkeypatch, order):
+    monkeypatch.setattr(quality, "HOT_WORDS", 3)
+    monkeypatch.setattr(quality, "HOT_RUNS", 4)
+    model = quality.Model(spark.createDataFrame([(t,) for t in TEXTS], "text string"), order)
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
+    got = {r["doc_id"]: r["nll"] for r in quality.perplexity(docs, model).collect()}
+    vocab = sorted({w.decode() for t in TEXTS for w in quality.words_of(t)})
+    assert 0 < len(model.vocabulary.numbers) <= 3 < len(vocab)
+    assert [got[i] for i in range(len(DOCS))] == pytest.approx(plain(TEXTS, DOCS, order, vocab))
+
+
 def test_judgement_of_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (10, 0), (None, 1), (1, 0)], "doc_id long, quality int")
     rows = quality.judge(cases.documents(spark), labels).collect()
