@@ -269,10 +269,16 @@ def join(
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("row_hash"))
     sketched = written(source.mapInPandas(sketch, "doc_id bigint, row_hash bigint, key binary, bands binary"), "sketches")
+    nobody = F.lit(-(1 << 63))
     kid = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("bigint")
     classes = written(
         sketched.groupBy("key")
-        .agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+        .agg(
+            F.min("doc_id").alias("copy_id"),
+            F.count("*").alias("copies"),
+            F.first("bands").alias("bands"),
+            F.min(F.struct(F.coalesce("doc_id", nobody).alias("id"), "row_hash")).alias("row"),
+        )
         .withColumn("kid", kid),
         "classes",
     )
@@ -315,15 +321,15 @@ def join(
                 same = np.array([_key(s) == k for s, k in zip(sets, part["key"], strict=True)])
                 yield part[same].assign(shingles=[s.tobytes() for s, x in zip(sets, same, strict=True) if x]).drop(columns="key")
 
-    nobody = F.lit(-(1 << 63))
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_SLOTS)).alias("slot")
-    wanted = asked.select(F.coalesce("copy_id", nobody).alias("id"), "kid", "key", "component", "size", "copies")
+    # One row stands for each class, found by its id and text: ids may repeat or be null.
+    slot = F.pmod(F.xxhash64("id", "row_hash"), F.lit(FILTER_SLOTS)).alias("slot")
+    wanted = asked.select("row.id", "row.row_hash", "kid", "key", "component", "size", "copies")
     # A filter of fixed size keeps most texts that nobody asks for out of the shuffle.
     slots = F.broadcast(wanted.select(slot).distinct())
-    texts = source.select(F.coalesce("doc_id", nobody).alias("id"), "text").withColumn("slot", slot).join(slots, "slot", "left_semi").drop("slot")
+    texts = source.select(F.coalesce("doc_id", nobody).alias("id"), "row_hash", "text").withColumn("slot", slot).join(slots, "slot", "left_semi").drop("slot")
     exact = (
-        texts.join(wanted.hint("merge"), "id")
-        .drop("id")
+        texts.join(wanted.hint("merge"), ["id", "row_hash"])
+        .drop("id", "row_hash")
         .mapInPandas(reshingle, "kid bigint, component bigint, size bigint, copies bigint, shingles binary")
     )
     one = written(exact, "shingles").dropDuplicates(["kid"])

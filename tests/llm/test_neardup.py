@@ -46,6 +46,20 @@ def test_join_equals_brute_force(spark, monkeypatch):
     assert joined(cases.documents(spark, data)) == want
 
 
+def test_texts_without_ids_are_read_once_per_class(spark, monkeypatch):
+    base = cases.words(80, seed=2)
+    data = [(None, " ".join([*base[:i], f"new{i}", *base[i + 1 :]]), "en", "a", 0, *cases.rows()[0][5:]) for i in range(60)]
+    read, plain = spark.sparkContext.accumulator(0), neardup.blocks
+
+    def counted(texts, *rest):
+        read.add(len(texts))
+        return plain(texts, *rest)
+
+    monkeypatch.setattr(neardup, "blocks", counted)
+    assert joined(cases.documents(spark, data)) == brute(data)
+    assert len(data) < read.value <= 3 * len(data)  # sketched, and read again for the classes
+
+
 def test_join_of_nothing(spark):
     assert neardup.join(cases.empty(spark)).count() == 0
 
