@@ -125,15 +125,16 @@ def fit(
     by feature and bias of each.
 
     Texts whose label is 1 are positives, all others unlabelled. ``prior`` is the share
-    of toxic texts among all; without it, their share among the labelled. About
-    ``positives`` and ``unlabelled`` texts are drawn by a seeded hash of the id; each
+    of toxic texts among all; without it, their share among the labelled ids. About
+    ``positives`` and ``unlabelled`` ids are drawn by a seeded hash, however many rows
+    they have, and each different text of a drawn id is used once; each
     classifier sees all of the positives and its own part of the unlabelled. A doc_id with several labels is toxic if any is.
     Without positives there are no classifiers.
     """
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     kind = (F.coalesce(F.col("toxic"), F.lit(0)) == 1).cast("int")
     texts = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
-    ids = texts.select("doc_id").join(known, "doc_id", "left")
+    ids = texts.select("doc_id").distinct().join(known, "doc_id", "left")
     count = ids.agg(F.sum(kind).alias("p"), F.count("*").alias("n"), F.count("toxic").alias("known")).first()
     if not count["p"]:
         return []
@@ -146,7 +147,8 @@ def fit(
     part = (draw % classifiers).cast("int")
     parts = F.when(kind == 1, F.array(*[F.lit(i) for i in range(classifiers)])).otherwise(F.array(part))
     drawn = ids.where(draw < limit).select("doc_id", kind.alias("kind"), F.explode(parts).alias("part")).distinct()
-    sample = texts.join(F.broadcast(written(drawn, "sample")), "doc_id")  # its size is the bound above
+    # As many ids as the bound above; copies of a row count once.
+    sample = texts.join(F.broadcast(written(drawn, "sample")), "doc_id").dropDuplicates(["doc_id", "text", "kind", "part"])
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "text"])

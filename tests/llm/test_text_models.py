@@ -83,6 +83,16 @@ def test_held_out_toxicity(spark):
     assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.95 * len(got)
 
 
+def test_repeated_ids_do_not_thin_out_the_sample(spark):
+    rows = [(0, "plain words of one row")] * 20_000
+    rows += [(i, f"foulword other{i % 7}") for i in range(1, 61)] + [(i, f"gentle other{i % 7}") for i in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in {r[0] for r in rows}], "doc_id long, toxic int")
+    models = toxicity.fit(docs, labels, positives=100)
+    assert len(models) == 4
+    assert all(weights.get("foulword", 0) > 0 for weights, _ in models)
+
+
 def test_toxicity_of_awkward_rows(spark):
     docs = cases.documents(spark)
     labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (None, 1), (99, 1)], "doc_id long, toxic int")
