@@ -1,13 +1,12 @@
 """Token ids in compressed shards that can be read at any place.
 
 Documents are put in order of their ids, encoded by a given tokenizer and cut into
-shards of whole documents. A shard's ids are compressed by Re-Pair: round by round,
-frequent pairs of neighbouring symbols become new symbols. There are ``ROUNDS`` rounds
-of limited size, so repetition may remain: a symbol stands for 4 ids at most. The file format is a
-Parquet table with one row per shard: the rules, how many ids each of them expands
-to, the remaining symbols, and the documents with their numbers of ids. Sums over
-expansion lengths say which symbols hold a given range of ids, so a document is
-decoded without the rest of its shard.
+shards of whole documents. A shard's ids are compressed by Re-Pair: batch by batch, the
+pairs of neighbouring symbols that are frequent become new symbols, until no pair is
+frequent any more. The file format is a Parquet table with one row per shard: the
+rules, how many ids each of them expands to, the remaining symbols, and the documents
+with their numbers of ids. Sums over expansion lengths say which symbols hold a given
+range of ids, so a document is decoded without the rest of its shard.
 """
 
 from __future__ import annotations
@@ -24,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from casegate.llm.common import folder, offsets, per_process
 
-# Ids of a shard (a longer document is a shard of its own), rounds, and the least
-# count of a pair that becomes a rule.
-SHARD_IDS, ROUNDS, LEAST_COUNT = 2_000_000, 2, 12
-# New symbols of a round, at most.
-ROUND_RULES = 7_500
+# Ids of a shard (a longer document is a shard of its own), and the least count of a
+# pair that becomes a rule.
+SHARD_IDS, LEAST_COUNT = 2_000_000, 12
 # Entries of the encoder's memory, after which it starts anew.
-KNOWN = 600_000
+KNOWN = 1_000_000
+# Spreads pairs over slots (golden ratio, 64 bits).
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 SHARDS = (
     "task int, part int, before bigint, n_ids bigint, doc_ids array<bigint>, counts binary, "
@@ -134,49 +133,63 @@ class Encoder:
         return self.whole([text])[0]
 
 
-def re_pair(
-    ids: np.ndarray, first_rule: int, rounds: int = ROUNDS, least: int = LEAST_COUNT, most: int = ROUND_RULES
-) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def re_pair(ids: np.ndarray, first_rule: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Symbols, rules (left and right symbol of each, from ``first_rule`` on) and the
     number of rules after each round.
 
-    A round counts all pairs by a hash of them and takes the ``most`` largest counts of
-    ``least`` or more. A rule replaces one pair of each, if that alone stands ``least``
-    times, from the left where pairs overlap.
+    A round makes a rule of every pair that stands ``least`` times, and replaces it from
+    the left where pairs overlap. The next round counts only pairs with a symbol of the
+    round before; when none of them is frequent, all pairs are counted once more, so in
+    the end no pair stands ``least`` times but in overlaps that give no second place.
     """
-    symbols, rules, ends = ids.astype(np.int64), np.empty((0, 2), dtype=np.int64), []
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        keys = (symbols[:-1] << 32) | symbols[1:]
-        slots = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int32)
-        counts = np.bincount(slots, minlength=1 << 21)
-        top = np.flatnonzero(counts >= least)
-        if len(top) > most:
-            top = np.sort(top[np.argsort(-counts[top], kind="stable")[:most]])
-        rank = np.full(1 << 21, -1, dtype=np.int32)
-        rank[top] = np.arange(len(top))
-        rule = rank[slots]
-        where = np.flatnonzero(rule >= 0)
-        rule, pairs = rule[where], np.zeros(len(top), dtype=np.int64)
-        pairs[rule] = keys[where]
-        match = keys[where] == pairs[rule]
-        where, rule = where[match], rule[match]
-        enough = np.bincount(rule, minlength=len(top)) >= least
-        if not enough.any():
-            break
-        where, rule = where[enough[rule]], (np.cumsum(enough) - 1)[rule[enough[rule]]]
-        pairs = pairs[enough]
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(where) > 1)))
-        even = (np.arange(len(where)) - np.repeat(starts, np.diff(np.append(starts, len(where))))) & 1 == 0
-        where, rule = where[even], rule[even]
-        symbols[where] = first_rule + len(rules) + rule
+    symbols, rules, ends, fresh = ids.astype(np.uint64), [], [], 0
+    while len(symbols) > 1:
+        big = symbols >= np.uint64(fresh)
+        at = np.flatnonzero(big[:-1] | big[1:])
+        keys = (symbols[at] << np.uint64(32)) | symbols[at + 1]
+        # Counts of slots leave out most pairs that are rare; the rest is sorted.
+        slots = ((keys * _SPREAD) >> np.uint64(46)).astype(np.int64)
+        some = np.flatnonzero((np.bincount(slots, minlength=1 << 18) >= least)[slots])
+        at, keys = at[some], keys[some]
+        ranked = np.sort(keys)
+        edges = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True]))) if len(ranked) else np.zeros(1, dtype=np.int64)
+        pairs = ranked[edges[:-1][np.diff(edges) >= least]]
+        where, rule, pairs = _chosen(at, keys, pairs)
+        if not len(pairs):
+            if not fresh:
+                break
+            fresh = 0
+            continue
+        fresh = first_rule + sum(map(len, rules))
+        symbols[where] = np.uint64(fresh) + rule.astype(np.uint64)
         keep = np.ones(len(symbols), dtype=bool)
         keep[where + 1] = False
         symbols = symbols[keep]
-        rules = np.concatenate((rules, np.stack((pairs >> 32, pairs & 0xFFFFFFFF), axis=1)))
-        ends.append(len(rules))
-    return symbols, rules, ends
+        rules.append(pairs)
+        ends.append(sum(map(len, rules)))
+    flat = np.concatenate(rules) if rules else np.empty(0, dtype=np.uint64)
+    sides = np.stack((flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF)), axis=1).astype(np.int64)
+    return symbols.astype(np.int64), sides, ends
+
+
+def _chosen(at: np.ndarray, keys: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that are replaced, the number of the pair at each, and the pairs that are
+    replaced twice or more. Of two pairs in one slot the later is taken, the other has
+    its turn in a later round."""
+    if not len(pairs):
+        return at[:0], at[:0], pairs
+    shift = np.uint64(60 - len(pairs).bit_length())
+    rank = np.full(1 << int(64 - shift), -1, dtype=np.int64)
+    rank[(pairs * _SPREAD) >> shift] = np.arange(len(pairs))
+    rule = rank[(keys * _SPREAD) >> shift]
+    match = (rule >= 0) & (keys == pairs[rule])
+    where, rule = at[match], rule[match]
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(where) > 1)))
+    even = (np.arange(len(where)) - np.repeat(starts, np.diff(np.append(starts, len(where))))) & 1 == 0
+    where, rule = where[even], rule[even]
+    used = np.bincount(rule, minlength=len(pairs)) >= 2
+    taken = used[rule]
+    return where[taken], (np.cumsum(used) - 1)[rule[taken]], pairs[used]
 
 
 def spans_of(rules: np.ndarray, ends: list[int], first_rule: int) -> np.ndarray:
@@ -211,8 +224,8 @@ class Shard:
         self.first_rule, self.ends = row["first_rule"], [int(e) for e in row["rounds"]]
         self.rules = np.frombuffer(row["rules"], dtype="<u4").astype(np.int64).reshape(-1, 2)
         self.spans = np.frombuffer(row["spans"], dtype="<u4").astype(np.int64)
-        wide = self.first_rule + len(self.rules) > 1 << 16
-        self.symbols = np.frombuffer(row["symbols"], dtype="<u4" if wide else "<u2").astype(np.int64)
+        low, high = np.frombuffer(row["symbols"], dtype="<u2").astype(np.int64).reshape(2, -1)
+        self.symbols = (high << 16) | low
         self.counts = np.frombuffer(row["counts"], dtype="<i8")
 
     def ids(self) -> np.ndarray:
@@ -236,16 +249,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     """Write the ids of ``docs`` (doc_id, text), in ascending order of doc_id, to a
     table of shards at ``path``.
 
-    Every row is a document, also one that repeats; rows of one id stand in the order
-    of their texts, those without an id first. A null text is empty. ``end_id`` closes
+    Every row is a document, also one that repeats; rows of one id stand in the order of
+    their texts' first 64 characters, then of a hash, those without an id first. A null text is empty. ``end_id`` closes
     each document. ``tokenizer`` is the path of a tokenizer file on every executor.
     """
 
     def pack(task: int, part: int, before: int, ids: list[bytes], docs_: list, first_rule: int) -> pd.DataFrame:
         counts = np.array([len(x) // 4 for x in ids], dtype="<i8")
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
-        symbols, rules, ends = re_pair(flat, first_rule)
-        wide = first_rule + len(rules) > 1 << 16
+        symbols, rules, ends = re_pair(np.frombuffer(b"".join(ids), dtype="<u4"), first_rule)
         return pd.DataFrame(
             {
                 "task": [task],
@@ -257,7 +268,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
                 "rules": [rules.astype("<u4").tobytes()],
                 "spans": [spans_of(rules, ends, first_rule).astype("<u4").tobytes()],
                 "rounds": [ends],
-                "symbols": [symbols.astype("<u4" if wide else "<u2").tobytes()],
+                # Lower halves, then upper halves, which are all but equal.
+                "symbols": [np.concatenate((symbols & 0xFFFF, symbols >> 16)).astype("<u2").tobytes()],
                 "first_rule": [first_rule],
             }
         )
@@ -282,7 +294,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
             yield pack(task, part, before, ids, owners, first_rule)
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.substring("text", 1, 64), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInPandas(shards, SHARDS).write.parquet(path)
 
 

@@ -54,3 +54,20 @@ def test_round_trip_and_random_access(spark, tmp_path):
 def test_no_documents(spark, tmp_path):
     tokens.write_tokens(cases.empty(spark), str(tmp_path / "none"), tokenizer_path())
     assert tokens.read_tokens(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_re_pair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 500, 700)
+    copied = np.concatenate([x for _ in range(40) for x in (passage, rng.integers(0, 500, 30))]).astype("<u4")
+    for ids in (copied, (rng.zipf(1.4, 50_000) % 500).astype("<u4"), np.zeros(999, dtype="<u4")):
+        symbols, rules, ends = tokens.re_pair(ids, 600, least=12)
+        assert (tokens.expand(symbols, rules, ends, 600) == ids).all()
+        places = {}
+        for i, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist(), strict=False)):
+            if i - 1 not in places.setdefault(pair, [])[-1:]:
+                places[pair].append(i)
+        assert max(map(len, places.values()), default=0) < 12
+    symbols, rules, ends = tokens.re_pair(copied, 600, least=12)
+    assert tokens.spans_of(rules, ends, 600).max() == len(passage)
+    assert len(symbols) < 40 * 35
