@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casegate.llm import ann, decontam, langid, mixing, neardup, quality, tokens, toxicity, urlfilter, warc
+from casegate.llm import align, ann, decontam, langid, merkle, mixing, neardup, packing, quality, tokens, toxicity, urlfilter, warc
 from casegate.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -162,11 +162,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, models).withColumn("held_out", ~learned)
 
 
-def tokenizer_path() -> str:
-    """The public byte-level vocabulary that the queries encode with."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """The public vocabulary that the queries encode with."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op8_tokens")
@@ -186,3 +186,86 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under a model of trusted text, and whether it is kept."""
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_hash")
+
+
+@query("op11_align")
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies cover each document, and how usual their links are."""
+    found = align.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op12_pack")
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in sequences of 2048 tokens, written and read back by piece."""
+    return packing.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, size=2048)
+
+
+# Reads the CRC of ids byte by byte; the table of the polynomial comes first.
+OP13_SQL = r"""
+WITH RECURSIVE crc(byte, code) AS (
+  SELECT b, list_reduce([b::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)
+  FROM range(256) AS t(b)
+), codes AS MATERIALIZED (SELECT list(code ORDER BY byte) AS t FROM crc
+), named AS (
+  SELECT row_number() OVER () AS r, *, doc_id::VARCHAR AS d FROM documents
+), drawn AS (
+  SELECT r, doc_id, coalesce('s' || source, 'n') AS tree,
+         [d, source, lang, n_chars::VARCHAR] AS columns, text,
+         CASE WHEN xor(list_reduce(list_concat([4294967295::UBIGINT], [ord(x)::UBIGINT FOR x IN string_split(d, '')]),
+                lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)::INT])), 4294967295::UBIGINT) % 2 = 0
+              THEN replace(text, chr(10), '') ELSE text END AS found
+  FROM named, codes
+), leaves AS MATERIALIZED (
+  SELECT r, doc_id, tree,
+         sha256(array_to_string([coalesce(strlen(x) || ':' || x, '-') FOR x IN list_append(columns, text)], '')) AS leaf,
+         sha256(array_to_string([coalesce(strlen(x) || ':' || x, '-') FOR x IN list_append(columns, found)], '')) AS found
+  FROM drawn
+), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), nodes(tree, level, idx, h, n) AS (
+  SELECT tree, 0, pos, leaf, n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 3, n
+), subs AS MATERIALIZED (
+  SELECT tree, level AS top, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops(level, idx, h, n) AS (
+  SELECT 0, pos, subroot, n FROM subs
+  UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM tops WHERE n > 1 GROUP BY level, idx // 3, n
+), all_nodes AS (
+  SELECT tree, level, idx, h FROM nodes WHERE n > 1
+  UNION ALL
+  SELECT NULL, level, idx, h FROM tops WHERE n > 1
+), kin AS MATERIALIZED (
+  SELECT a.tree, a.level, a.idx,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after
+  FROM all_nodes a JOIN all_nodes b ON a.tree IS NOT DISTINCT FROM b.tree AND a.level = b.level AND a.idx // 3 = b.idx // 3
+  GROUP BY ALL
+), climbs(r, tree, level, idx, proof, folded) AS (
+  SELECT r, tree, 0, pos, '', found FROM placed
+  UNION ALL
+  SELECT r, k.tree, k.level + 1, k.idx // 3, proof || before || after, sha256(before || folded || after)
+  FROM climbs c JOIN kin k ON c.tree = k.tree AND c.level = k.level AND c.idx = k.idx
+), under AS MATERIALIZED (
+  SELECT r, proof, folded, s.subroot, s.pos FROM climbs c JOIN subs s ON c.tree = s.tree AND c.level = s.top
+), rises(r, level, idx, proof, folded) AS (
+  SELECT r, 0, pos, proof, folded FROM under
+  UNION ALL
+  SELECT r, k.level + 1, k.idx // 3, proof || before || after, sha256(before || folded || after)
+  FROM rises c JOIN kin k ON k.tree IS NULL AND c.level = k.level AND c.idx = k.idx
+), root AS (
+  SELECT level, h AS root FROM tops WHERE n = 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = root AS verified
+FROM placed JOIN under USING (r) JOIN rises c USING (r) JOIN root USING (level)
+"""
+
+
+@query("op13_merkle", OP13_SQL)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document, and which of them still hold when texts lost their line ends."""
+    lost = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    found = F.when(lost, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), found)
