@@ -18,7 +18,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator, Sequence
-from itertools import accumulate, repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from casegate.llm.common import blocks, offsets, per_process, written
 
-# Parts in a worker's memory, and parts that are encoded in one call.
-KNOWN, CALL_PARTS = 500_000, 128
+# Parts in a worker's memory, how many of them stay when it is full, and parts that are
+# aligned in one call.
+KNOWN, STAY, CALL_PARTS = 500_000, 200_000, 128
 # Frequent pairs that go to all tasks, and counted pairs that a task holds back.
 HOT_PAIRS, HELD_PAIRS = 400_000, 3_000_000
 # Frequent pairs are chosen by steps of their count's logarithm.
@@ -42,16 +43,11 @@ def slices(ends_a: Sequence[int], ends_b: Sequence[int]) -> tuple[list[int], lis
     return [index_a[end] for end in common], [index_b[end] for end in common]
 
 
-def links(ends_a: Sequence[int], ends_b: Sequence[int]) -> list[tuple[int, int]]:
-    """Pairs of places in one group whose tokens share bytes."""
-    i = j = 0
-    found = []
-    while i < len(ends_a) and j < len(ends_b):
-        found.append((i, j))
-        a, b = ends_a[i], ends_b[j]
-        i += a <= b
-        j += b <= a
-    return found
+def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the tokens of both sides that share bytes: inside a slice, each end of
+    either side is where one shared run of bytes ends."""
+    ends = np.union1d(ends_a, ends_b)
+    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -81,90 +77,117 @@ class Aligner:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
         self.size_a, self.size_b = len(self.bytes_a), len(self.bytes_b)
-        self.lengths_a, self.lengths_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.lengths_a, self.lengths_b = (np.array([len(x) for x in side], dtype=np.int64) for side in (self.bytes_a, self.bytes_b))
+        # Each id as text, with what may follow it.
+        ids = [str(i) for i in range(max(self.size_a, self.size_b))]
+        self.text = np.array([[i + sign for i in ids] for sign in (",", "|", ";", "")], dtype=object)
         self.space = self.b.piece_to_id("▁")
         self.cuts = len(self.ids_a("\n")) == 1 and not any(re.search("\n|[^▁]▁", p) for p in pieces)
         self.version = 0
-        self.clear()
+        self.empty()
 
-    def clear(self) -> None:
+    def empty(self) -> None:
         # Number 0 stands for all parts that cannot be cut out.
         self.known: dict[str, int] = {"": 0, "\n": 0}
-        self.groups = [""]
+        self.parts, self.groups = [""], [""]
+        self.met = np.zeros(1, dtype=np.int64)
         self.sizes = np.zeros((1, 4), dtype=np.int64)  # tokens of both sides, groups, links
         self.codes, self.edges = np.empty(0, dtype=np.int64), np.zeros(2, dtype=np.int64)
         self.version += 1
 
+    def forget(self) -> None:
+        """Keep the parts that were met most."""
+        stay = np.sort(np.argsort(-self.met[1:], kind="stable")[:STAY]) + 1
+        parts, groups = [self.parts[i] for i in stay], [self.groups[i] for i in stay]
+        met, sizes, codes = self.met[stay] // 2, self.sizes[stay], self.gather(stay)[0]
+        self.empty()
+        self.keep(parts, groups, sizes, codes)
+        self.met[1:] = met
+
+    def keep(self, parts: list[str], groups: list[str], sizes: np.ndarray, codes: np.ndarray) -> None:
+        self.known.update(zip(parts, range(len(self.parts), len(self.parts) + len(parts)), strict=True))
+        self.parts += parts
+        self.groups += groups
+        self.met = np.concatenate((self.met, np.zeros(len(parts), dtype=np.int64)))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.codes = np.concatenate((self.codes, codes))
+        self.edges = offsets(self.sizes[:, 3])
+
     def ids_a(self, text: str) -> list[int]:
         return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def together(self, parts: list[str]) -> list[list[int]]:
-        """First side's ids of parts: of all as one text, cut where the bytes of a part end."""
-        out: list[list[int]] = []
-        for i in range(0, len(parts), CALL_PARTS):
-            some = parts[i : i + CALL_PARTS]
-            ids = self.ids_a("".join(some))
-            at = {end: k for k, end in enumerate(accumulate(map(self.lengths_a.__getitem__, ids)), 1)}
-            cuts = [at.get(end) for end in accumulate(len(p.encode()) for p in some)]
-            out += [self.ids_a(p) for p in some] if None in cuts else [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-        return out
-
-    def aligned(self, text: bytes, a: list[int], b: list[int]) -> tuple[str, tuple, list[int]] | None:
-        """Groups as text, sizes and the codes of linked pairs, if both sides are ``text``."""
-        if b"".join(map(self.bytes_a.__getitem__, a)) != text or b"".join(map(self.bytes_b.__getitem__, b)) != text:
+    def aligned(self, texts: list[bytes], a: list[int], b: list[int]) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+        """Groups of each text as text, its sizes, and the codes of linked pairs, if both
+        sides are the texts one after another and no token lies in two of them."""
+        joined = b"".join(texts)
+        if b"".join(map(self.bytes_a.__getitem__, a)) != joined or b"".join(map(self.bytes_b.__getitem__, b)) != joined:
+            return None
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        ends_a, ends_b, stops = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b]), np.cumsum([len(t) for t in texts])
+        cuts_a, cuts_b = (np.array(side, dtype=np.int64) for side in slices(ends_a.tolist(), ends_b.tolist()))
+        common = ends_a[cuts_a - 1]
+        last = np.searchsorted(common, stops)
+        if last[-1] >= len(common) or (common[last] != stops).any():
             return None
-        ends_a = list(accumulate(map(self.lengths_a.__getitem__, a)))
-        ends_b = list(accumulate(map(self.lengths_b.__getitem__, b)))
-        written_, codes, i, j = [], [], 0, 0
-        stops = slices(ends_a, ends_b)
-        for m, n in zip(*stops, strict=True):
-            written_.append(f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
-            codes += [a[i + x] * self.size_b + b[j + y] for x, y in links(ends_a[i:m], ends_b[j:n])]
-            i, j = m, n
-        return ";".join(written_), (len(a), len(b), len(stops[0]), len(codes)), codes
-
-    def whole(self, text: str) -> tuple[str, tuple, list[int]] | None:
-        return self.aligned((" " + text).encode(), self.ids_a(" " + text), self.b.encode(text)) if text else None
+        at_a, at_b = links(ends_a, ends_b)
+        held = np.searchsorted(np.union1d(ends_a, ends_b), stops) + 1
+        sizes = np.diff(np.stack((cuts_a[last], cuts_b[last], last + 1, held), axis=1), axis=0, prepend=0)
+        # What follows each id: more of its side, the other side, the next group, or nothing.
+        sign_a, sign_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        sign_a[cuts_a - 1], sign_b[cuts_b - 1] = 1, 2
+        sign_b[cuts_b[last] - 1] = 3
+        sides = np.concatenate((np.searchsorted(common, ends_a) * 2, np.searchsorted(common, ends_b) * 2 + 1))
+        order = np.argsort(sides, kind="stable")
+        text = self.text[np.concatenate((sign_a, sign_b))[order], np.concatenate((a, b))[order]].tolist()
+        edges = offsets(sizes[:, 0] + sizes[:, 1]).tolist()
+        groups = ["".join(text[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+        return groups, sizes, a[at_a] * self.size_b + b[at_b]
+
+    def whole(self, text: str) -> tuple[str, tuple, np.ndarray] | None:
+        found = self.aligned([(" " + text).encode()], self.ids_a(" " + text), self.b.encode(text)) if text else None
+        return found and (found[0][0], tuple(found[1][0].tolist()), found[2])
 
     def learn(self, parts: list[str]) -> None:
         """Align new parts, the space or line end before them included."""
-        new = []
+        new, fresh = [], []
         for part in parts:
             body = part.removeprefix("\n")
-            if body and not any(map(str.isspace, body)):
+            if body.split() == [body]:
                 new.append(part)
             else:
                 self.known[part] = 0
-        led = [p if p[0] == "\n" else " " + p for p in new]
-        groups, sizes, codes = [], [], []
-        for part, text, a, b in zip(new, led, self.together(led), self.b.encode(new, num_threads=1), strict=True):
+        for i in range(0, len(new), CALL_PARTS):
+            some = new[i : i + CALL_PARTS]
+            led = [p if p[0] == "\n" else " " + p for p in some]
             # The second side puts a space before all it encodes.
-            found = None if part[0] == "\n" and b[:1] != [self.space] else self.aligned(text.encode(), a, b[part[0] == "\n" :])
-            if found is None:
-                self.known[part] = 0
-            else:
-                self.known[part] = len(self.groups) + len(groups)
-                groups.append(found[0])
-                sizes.append(found[1])
-                codes += found[2]
-        if groups:
-            self.groups += groups
-            self.sizes = np.concatenate((self.sizes, np.array(sizes, dtype=np.int64)))
-            self.codes = np.concatenate((self.codes, np.array(codes, dtype=np.int64)))
-            self.edges = offsets(self.sizes[:, 3])
+            b = [ids[1:] if p[0] == "\n" and ids[0] == self.space else ids for p, ids in zip(some, self.b.encode(some, num_threads=1), strict=True)]
+            found = self.aligned([p.encode() for p in led], self.ids_a("".join(led)), list(chain.from_iterable(b)))
+            if found is not None:
+                fresh.append((some, *found))
+                continue
+            for part, text, ids in zip(some, led, b, strict=True):
+                found = self.aligned([text.encode()], self.ids_a(text), ids)
+                if found is None:
+                    self.known[part] = 0
+                else:
+                    fresh.append(([part], *found))
+        if fresh:
+            parts, groups, sizes, codes = zip(*fresh, strict=True)
+            self.keep([*chain.from_iterable(parts)], [*chain.from_iterable(groups)], np.concatenate(sizes), np.concatenate(codes))
 
     def numbered(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all parts of the texts, and where each text's parts begin."""
         cut = [(" " + t).replace("\n", " \n").split(" ")[1:] for t in texts] if self.cuts else [[""] for _ in texts]
         parts = [part for parts in cut for part in parts]
-        if len(self.groups) > KNOWN:
-            self.clear()
+        if len(self.parts) > KNOWN:
+            self.forget()
         numbers = np.fromiter(map(self.known.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
         missing = np.flatnonzero(numbers < 0).tolist()
         if missing:
             some = [parts[i] for i in missing]
             self.learn(list(dict.fromkeys(some)))
             numbers[missing] = [self.known[p] for p in some]
+        self.met += np.bincount(numbers, minlength=len(self.met))
         return numbers, offsets(np.array([len(p) for p in cut], dtype=np.int64))
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +329,7 @@ def _scored(aligner: Aligner, scores: Scores, texts: Sequence[str]) -> Iterator[
             if whole is None:
                 yield 0, 0, 0, 0, 0, 0, "", [], []
                 continue
-            codes = np.array(whole[2], dtype=np.int64)
+            codes = whole[2]
             n, best, found = scores.of(codes)
             left, left_n = np.unique(codes[~found], return_counts=True)
             yield *whole[1], int(best.sum()), int(n.sum()), hashlib.sha256(whole[0].encode()).hexdigest(), left, left_n

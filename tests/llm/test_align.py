@@ -102,6 +102,7 @@ def test_long_text_by_parts_and_whole(spark):
 
 def test_memory_starts_anew(spark, monkeypatch):
     monkeypatch.setattr(align, "KNOWN", 10)
+    monkeypatch.setattr(align, "STAY", 4)
     aligner = align.Aligner(*PATHS)
     scores = align.Scores(*[np.empty(0, dtype="i8")] * 3)
     for text in ("some words that fill it up and more than ten of them in all", "other words follow here", "some words"):
