@@ -43,11 +43,12 @@ def slices(ends_a: Sequence[int], ends_b: Sequence[int]) -> tuple[list[int], lis
     return [index_a[end] for end in common], [index_b[end] for end in common]
 
 
-def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the tokens of both sides that share bytes: inside a slice, each end of
-    either side is where one shared run of bytes ends."""
-    ends = np.union1d(ends_a, ends_b)
-    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the tokens of both sides that share bytes, and where they end to do so:
+    inside a slice, each end of either side is where one shared run of bytes ends."""
+    ends = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")
+    ends = ends[np.flatnonzero(np.diff(ends, prepend=0))]
+    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends), ends
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -129,8 +130,8 @@ class Aligner:
         last = np.searchsorted(common, stops)
         if last[-1] >= len(common) or (common[last] != stops).any():
             return None
-        at_a, at_b = links(ends_a, ends_b)
-        held = np.searchsorted(np.union1d(ends_a, ends_b), stops) + 1
+        at_a, at_b, ends = links(ends_a, ends_b)
+        held = np.searchsorted(ends, stops) + 1
         sizes = np.diff(np.stack((cuts_a[last], cuts_b[last], last + 1, held), axis=1), axis=0, prepend=0)
         # What follows each id: more of its side, the other side, the next group, or nothing.
         sign_a, sign_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
