@@ -97,9 +97,8 @@ def ledger_fold(spark, sf):
     SELECT * FROM steps WHERE (from_state, to_state) NOT IN (SELECT (from_state, to_state) FROM edges)""",
 )
 def illegal_transitions(spark, sf):
-    """Windows run per user and slice of the log, chained over the slices."""
-    events = b.user_events(spark, sf)
-    return ledger.illegal_transitions(spark, events, ledger.order_segments(events, "seq"))
+    """Windows run per range of the log and user, chained over the ranges."""
+    return ledger.illegal_transitions(spark, b.user_events(spark, sf))
 
 
 @query(
@@ -116,8 +115,7 @@ def attempt_sequence(spark, sf):
     tries = b.table(spark, sf, "events").where("event_type in ('purchase', 'error')").select(
         "user_id", _seq(), F.when(F.col("event_type") == "purchase", "PASS").otherwise("FAIL").alias("result")
     )
-    segment = ledger.order_segments(tries, "seq")
-    steps = ledger.with_previous(tries, ["user_id"], "seq", segment, ["result"])
+    steps = ledger.with_previous(tries, ["user_id"], "seq", ["result"])
     passed = F.when(F.col("result") == "PASS", F.col("position"))
     return steps.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n_attempts"),
@@ -511,5 +509,5 @@ def unique_active(spark, sf):
         _seq(),
         F.when(F.col("event_type") == "signup", "CREATE").otherwise("END").alias("kind"),
     )
-    decided = reconcile.unique_active(log, "user_id", "seq", ledger.order_segments(log, "seq"))
+    decided = reconcile.unique_active(log, "user_id", "seq")
     return decided.select("event_id", "user_id", "accepted")

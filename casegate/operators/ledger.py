@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from casegate.operators.report import closed_list
-from casegate.session import broadcast_if_small
+from casegate.session import broadcast_if_small, materialised
 
 # States, the reconciliation bucket of each, and the states in
 # which a case holds a live instance.
@@ -78,65 +78,41 @@ def fold_ledger(events: DataFrame) -> DataFrame:
     )
 
 
-# Rows of one segment of an order, and how many cut points there can be.
-SEGMENT_ROWS = 1_000_000
-MAX_CUTS = 4096
-
-
-def order_segments(rows: DataFrame, order: str, segment_rows: int = SEGMENT_ROWS) -> Column:
-    """Number of the slice of a numeric order a row falls into, for slices of about
-    equal size. The cut points are approximate quantiles, so however the rows are
-    spread, a key that holds a third of them is spread over a third of each slice.
-    Where exactly the cuts lie changes the balance, never a result.
-    """
-    n = rows.count()
-    wanted = min(MAX_CUTS, -(-n // segment_rows)) - 1
-    if wanted < 1:
-        return F.lit(0)
-    marks = [i / (wanted + 1) for i in range(1, wanted + 1)]
-    found = rows.agg(F.percentile_approx(order, marks, max(10_000, 4 * wanted)).alias("cuts"))
-    cuts = sorted(set(found.first()["cuts"]))
-    step = 64
-
-    def longs(values: list[int]) -> str:
-        return "array(" + ", ".join(f"{v}L" for v in values) + ")"
-
-    # Two short searches instead of a long one: blocks of cuts, then one block.
-    block = f"size(filter({longs(cuts[::step])}, c -> c <= {order}))"
-    start = f"(({block}) - 1) * {step}"
-    inside = f"size(filter(slice({longs(cuts)}, {start} + 1, {step}), c -> c <= {order}))"
-    return F.expr(f"CASE WHEN {order} < {cuts[0]}L THEN 0 ELSE {start} + {inside} END")
-
-
-def with_previous(
-    rows: DataFrame, keys: list[str], order: str, segment: Column, columns: list[str]
-) -> DataFrame:
+def with_previous(rows: DataFrame, keys: list[str], order: str, columns: list[str], ranges: int | None = None) -> DataFrame:
     """Adds ``prev_<column>`` and the 1-based ``position`` of each row within its
     key, in ``order``.
 
-    The window runs per key *and segment* (a slice of the order, as from
-    ``order_segments``), so one key holding a large share of the rows is spread
-    over its segments.
-    Counts and last values per segment are chained in a second, small window.
+    Rows are partitioned by ranges of (keys, order) and written, so a key with a large
+    share of the rows lies in many ranges, cut where it has rows. Windows run per range
+    and key. One carry row per range and key, its count and its last values, is chained
+    over the ranges, and what is carried into a range goes to the first row there. There
+    are as many ranges as shuffle partitions, at every size. Rows that are equal in keys
+    and order lie in one range.
     """
-    work = rows.withColumn("_segment", segment)
-    inside = Window.partitionBy(*keys, "_segment").orderBy(order)
+    spark = rows.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(ranges, *keys, order)
+    work = materialised(ranged.withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range", *keys).orderBy(order)
     local = work.withColumn("_at", F.row_number().over(inside))
     for c in columns:
         local = local.withColumn(f"_lag_{c}", F.lag(c).over(inside))
 
     last = [F.max_by(c, order).alias(f"_last_{c}") for c in columns]
-    heads = work.groupBy(*keys, "_segment").agg(F.count(F.lit(1)).alias("_n"), *last)
-    chain = Window.partitionBy(*keys).orderBy("_segment")
+    heads = work.groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("_n"), *last)
+    chain = Window.partitionBy(*keys).orderBy("_range")  # a row per range that holds the key
     before = chain.rowsBetween(Window.unboundedPreceding, -1)
     carried = heads.select(
-        *keys,
-        "_segment",
+        F.col("_range").alias("_in"),
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"),
         *[F.lag(f"_last_{c}").over(chain).alias(f"_carry_{c}") for c in columns],
     )
+    same = F.col("_range") == F.col("_in")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     first = F.col("_at") == 1
-    return local.join(carried, [*keys, "_segment"]).select(
+    return local.join(carried, same).select(
         *rows.columns,
         (F.col("_at") + F.col("_skip")).cast("bigint").alias("position"),
         *[
@@ -151,11 +127,9 @@ def allowed_edges(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {pairs} AS t(from_state, to_state)")
 
 
-def illegal_transitions(spark: SparkSession, events: DataFrame, segment: Column) -> DataFrame:
+def illegal_transitions(spark: SparkSession, events: DataFrame) -> DataFrame:
     """Consecutive states the state graph does not allow."""
-    steps = with_previous(
-        events.select(*ROW_KEY, "seq", "state"), ROW_KEY, "seq", segment, ["state"]
-    ).select(
+    steps = with_previous(events.select(*ROW_KEY, "seq", "state"), ROW_KEY, "seq", ["state"]).select(
         *ROW_KEY,
         "seq",
         F.coalesce("prev_state", F.lit("-")).alias("from_state"),

@@ -277,10 +277,10 @@ def backcheck_sample(classified: DataFrame, n: int, seed: str) -> DataFrame:
     return ranked.where(F.col("rank") <= n)
 
 
-def unique_active(log: DataFrame, key: str, order: str, segment: Column) -> DataFrame:
+def unique_active(log: DataFrame, key: str, order: str) -> DataFrame:
     """Creates with whether they are accepted. A key is active after any create,
     accepted or refused, and free after an end; so a create is accepted exactly
     when the event before it is not a create."""
-    steps = with_previous(log, [key], order, segment, ["kind"])
+    steps = with_previous(log, [key], order, ["kind"])
     free = F.coalesce(F.col("prev_kind") != "CREATE", F.lit(True))
     return steps.where("kind = 'CREATE'").withColumn("accepted", free)

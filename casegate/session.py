@@ -70,8 +70,9 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """Write a small table to the workspace and read it back: computed once, and
-    never taken from what an earlier frame left in memory."""
+    """Write a table to the workspace and read it back: computed once, and never taken
+    from what an earlier frame left in memory. It costs one copy of the rows there, also
+    of an export's lines, which stays until the workspace is cleared."""
     path = f"{workspace(df.sparkSession)}/kept/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,7 +21,7 @@ from casegate.functions.text import (
     line_hash,
     split_fields,
 )
-from casegate.session import materialised, per_session
+from casegate.session import broadcast_if_small, materialised, per_session
 
 # Columns of the export format, and the numbered-column patterns.
 SCALAR_COLUMNS = {
@@ -104,29 +104,31 @@ def number_lines(lines: DataFrame, marker: Column | None = None) -> DataFrame:
     The lines are landed once, each with the split it was read from and its place
     there, and are counted and numbered from that table. So it does not matter how a
     later scan would split the files, nor whether they are written anew meanwhile.
-    The data is not shuffled at any size: only the counts per split are summed and
-    sent to all tasks, one row per file with a map from split to offset. That is some
-    24 bytes per split, 20 MB for 100 TB in splits of 128 MB. A line without an
-    offset fails the scan.
+
+    A line's row mark names the task that landed it, and a task lands whole splits, one
+    after another. So offsets are looked up by task, with one hash probe however many
+    splits a file has, and searched only among the splits of that task, of which there
+    are at most ``maxPartitionBytes / openCostInBytes`` (32 as Spark comes). One row per
+    task goes to all tasks while there are no more of them than ``BROADCAST_ROWS`` (64
+    TB in splits of 128 MB); beyond, lines and offsets meet by task, at most a split's
+    worth of lines under each key. A line without an offset fails the scan.
     """
-    landed = materialised(lines)
-    start = F.struct("first_mark", "skip")
+    landed = materialised(lines).withColumn("task", F.shiftright("row_mark", 33))
+    entry = F.struct("first_mark", "skip", "marker_line")
     offsets = materialised(
         block_offsets(landed, marker)
-        .groupBy("file")
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("block", start))).alias("starts"),
-            F.min("marker_line").alias("marker_line"),
-        )
+        .groupBy(F.shiftright("first_mark", 33).alias("task"))
+        .agg(F.array_sort(F.collect_list(entry)).alias("splits"))
     )
-    found = landed.join(F.broadcast(offsets), "file", "left")
-    at = F.try_element_at(F.col("starts"), F.col("block"))
+    found = landed.join(broadcast_if_small(offsets), "task", "left")
+    own = F.filter("splits", lambda split: split["first_mark"] <= F.col("row_mark"))
+    at = F.when(F.size("splits") == 1, F.element_at("splits", 1)).otherwise(F.try_element_at(own, F.lit(-1)))
     lost = F.raise_error(F.concat(F.lit("line without an offset in "), "file")).cast("bigint")
     numbered = found.withColumn("at", at)
     line = F.when(F.col("at").isNull(), lost).otherwise(F.col("row_mark") - F.col("at.first_mark") + F.col("at.skip") + 1)
     columns = ["part", "file", line.alias("source_line"), "raw"]
     if marker is not None:
-        columns.append("marker_line")
+        columns.append(F.col("at.marker_line").alias("marker_line"))
     return numbered.select(*columns)
 
 

@@ -33,6 +33,45 @@ def test_numbering_over_many_splits_of_one_file(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def landed(spark, splits, files, rows):
+    """Lines as ``read_lines`` gives them, of files with many splits."""
+    at = F.spark_partition_id()
+    return spark.range(0, rows, 1, splits).select(
+        F.lit(0).alias("part"),
+        F.concat(F.lit("f"), at % files).alias("file"),
+        (at * 128).cast("bigint").alias("block"),
+        F.monotonically_increasing_id().alias("row_mark"),
+        F.concat(F.lit("line-"), "id").alias("raw"),
+    )
+
+
+def test_thousands_of_splits(spark):
+    """Against the order of file and split in plain Python."""
+    numbered = export.number_lines(landed(spark, 2400, 3, 7200)).collect()
+    where = sorted((i // 3 % 3, i // 3, i) for i in range(7200))
+    wanted, last = {}, {}
+    for file, _, i in where:
+        last[file] = last.get(file, 0) + 1
+        wanted[f"line-{i}"] = (f"f{file}", last[file])
+    assert {r["raw"]: (r["file"], r["source_line"]) for r in numbered} == wanted
+
+
+def test_many_small_files_in_one_task(spark, tmp_path):
+    for i in range(40):
+        write(tmp_path, f"part={i}/x.txt", "".join(f"line-{n}\n" for n in range(1, 2 + i % 5)))
+    wanted = F.regexp_extract("raw", r"line-(\d+)$", 1).cast("bigint")
+    numbered = export.number_lines(export.read_lines(spark, str(tmp_path)))
+    assert numbered.where(F.col("source_line") == wanted).count() == numbered.count() == sum(1 + i % 5 for i in range(40))
+
+
+def test_without_a_broadcast_lines_meet_offsets_by_task(spark, tmp_path, monkeypatch):
+    path = write(tmp_path, "a.txt", "".join(f"line-{i}\n" for i in range(1, 2_001)))
+    monkeypatch.setattr(export, "broadcast_if_small", lambda df: df.hint("merge"))
+    numbered = export.number_lines(export.read_lines(spark, path))
+    wanted = F.regexp_extract("raw", r"line-(\d+)$", 1).cast("bigint")
+    assert numbered.where(F.col("source_line") == wanted).count() == 2_000
+
+
 def test_numbers_outlast_other_splits_and_rewritten_files(spark, tmp_path):
     path = write(tmp_path, "one.txt", "".join(f"line-{i}\n" for i in range(1, 20_002)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")

@@ -47,25 +47,18 @@ def test_every_state_has_one_bucket(spark):
     assert counts == {"MIGRATED": 2, "SKIPPED": 1, "QUARANTINED": 1, "PENDING": 6, "FAILED": 2, "ABORTED": 1}
 
 
-@pytest.mark.parametrize("segment_rows", [None, 10, 400, 100_000])
-def test_segmented_windows_equal_plain_ones(spark, segment_rows):
-    """Against brute force, with one key that holds a third of the rows and half of
-    the rows in a burst."""
+@pytest.mark.parametrize("ranges", [None, 1, 40])
+def test_chained_ranges_equal_plain_windows(spark, ranges):
+    """Against brute force, with one key that holds a third of the rows, rows without a
+    key, and half of the rows in a burst."""
     rng = random.Random(5)
     rows = []
     for i in range(3000):
-        key = 0 if rng.random() < 0.34 else rng.randrange(1, 40)
+        key = 0 if rng.random() < 0.34 else rng.choice([None, *range(1, 40)])
         seq = i if i < 1500 else 1_000_000 * i
         rows.append((key, seq, rng.choice("abc")))
     frame = spark.createDataFrame(rows, "k int, seq bigint, v string")
-    if segment_rows is None:
-        segment = F.floor(F.col("seq") / 100)
-    else:
-        segment = ledger.order_segments(frame, "seq", segment_rows)
-        per_segment = frame.groupBy(segment.alias("s")).count().orderBy("s").collect()
-        assert len(per_segment) == -(-3000 // segment_rows)
-        assert max(r["count"] for r in per_segment) <= segment_rows * 1.5
-    got = ledger.with_previous(frame, ["k"], "seq", segment, ["v"])
+    got = ledger.with_previous(frame, ["k"], "seq", ["v"], ranges)
     found = {(r["k"], r["seq"]): (r["position"], r["prev_v"]) for r in got.collect()}
     wanted, last = {}, {}
     for key, seq, value in rows:
@@ -75,11 +68,19 @@ def test_segmented_windows_equal_plain_ones(spark, segment_rows):
     assert found == wanted
 
 
+def test_a_hot_key_lies_in_many_ranges(spark):
+    frame = spark.range(4000).select(F.lit(1).alias("k"), F.col("id").alias("seq"), F.lit("a").alias("v"))
+    plan = ledger.with_previous(frame, ["k"], "seq", ["v"], 50)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("_range") and "percentile" not in text
+    assert plan.agg(F.max("position"), F.count("prev_v")).first() == (4000, 3999)
+
+
 def test_illegal_transitions(spark):
     good = ["CLASSIFIED", "CREATE_PENDING", "CREATED", "RELEASE_PENDING", "RELEASE_FAILED", "RELEASE_PENDING", "RELEASED"]
     log = [dict(seq=i, kind="TRANSITION", state=s) for i, s in enumerate(good)]
     log += [dict(seq=i, kind="TRANSITION", state=s, source_line=3) for i, s in enumerate(["SKIPPED", "CREATED", "ABORTED"])]
-    rows = ledger.illegal_transitions(spark, events(spark, log), F.floor(F.col("seq") / 2)).collect()
+    rows = ledger.illegal_transitions(spark, events(spark, log)).collect()
     assert [(r["source_line"], r["from_state"], r["to_state"]) for r in rows] == [(3, "SKIPPED", "CREATED")]
 
 
@@ -137,7 +138,7 @@ def test_unique_active_frees_the_key_after_an_end(spark):
         [("a", i, k) for i, k in enumerate(["CREATE", "CREATE", "END", "CREATE", "END", "END", "CREATE"])],
         "key string, at bigint, kind string",
     )
-    got = reconcile.unique_active(log, "key", "at", F.floor(F.col("at") / 2)).orderBy("at")
+    got = reconcile.unique_active(log, "key", "at").orderBy("at")
     assert [r["accepted"] for r in got.collect()] == [True, False, True, True]
 
 
