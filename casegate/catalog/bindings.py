@@ -24,8 +24,9 @@ from casegate.operators.load import (
 from casegate.plans.classify import classify
 from casegate.session import workspace
 from casegate.sources.export import source_records, write_parts
+from casegate.sources.ledger_store import LedgerStore
 from casegate.sources.manifest import build_manifest_lines
-from casegate.sources.tables import append_ledger, ledger_events, read_ledger
+from casegate.sources.tables import ledger_events
 
 RUN_ID = "run-1"
 PROCESS_ID = "permit-process"
@@ -389,19 +390,18 @@ def ledger_path(spark: SparkSession, sf_dir: str) -> str:
         plan = spark.read.parquet(plan_path(spark, sf_dir))
         commands = create_commands(plan, RUN_ID)
         applied = apply_create_responses(commands, create_answers(commands))
-        append_ledger(prior_events(spark, sf_dir), path)
-        append_ledger(intent_events(plan, RUN_ID, LOAD_SEQ), path)
-        append_ledger(response_events(applied, RUN_ID, LOAD_SEQ + 2), path)
+        store = LedgerStore(spark, path, merge_every=2)
+        store.append(prior_events(spark, sf_dir))
+        store.append(intent_events(plan, RUN_ID, LOAD_SEQ))
+        store.append(response_events(applied, RUN_ID, LOAD_SEQ + 2))
+        store.compact()
 
     return written(spark, sf_dir, "ledger", write)
 
 
-def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_ledger(spark, ledger_path(spark, sf_dir), RUN_ID)
-
-
 def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold_ledger(run_events(spark, sf_dir))
+    """The run's snapshot, which two merges brought up to the last batch."""
+    return LedgerStore(spark, ledger_path(spark, sf_dir)).current(RUN_ID)
 
 
 def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -344,11 +344,13 @@ def release_plan_blocked(spark, sf):
     "abort_guard",
     f"{o.USER_EVENTS}, state_of AS (SELECT run_id, source_line, arg_max(state, seq) AS state FROM log GROUP BY ALL) "
     "SELECT run_id, count(*) FILTER (WHERE state = 'RELEASED') AS n_released, count(*) FILTER (WHERE state = 'RELEASED') = 0 AS allowed "
-    "FROM state_of WHERE run_id = 'run-1' GROUP BY 1",
+    "FROM (SELECT * FROM state_of UNION ALL SELECT 'held-' || run_id, source_line, state FROM state_of WHERE state <> 'RELEASED') GROUP BY 1",
 )
 def abort_guard(spark, sf):
-    rows = ledger.fold_ledger(b.user_events(spark, sf)).where("run_id = 'run-1'")
-    return reconcile.abort_allowed(rows).withColumn("run_id", F.lit("run-1"))
+    """Every run as it stands, and as it stood without its released rows."""
+    rows = ledger.fold_ledger(b.user_events(spark, sf))
+    held = rows.where("state <> 'RELEASED'").withColumn("run_id", F.concat(F.lit("held-"), "run_id"))
+    return reconcile.abort_allowed(rows.unionByName(held))
 
 
 ABORT_SQL = """

@@ -52,30 +52,59 @@ def state_to_bucket(state: Column) -> Column:
     return F.create_map(*pairs)[state]
 
 
+# Columns of a folded row, and the sequence numbers it needs to be folded on.
+FOLDED = [
+    *ROW_KEY, "source_hash", "case_ref", "state", "target_element", "reason_code", "rule_ids", "detail",
+    "instance_key", "last_seq", "n_events",
+]
+MARKS = ["first_classify", "last_classify", "detail_seq", "key_seq"]
+
+
+def as_partial(events: DataFrame) -> DataFrame:
+    """Each event as a fold of itself alone."""
+    seq = F.col("seq")
+    classify = F.when(F.col("kind") == "CLASSIFY", seq)
+    return events.select(
+        *[c for c in FOLDED if c not in ("last_seq", "n_events")],
+        seq.alias("last_seq"),
+        F.lit(1).cast("bigint").alias("n_events"),
+        classify.alias("first_classify"),
+        classify.alias("last_classify"),
+        F.when((F.col("kind") == "CLASSIFY") | F.col("detail").isNotNull(), seq).alias("detail_seq"),
+        F.when(F.col("instance_key").isNotNull(), seq).alias("key_seq"),
+    )
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Folds of any parts of a log to the fold of the whole, by aggregation only, so a
+    key with very many events is combined on the map side. The parts may come in any
+    order; an event that stands in two of them counts twice in ``n_events`` alone."""
+    return partials.groupBy(*ROW_KEY).agg(
+        F.min_by("source_hash", "first_classify").alias("source_hash"),
+        F.min_by("case_ref", "first_classify").alias("case_ref"),
+        F.max_by("state", "last_seq").alias("state"),
+        F.max_by("target_element", "last_classify").alias("target_element"),
+        F.max_by("reason_code", "last_classify").alias("reason_code"),
+        F.max_by("rule_ids", "last_classify").alias("rule_ids"),
+        F.max_by("detail", "detail_seq").alias("detail"),
+        F.max_by("instance_key", "key_seq").alias("instance_key"),
+        F.max("last_seq").alias("last_seq"),
+        F.sum("n_events").alias("n_events"),
+        F.min("first_classify").alias("first_classify"),
+        F.max("last_classify").alias("last_classify"),
+        F.max("detail_seq").alias("detail_seq"),
+        F.max("key_seq").alias("key_seq"),
+    )
+
+
 def fold_ledger(events: DataFrame) -> DataFrame:
-    """Current row per key, by aggregation only, so a key with very many events
-    is combined on the map side.
+    """Current row per key.
 
     A classification overwrites target, reason, rules and detail, even with null.
     Later transitions change the detail only when they carry one. The instance
     key is never reset; hash and case reference keep their first value.
     """
-    seq = F.col("seq")
-    classify = F.when(F.col("kind") == "CLASSIFY", seq)
-    detail_seq = F.when((F.col("kind") == "CLASSIFY") | F.col("detail").isNotNull(), seq)
-    key_seq = F.when(F.col("instance_key").isNotNull(), seq)
-    return events.groupBy(*ROW_KEY).agg(
-        F.min_by("source_hash", classify).alias("source_hash"),
-        F.min_by("case_ref", classify).alias("case_ref"),
-        F.max_by("state", seq).alias("state"),
-        F.max_by("target_element", classify).alias("target_element"),
-        F.max_by("reason_code", classify).alias("reason_code"),
-        F.max_by("rule_ids", classify).alias("rule_ids"),
-        F.max_by("detail", detail_seq).alias("detail"),
-        F.max_by("instance_key", key_seq).alias("instance_key"),
-        F.max("seq").alias("last_seq"),
-        F.count(F.lit(1)).alias("n_events"),
-    )
+    return merge_partials(as_partial(events)).select(*FOLDED)
 
 
 def with_previous(rows: DataFrame, keys: list[str], order: str, columns: list[str], ranges: int | None = None) -> DataFrame:

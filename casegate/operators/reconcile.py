@@ -95,8 +95,8 @@ def release_plan(ledger: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def abort_allowed(ledger: DataFrame) -> DataFrame:
-    """One row: how many are already released, and whether an abort may start."""
-    return ledger.agg(F.count_if(F.col("state") == "RELEASED").alias("n_released")).withColumn(
+    """Per run: how many are already released, and whether an abort may start."""
+    return ledger.groupBy("run_id").agg(F.count_if(F.col("state") == "RELEASED").alias("n_released")).withColumn(
         "allowed", F.col("n_released") == 0
     )
 

@@ -10,7 +10,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from casegate.operators.decide import TARGET_CONTRACT
-from casegate.operators.ledger import fold_ledger
 from casegate.operators.load import (
     apply_create_responses,
     create_commands,
@@ -29,12 +28,8 @@ from casegate.operators.reconcile import (
 from casegate.operators.report import classification_report
 from casegate.plans.classify import DryRun, dry_run, halt_on_expectation
 from casegate.sources.manifest import RunHalted, RunParameters
-from casegate.sources.tables import (
-    LEDGER_SCHEMA,
-    append_ledger,
-    append_report,
-    ledger_events,
-)
+from casegate.sources.ledger_store import LedgerStore
+from casegate.sources.tables import append_report, ledger_events
 
 RUN_SCHEMA = (
     "run_id string, freeze_date date, cutoff_months int, header_hash string, "
@@ -49,7 +44,7 @@ class RunStore:
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.runs_path = f"{base}/runs"
-        self.ledger_path = f"{base}/ledger"
+        self.log = LedgerStore(spark, f"{base}/ledger")
         self.reports_path = f"{base}/reports"
         self.plans_path = f"{base}/plans"
 
@@ -101,20 +96,15 @@ class RunStore:
         return bool(row and row["creation_closed"])
 
     def ledger(self, run_id: str) -> DataFrame:
-        events = self._read(self.ledger_path, LEDGER_SCHEMA)
-        if events is None:
-            events = self.spark.createDataFrame([], LEDGER_SCHEMA)
-        return fold_ledger(events.where(F.col("run_id") == run_id))
+        """The run's ledger as a plain table: whatever came since is folded in first,
+        so plans may read it as often as they like."""
+        return self.log.settled(run_id)
 
     def append(self, events: DataFrame) -> None:
-        append_ledger(events, self.ledger_path)
+        self.log.append(events)
 
-    def next_seq(self, run_id: str) -> int:
-        events = self._read(self.ledger_path, LEDGER_SCHEMA)
-        if events is None:
-            return 1
-        last = events.where(F.col("run_id") == run_id).agg(F.max("seq").alias("seq")).first()["seq"]
-        return 1 if last is None else last + 1
+    def next_seq(self) -> int:
+        return self.log.next_seq()
 
 
 def load_intents(store: RunStore, run: DryRun) -> DataFrame:
@@ -127,7 +117,7 @@ def load_intents(store: RunStore, run: DryRun) -> DataFrame:
         raise RunHalted(f"run {p.run_id} was started with another rule table")
     if store.is_closed(p.run_id):
         raise RunHalted(f"run {p.run_id} has closed creation")
-    seq = store.next_seq(p.run_id)
+    seq = store.next_seq()
     path = f"{store.plans_path}/{p.run_id}/load-{seq}"
     load_plan(run.classified, store.ledger(p.run_id)).write.mode("overwrite").parquet(path)
     plan = store.spark.read.parquet(path)
@@ -136,7 +126,7 @@ def load_intents(store: RunStore, run: DryRun) -> DataFrame:
 
 
 def record_responses(store: RunStore, run_id: str, commands: DataFrame, responses: DataFrame) -> None:
-    seq = store.next_seq(run_id)
+    seq = store.next_seq()
     store.append(response_events(apply_create_responses(commands, responses), run_id, seq))
 
 
@@ -153,7 +143,7 @@ def gate(store: RunStore, run_id: str, active: DataFrame) -> DataFrame:
 def release_intents(store: RunStore, run_id: str, checks: DataFrame) -> DataFrame:
     """Write release intents for held rows if the gate passed; returns the commands.
     Like the creates, the commands are read back from the durable intents."""
-    seq = store.next_seq(run_id)
+    seq = store.next_seq()
     plan = release_plan(store.ledger(run_id), checks).where("action = 'RELEASE'")
     store.append(
         ledger_events(
@@ -175,7 +165,7 @@ def release_intents(store: RunStore, run_id: str, checks: DataFrame) -> DataFram
 
 def record_releases(store: RunStore, run_id: str, answers: DataFrame) -> None:
     """``answers``: key, ``ok`` and ``message`` per release command that was answered."""
-    seq = store.next_seq(run_id)
+    seq = store.next_seq()
     state = F.when(F.col("ok"), "RELEASED").otherwise("RELEASE_FAILED")
     store.append(
         ledger_events(
@@ -217,7 +207,7 @@ def record_resolutions(store: RunStore, run_id: str, resolutions: DataFrame) ->
                 F.col("next_target").alias("target_element"),
                 "reason_code",
                 "rule_ids",
-                F.lit(store.next_seq(run_id)).alias("seq"),
+                F.lit(store.next_seq()).alias("seq"),
             )
         )
     )
@@ -227,7 +217,7 @@ def abort(store: RunStore, run_id: str, active: DataFrame) -> DataFrame:
     """The instances to cancel, or a halt once anything is released."""
     ledger = store.ledger(run_id)
     guard = abort_allowed(ledger).first()
-    if not guard["allowed"]:
+    if guard and not guard["allowed"]:
         raise RunHalted(f"{guard['n_released']} case(s) already released")
     return abort_set(ledger, active)
 
@@ -235,7 +225,7 @@ def abort(store: RunStore, run_id: str, active: DataFrame) -> DataFrame:
 def record_aborts(store: RunStore, run_id: str, cancelled: DataFrame, later: DataFrame) -> DataFrame:
     """Mark what is confirmed gone; returns the verification."""
     verified = abort_verify(cancelled, later)
-    seq = store.next_seq(run_id)
+    seq = store.next_seq()
     gone = verified.where("result = 'ABORTED'").select(
         F.lit(run_id).alias("run_id"),
         "part",

@@ -36,8 +36,8 @@ def ledger_events(df: DataFrame) -> DataFrame:
 
 
 def append_ledger(events: DataFrame, path: str) -> None:
-    """Append events under ``run_id=<id>/``. Re-appending the same events is
-    harmless: the fold takes the latest per sequence number."""
+    """Append events under ``run_id=<id>/``, without a commit. Events appended twice
+    change nothing in their fold but ``n_events``."""
     ledger_events(events).write.mode("append").partitionBy("run_id").parquet(path)
 
 
