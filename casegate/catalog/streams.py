@@ -99,21 +99,54 @@ def stream_visibility_timeout(spark, sf):
     return spark.read.parquet(path).where("instance_key >= 0").select("instance_key", "visible")
 
 
-@query("stream_unique_active", "SELECT DISTINCT 'LP-' || user_id AS business_id FROM events WHERE event_type = 'signup'")
+# Signups and purchases are delivered in five slices of time, each up to six minutes
+# late; every 97th comes with the last slice, however old it is.
+SLICES, LAG = 5, 600_000_000
+UNIQUE_SQL = f"""WITH log AS (
+  SELECT event_id, 'LP-' || user_id AS business_id, event_type, epoch_us(ts) AS t FROM events WHERE event_type IN ('signup', 'purchase')),
+bounds AS (SELECT min(t) AS low, max(t) AS high FROM log),
+sliced AS (SELECT log.*, CASE WHEN event_id % 97 = 0 THEN {SLICES - 1}
+    ELSE least((t + (event_id % 7) * 60000000 - low) * {SLICES} // (high - low + 1), {SLICES - 1}) END AS slice FROM log, bounds),
+seen AS (SELECT max(t) - {LAG} AS cut FROM sliced WHERE slice < {SLICES - 1}),
+placed AS (SELECT sliced.*, slice = {SLICES - 1} AND t <= cut AS late FROM sliced, seen),
+steps AS (SELECT *, lag(event_type) OVER (PARTITION BY business_id ORDER BY t) AS prev FROM placed WHERE NOT late)
+SELECT event_id, business_id, CASE WHEN coalesce(prev, 'purchase') <> 'signup' THEN 'accepted' ELSE 'refused' END AS verdict
+FROM steps WHERE event_type = 'signup'
+UNION ALL SELECT event_id, business_id, 'late' FROM placed WHERE late"""
+
+
+@query("stream_unique_active", UNIQUE_SQL)
 def stream_unique_active(spark, sf):
-    def creates() -> DataFrame:
-        return b.table(spark, sf, "events").where("event_type = 'signup'").select(
+    """A signup creates an instance and a purchase ends it, over several batches that
+    are out of order: accepted and refused creates, and events too late to decide."""
+
+    def deliver(path: str) -> None:
+        log = b.table(spark, sf, "events").where("event_type in ('signup', 'purchase')").select(
+            "event_id",
             F.concat(F.lit("LP-"), F.col("user_id").cast("string")).alias("business_id"),
-            F.col("ts").cast("timestamp").alias("ts"),
+            F.when(F.col("event_type") == "signup", "CREATE").otherwise("END").alias("kind"),
+            F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
         )
-
-    source = _files(spark, sf, "stream-creates", creates)
-    stream = spark.readStream.schema("business_id string, ts timestamp").option("maxFilesPerTrigger", 2).parquet(source)
+        low, high = log.agg(F.min("at"), F.max("at")).first()
+        arrives = F.col("at") + F.col("event_id") % 7 * 60_000_000
+        number = F.call_function("div", (arrives - low) * SLICES, F.lit(high - low + 1))
+        slice_ = F.when(F.col("event_id") % 97 == 0, SLICES - 1).otherwise(F.least(number, F.lit(SLICES - 1)))
+        for i in range(SLICES):
+            log.where(slice_ == i).coalesce(1).write.mode("append").parquet(path)
+
+    source = b.written(spark, sf, "stream-creates", deliver)
+    schema = "event_id bigint, business_id string, kind string, at bigint"
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     path = _run(
         spark, sf, "stream-unique",
-        lambda path, check: jobs.stream_unique_active(stream, "90 days", path, check),
+        lambda path, check: jobs.stream_unique_active(events, path, check, LAG),
+    )
+    b.written(spark, sf, "stream-unique-end", lambda _: jobs.UniqueActive(spark, schema, path, LAG).finish())
+    decided, late = spark.read.parquet(f"{path}/decided"), spark.read.parquet(f"{path}/late")
+    verdict = F.when(F.col("accepted"), "accepted").otherwise("refused")
+    return decided.select("event_id", "business_id", verdict.alias("verdict")).unionByName(
+        late.select("event_id", "business_id", F.lit("late").alias("verdict"))
     )
-    return spark.read.parquet(path)
 
 
 @query(

@@ -4,15 +4,15 @@ operators are reused unchanged. Paths must be on storage every executor reaches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from casegate.operators.ledger import ROW_KEY, fold_ledger
+from casegate.operators.ledger import ROW_KEY, fold_ledger, with_previous
 from casegate.operators.load import create_commands, intent_events, load_plan
 from casegate.plans.classify import classify
-from casegate.session import broadcast_if_small
+from casegate.session import broadcast_if_small, materialised
 from casegate.sources.export import source_records
 from casegate.sources.tables import LEDGER_SCHEMA
 
@@ -88,10 +88,98 @@ def stream_visibility_timeout(
     return _append(seen, path, checkpoint)
 
 
-def stream_unique_active(creates: DataFrame, window: str, path: str, checkpoint: str) -> StreamingQuery:
-    """One create per business id within the window; later ones are refused."""
-    accepted = creates.withWatermark("ts", window).dropDuplicatesWithinWatermark(["business_id"])
-    return _append(accepted.select("business_id"), path, checkpoint)
+# Batches after which the changes of a keyed state are merged into a snapshot.
+MERGE_EVERY = 16
+
+
+def _read(spark: SparkSession, schema: str, base: str, numbers: Iterable[int], name: str) -> DataFrame:
+    """Numbered folders of one table; without any, no rows."""
+    paths = [f"{base}/{name}={n}" for n in numbers]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+class UniqueActive:
+    """Creates and ends of instances, batch by batch: which creates are accepted.
+
+    A business id is active after any create and free after an end, so a create is
+    accepted when the event before it in the order ``at`` is not a create. The state of
+    the ids is a table below ``path``: each batch writes the ids that it changed, and
+    every ``MERGE_EVERY`` batches they are merged into a snapshot of the ids that are
+    active, so an id that was freed leaves the state.
+
+    Events may come up to ``lag`` behind the newest of the batches before: they wait
+    until nothing older can come, and are decided in order. What comes later than that
+    is not decided but kept apart, under ``late``. Folders carry the batch number and a
+    batch reads only earlier ones, so a repeated batch writes the same rows again.
+    """
+
+    STATE = "business_id string, active boolean, n bigint"
+
+    def __init__(self, spark: SparkSession, schema: str, path: str, lag: int) -> None:
+        self.spark, self.schema, self.path, self.lag = spark, schema, path, lag
+
+    def cut_before(self, batch: int) -> int | None:
+        """Events up to here were decided, or are late, when ``batch`` begins."""
+        if batch == 0:
+            return None
+        return _read(self.spark, "cut bigint", f"{self.path}/cuts", [batch - 1], "batch").first()["cut"]
+
+    def active_before(self, batch: int) -> DataFrame:
+        """Ids that are active when ``batch`` begins."""
+        merged = batch // MERGE_EVERY * MERGE_EVERY - 1  # the last batch that wrote a snapshot
+        old = _read(self.spark, self.STATE, f"{self.path}/snapshot", [merged] if merged > 0 else [], "upto")
+        new = _read(self.spark, self.STATE, f"{self.path}/changes", range(max(merged, -1) + 1, batch), "batch")
+        latest = old.unionByName(new).groupBy("business_id").agg(F.max_by("active", "n").alias("active"))
+        return latest.where("active").select("business_id")
+
+    def work(self, rows: DataFrame, batch: int, last: bool = False) -> None:
+        """Decide what is ready; with ``last``, all that waits."""
+        before = self.cut_before(batch)
+        waiting = _read(self.spark, self.schema, f"{self.path}/waiting", [batch - 1] if batch else [], "batch")
+        rows = materialised(rows)
+        newest = rows.agg(F.max("at")).first()[0]
+        cuts = [c for c in (before, None if newest is None else newest - self.lag) if c is not None]
+        cut = max(cuts, default=None)
+
+        def write(frame: DataFrame, name: str, number: str = "batch") -> None:
+            frame.write.mode("overwrite").parquet(f"{self.path}/{name}/{number}={batch}")
+
+        late = F.lit(False) if before is None else F.col("at") <= before
+        ready = F.lit(True) if last else F.lit(False) if cut is None else F.col("at") <= cut
+        due = materialised(rows.where(~late).unionByName(waiting).where(ready))
+        write(rows.where(late), "late")
+        write(rows.where(~late).unionByName(waiting).where(~ready), "waiting")
+
+        steps = with_previous(due, ["business_id"], "at", ["kind"])
+        # Only an id's first event of the batch asks for the state: one row on either side.
+        first = steps.where("position = 1").join(
+            self.active_before(batch).withColumn("held", F.lit("CREATE")), "business_id", "left"
+        )
+        known = first.withColumn("prev_kind", F.col("held")).drop("held").unionByName(steps.where("position > 1"))
+        free = F.coalesce(F.col("prev_kind") != "CREATE", F.lit(True))
+        write(known.where("kind = 'CREATE'").withColumn("accepted", free).drop("kind", "position", "prev_kind"), "decided")
+        last_kind = F.max_by("kind", "at") == "CREATE"
+        write(due.groupBy("business_id").agg(last_kind.alias("active")).withColumn("n", F.lit(batch).cast("bigint")), "changes")
+        if batch % MERGE_EVERY == MERGE_EVERY - 1:
+            kept = self.active_before(batch).select("business_id", F.lit(True).alias("active"), F.lit(batch - 1).cast("bigint").alias("n"))
+            changed = _read(self.spark, self.STATE, f"{self.path}/changes", [batch], "batch")
+            merged = kept.unionByName(changed).groupBy("business_id").agg(F.max_by("active", "n").alias("active"), F.max("n").alias("n"))
+            write(merged.where("active"), "snapshot", "upto")
+        write(self.spark.createDataFrame([(cut,)], "cut bigint"), "cuts")
+
+    def finish(self) -> None:
+        """After the stream has ended for good: decide what still waits."""
+        done = self.spark.read.schema("cut bigint, batch bigint").parquet(f"{self.path}/cuts").agg(F.max("batch")).first()[0]
+        self.work(self.spark.createDataFrame([], self.schema), done + 1, last=True)
+
+
+def stream_unique_active(events: DataFrame, path: str, checkpoint: str, lag: int) -> StreamingQuery:
+    """One active instance per business id. ``events`` has ``business_id``, ``kind``
+    (CREATE or END), ``at`` (a number, the order) and any other columns, which come out
+    again with ``accepted`` below ``path``/decided; ``lag`` is in units of ``at``."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    job = UniqueActive(events.sparkSession, schema, path, lag)
+    return _each_batch(events, "append", checkpoint, job.work)
 
 
 def stream_late_after_close(rows: DataFrame, runs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
