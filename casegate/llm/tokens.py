@@ -179,7 +179,7 @@ def _chosen(at: np.ndarray, keys: np.ndarray, pairs: np.ndarray) -> tuple[np.nda
     if not len(pairs):
         return at[:0], at[:0], pairs
     shift = np.uint64(60 - len(pairs).bit_length())
-    rank = np.full(1 << int(64 - shift), -1, dtype=np.int64)
+    rank = np.full(1 << int(64 - shift), -1, dtype=np.int32)
     rank[(pairs * _SPREAD) >> shift] = np.arange(len(pairs))
     rule = rank[(keys * _SPREAD) >> shift]
     match = (rule >= 0) & (keys == pairs[rule])
@@ -204,17 +204,36 @@ def spans_of(rules: np.ndarray, ends: list[int], first_rule: int) -> np.ndarray:
     return spans
 
 
+class Expansions:
+    """The ids that each rule stands for, one rule after another."""
+
+    def __init__(self, rules: np.ndarray, ends: list[int], first_rule: int) -> None:
+        self.first_rule, self.spans = first_rule, spans_of(rules, ends, first_rule)
+        self.edges = offsets(self.spans)
+        self.ids = np.empty(self.edges[-1], dtype=np.int64)
+        begin = 0
+        for end in ends:
+            self.ids[self.edges[begin] : self.edges[end]] = self.of(rules[begin:end].ravel())
+            begin = end
+
+    def of(self, symbols: np.ndarray) -> np.ndarray:
+        """All ids that the symbols stand for."""
+        big = symbols >= self.first_rule
+        rule = symbols[big] - self.first_rule
+        counts = np.ones(len(symbols), dtype=np.int64)
+        counts[big] = self.spans[rule]
+        ends = np.cumsum(counts)
+        out = np.empty(ends[-1] if len(ends) else 0, dtype=np.int64)
+        out[ends[~big] - 1] = symbols[~big]
+        spans = self.spans[rule]
+        inside = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
+        out[np.repeat(ends[big] - spans, spans) + inside] = self.ids[np.repeat(self.edges[rule], spans) + inside]
+        return out
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, ends: list[int], first_rule: int) -> np.ndarray:
-    """All ids that the symbols stand for, the last round's rules undone first."""
-    for begin in [0, *ends[:-1]][::-1] if ends else []:
-        big = symbols >= first_rule + begin
-        at = np.arange(len(symbols)) + np.cumsum(big) - big
-        out = np.empty(len(symbols) + int(big.sum()), dtype=np.int64)
-        out[at] = symbols
-        sides = rules[symbols[big] - first_rule]
-        out[at[big]], out[at[big] + 1] = sides[:, 0], sides[:, 1]
-        symbols = out
-    return symbols
+    """All ids that the symbols stand for."""
+    return Expansions(rules, ends, first_rule).of(symbols)
 
 
 class Shard:
@@ -227,9 +246,10 @@ class Shard:
         low, high = np.frombuffer(row["symbols"], dtype="<u2").astype(np.int64).reshape(2, -1)
         self.symbols = (high << 16) | low
         self.counts = np.frombuffer(row["counts"], dtype="<i8")
+        self.expansions = Expansions(self.rules, self.ends, self.first_rule)
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.ends, self.first_rule).astype("<u4")
+        return self.expansions.of(self.symbols).astype("<u4")
 
     def document(self, slot: int) -> np.ndarray:
         """Ids of one document, from the symbols that hold them only."""
@@ -241,7 +261,7 @@ class Shard:
         edges = offsets(held)
         a = np.searchsorted(edges, start, "right") - 1
         b = np.searchsorted(edges, stop, "left")
-        some = expand(self.symbols[a:b], self.rules, self.ends, self.first_rule)
+        some = self.expansions.of(self.symbols[a:b])
         return some[start - edges[a] : stop - edges[a]].astype("<u4")
 
 
