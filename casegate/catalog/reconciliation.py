@@ -340,6 +340,41 @@ def release_plan_blocked(spark, sf):
     return reconcile.release_plan(rows, checks).select(*ROW, "instance_key")
 
 
+RESOLVE_SQL = """
+waiting AS (SELECT run_id, part, source_line, case_ref, k, CASE WHEN state = 'CREATE_PENDING' AND k % 2 = 0 THEN 'PENDING_RESOLVED_ABSENT' ELSE state END AS from_state
+  FROM ledger WHERE state IN ('CREATE_PENDING', 'PENDING_RESOLVED_EXISTS', 'PENDING_RESOLVED_ABSENT')),
+later AS (SELECT instance_key, business_id FROM active
+  UNION ALL SELECT 7000000000 + k, case_ref FROM waiting WHERE k % 3 = 0 UNION ALL SELECT 8000000000 + k, case_ref FROM waiting WHERE k % 21 = 0),
+free AS (SELECT business_id AS case_ref, count(DISTINCT instance_key) AS found, min(instance_key) AS found_key FROM later
+  WHERE business_id IS NOT NULL AND instance_key NOT IN (SELECT instance_key FROM ledger WHERE instance_key IS NOT NULL) GROUP BY 1),
+counted AS (SELECT run_id, case_ref, count(*) AS n_rows FROM waiting GROUP BY ALL),
+judged AS (SELECT w.*, coalesce(found, 0) AS n_found, found_key,
+    CASE WHEN w.case_ref IS NULL THEN 'NO_CASE_REF' WHEN n_rows > 1 OR found > 1 THEN 'AMBIGUOUS' WHEN found = 1 THEN 'EXISTS'
+      WHEN from_state = 'CREATE_PENDING' THEN 'ABSENT' WHEN from_state = 'PENDING_RESOLVED_ABSENT' THEN 'RETRY' ELSE 'UNSEEN' END AS resolution
+  FROM waiting w LEFT JOIN counted c ON w.run_id = c.run_id AND w.case_ref = c.case_ref LEFT JOIN free f ON w.case_ref = f.case_ref)"""
+
+
+@query(
+    "resolve_pending",
+    f"{o.WITH_LEDGER},{RESOLVE_SQL} SELECT run_id, part, source_line, case_ref, from_state, n_found, resolution, "
+    "CASE resolution WHEN 'EXISTS' THEN 'CREATED' WHEN 'ABSENT' THEN 'PENDING_RESOLVED_ABSENT' WHEN 'RETRY' THEN 'CREATE_PENDING' ELSE from_state END AS next_state, "
+    "CASE WHEN resolution = 'EXISTS' THEN found_key END AS instance_key FROM judged",
+)
+def resolve_pending(spark, sf):
+    """Half of the unanswered creates were found absent once; in a later snapshot a
+    third of all cases that wait have an instance, and some have two."""
+    k = b.order_key()
+    absent = (F.col("state") == "CREATE_PENDING") & b.every(k, 2)
+    rows = b.run_ledger(spark, sf).withColumn("state", F.when(absent, "PENDING_RESOLVED_ABSENT").otherwise(F.col("state")))
+    waiting = rows.where(F.col("state").isin(reconcile.UNRESOLVED))
+
+    def seen(step: int, base: int) -> DataFrame:
+        return waiting.where(b.every(k, step)).select((k + base).alias("instance_key"), F.col("case_ref").alias("business_id"))
+
+    later = active(spark, sf).select("instance_key", "business_id").unionByName(seen(3, 7_000_000_000)).unionByName(seen(21, 8_000_000_000))
+    return reconcile.resolve_pending(rows, later)
+
+
 @query(
     "abort_guard",
     f"{o.USER_EVENTS}, state_of AS (SELECT run_id, source_line, arg_max(state, seq) AS state FROM log GROUP BY ALL) "

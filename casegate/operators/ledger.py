@@ -156,6 +156,21 @@ def allowed_edges(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {pairs} AS t(from_state, to_state)")
 
 
+def guarded(ledger: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Proposed events with ``from_state`` and ``applied``: whether the state graph lets
+    the row go there from where it is. Several events of a row are taken in the order of
+    ``seq``; after one that is refused, the later ones are refused, too. A row that the
+    folded ``ledger`` does not know has no state yet ("-")."""
+    current = ledger.select(*ROW_KEY, F.col("state").alias("_now"))
+    in_order = Window.partitionBy(*ROW_KEY).orderBy("seq")  # the few events of one row
+    before = F.coalesce(F.lag("state").over(in_order), "_now", F.lit("-"))
+    steps = proposed.join(current, ROW_KEY, "left").withColumn("from_state", before)
+    pairs = [F.lit(x) for a, targets in ALLOWED_EDGES.items() for x in (a, F.array(*[F.lit(t) for t in targets]))]
+    ok = F.coalesce(F.array_contains(F.create_map(*pairs)[F.col("from_state")], F.col("state")), F.lit(False))
+    applied = F.bool_and("_ok").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return steps.withColumn("_ok", ok).withColumn("applied", applied).drop("_now", "_ok")
+
+
 def illegal_transitions(spark: SparkSession, events: DataFrame) -> DataFrame:
     """Consecutive states the state graph does not allow."""
     steps = with_previous(events.select(*ROW_KEY, "seq", "state"), ROW_KEY, "seq", ["state"]).select(

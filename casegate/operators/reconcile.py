@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casegate.functions.values import split_permission
 from casegate.operators.ledger import BUCKETS, LIVE_STATES, state_to_bucket, with_previous
 from casegate.session import broadcast_if_small
+from casegate.sources.tables import ledger_events
 
 
 def _join_key(df: DataFrame) -> Column:
@@ -143,6 +144,86 @@ def abort_verify(cancelled: DataFrame, later_active: DataFrame) -> DataFrame:
     )
 
 
+UNRESOLVED = ["CREATE_PENDING", "PENDING_RESOLVED_EXISTS", "PENDING_RESOLVED_ABSENT"]
+
+
+def resolve_pending(ledger: DataFrame, active: DataFrame) -> DataFrame:
+    """Creates without a final answer against a snapshot taken after the re-check
+    window: ``from_state``, ``n_found``, ``resolution``, ``next_state``, ``instance_key``.
+
+    An instance is a row's own if its case has one active instance that no ledger row
+    holds, and one such row. Then the create is confirmed (EXISTS). Without any, an
+    unanswered create becomes absent (ABSENT) and an absent one may be tried again
+    (RETRY), while one that the engine refused as a duplicate waits to be seen (UNSEEN).
+    Several instances or rows of a case (AMBIGUOUS) and rows without a case reference
+    (NO_CASE_REF) are left to operators.
+    """
+    held = ledger.where("instance_key is not null").select("instance_key").distinct()
+    free = (
+        active.where("business_id is not null")
+        .join(held, "instance_key", "left_anti")
+        .groupBy(F.col("business_id").alias("case_ref"))
+        .agg(F.count_distinct("instance_key").alias("n_found"), F.min("instance_key").alias("found_key"))
+    )
+    rows = ledger.where(F.col("state").isin(UNRESOLVED)).select(
+        "run_id", "part", "source_line", "case_ref", F.col("state").alias("from_state")
+    )
+    named = rows.where("case_ref is not null")
+    counts = named.groupBy("run_id", "case_ref").agg(F.count(F.lit(1)).alias("n_rows"))
+    looked_up = named.join(counts, ["run_id", "case_ref"]).join(free, "case_ref", "left")
+    # Rows without a case reference have nothing to look up and stay out of the joins.
+    nameless = rows.where("case_ref is null").select(
+        "*", F.lit(1).cast("bigint").alias("n_rows"), F.lit(None).cast("bigint").alias("n_found"), F.lit(None).cast("bigint").alias("found_key")
+    )
+    found, state = F.coalesce("n_found", F.lit(0).cast("bigint")), F.col("from_state")
+    resolution = (
+        F.when(F.col("case_ref").isNull(), "NO_CASE_REF")
+        .when((F.col("n_rows") > 1) | (found > 1), "AMBIGUOUS")
+        .when(found == 1, "EXISTS")
+        .when(state == "CREATE_PENDING", "ABSENT")
+        .when(state == "PENDING_RESOLVED_ABSENT", "RETRY")
+        .otherwise("UNSEEN")
+    )
+    judged = looked_up.unionByName(nameless).withColumn("resolution", resolution)
+    next_state = (
+        F.when(F.col("resolution") == "EXISTS", "CREATED")
+        .when(F.col("resolution") == "ABSENT", "PENDING_RESOLVED_ABSENT")
+        .when(F.col("resolution") == "RETRY", "CREATE_PENDING")
+        .otherwise(state)
+    )
+    return judged.select(
+        "run_id", "part", "source_line", "case_ref", "from_state", found.alias("n_found"), "resolution",
+        next_state.alias("next_state"), F.when(F.col("resolution") == "EXISTS", F.col("found_key")).alias("instance_key"),
+    )
+
+
+def resolution_events(resolved: DataFrame, first_seq: int) -> DataFrame:
+    """Events of the resolutions, by the steps of the state graph: a create that is
+    confirmed passes through PENDING_RESOLVED_EXISTS."""
+
+    def event(kind: str, state: str, step: int, key: Column | None = None) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), F.lit(state).alias("state"), F.lit(first_seq + step).alias("seq"),
+            (F.lit(None) if key is None else key).cast("bigint").alias("instance_key"),
+        )
+
+    again = event("TRANSITION", "CREATE_PENDING", 0)
+    exists = event("TRANSITION", "PENDING_RESOLVED_EXISTS", 1)
+    created = event("CONFIRM", "CREATED", 2, F.col("instance_key"))
+    steps = (
+        F.when((F.col("resolution") == "EXISTS") & (F.col("from_state") == "PENDING_RESOLVED_EXISTS"), F.array(created))
+        .when((F.col("resolution") == "EXISTS") & (F.col("from_state") == "CREATE_PENDING"), F.array(exists, created))
+        .when(F.col("resolution") == "EXISTS", F.array(again, exists, created))
+        .when(F.col("resolution") == "ABSENT", F.array(event("TRANSITION", "PENDING_RESOLVED_ABSENT", 0)))
+        .when(F.col("resolution") == "RETRY", F.array(again))
+    )
+    return ledger_events(
+        resolved.where(F.col("resolution").isin("EXISTS", "ABSENT", "RETRY"))
+        .select("run_id", "part", "source_line", F.explode(steps).alias("step"))
+        .select("run_id", "part", "source_line", "step.*")
+    )
+
+
 def correspondence(ledger: DataFrame, active: DataFrame) -> DataFrame:
     """Expected against active instances per business id, both directions. Both
     sides are reduced to one row per id first, so a repeated id forms no pairs."""

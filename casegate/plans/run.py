@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from casegate.operators.decide import TARGET_CONTRACT
+from casegate.operators.ledger import guarded
 from casegate.operators.load import (
     apply_create_responses,
     create_commands,
@@ -24,9 +25,12 @@ from casegate.operators.reconcile import (
     gate_checks,
     quarantine_queue,
     release_plan,
+    resolution_events,
+    resolve_pending,
 )
 from casegate.operators.report import classification_report
 from casegate.plans.classify import DryRun, dry_run, halt_on_expectation
+from casegate.session import materialised
 from casegate.sources.manifest import RunHalted, RunParameters
 from casegate.sources.ledger_store import LedgerStore
 from casegate.sources.tables import append_report, ledger_events
@@ -103,9 +107,23 @@ class RunStore:
     def append(self, events: DataFrame) -> None:
         self.log.append(events)
 
+    def apply(self, run_id: str, events: DataFrame) -> DataFrame:
+        """Append the events that the state graph allows, and return the refused ones."""
+        judged = materialised(guarded(self.ledger(run_id), events))
+        self.append(judged.where("applied"))
+        return judged.where("not applied")
+
     def next_seq(self) -> int:
         return self.log.next_seq()
 
+    def planned(self, run_id: str) -> DataFrame:
+        """The rows of the run's load plans, each as its last plan has it."""
+        number = F.regexp_extract(F.col("_metadata.file_path"), r"/load-(\d+)/", 1).cast("bigint")
+        plans = self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.plans_path}/{run_id}")
+        fields = [F.col(c) for c in plans.columns if c not in ("part", "source_line")]
+        last = F.max_by(F.struct(*fields), number).alias("row")
+        return plans.groupBy("part", "source_line").agg(last).select("part", "source_line", "row.*")
+
 
 def load_intents(store: RunStore, run: DryRun) -> DataFrame:
     """Write the plan of a load, then its intents, and return its create commands.
@@ -125,9 +143,24 @@ def load_intents(store: RunStore, run: DryRun) -> DataFrame:
     return create_commands(plan, p.run_id)
 
 
-def record_responses(store: RunStore, run_id: str, commands: DataFrame, responses: DataFrame) -> None:
+def record_responses(store: RunStore, run_id: str, commands: DataFrame, responses: DataFrame) -> DataFrame:
+    """Take the answers into the ledger. An answer to a row that is no longer pending is
+    refused; the refused events are returned."""
     seq = store.next_seq()
-    store.append(response_events(apply_create_responses(commands, responses), run_id, seq))
+    return store.apply(run_id, response_events(apply_create_responses(commands, responses), run_id, seq))
+
+
+def resolve_creates(store: RunStore, run_id: str, active: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Settle creates without a final answer against a snapshot taken after the re-check
+    window. Returns the resolutions and the commands of the creates to try again, whose
+    intents are in the ledger by then. Once creation is closed nothing is tried again."""
+    resolved = materialised(resolve_pending(store.ledger(run_id), active))
+    if store.is_closed(run_id):
+        resolved = resolved.where("resolution <> 'RETRY'")
+    store.apply(run_id, resolution_events(resolved, store.next_seq()))
+    again = resolved.where("resolution = 'RETRY'").select("part", "source_line")
+    rows = store.planned(run_id).join(again, ["part", "source_line"], "left_semi")
+    return resolved, create_commands(rows.withColumn("action", F.lit("CREATE")), run_id)
 
 
 def gate(store: RunStore, run_id: str, active: DataFrame) -> DataFrame:
@@ -163,11 +196,13 @@ def release_intents(store: RunStore, run_id: str, checks: DataFrame) -> DataFram
     )
 
 
-def record_releases(store: RunStore, run_id: str, answers: DataFrame) -> None:
-    """``answers``: key, ``ok`` and ``message`` per release command that was answered."""
+def record_releases(store: RunStore, run_id: str, answers: DataFrame) -> DataFrame:
+    """``answers``: key, ``ok`` and ``message`` per release command that was answered.
+    Returns the events that the state graph refuses."""
     seq = store.next_seq()
     state = F.when(F.col("ok"), "RELEASED").otherwise("RELEASE_FAILED")
-    store.append(
+    return store.apply(
+        run_id,
         ledger_events(
             answers.select(
                 F.lit(run_id).alias("run_id"),
@@ -234,7 +269,7 @@ def record_aborts(store: RunStore, run_id: str, cancelled: DataFrame, later: Dat
         F.lit("ABORTED").alias("state"),
         F.lit(seq).alias("seq"),
     )
-    store.append(ledger_events(gone))
+    store.apply(run_id, ledger_events(gone))
     return verified
 
 

@@ -170,6 +170,28 @@ def test_unanswered_create_blocks_and_is_never_repeated(spark, tmp_path):
     assert plans.release_intents(store, RUN, plans.gate(store, RUN, snapshot(spark, tmp_path / "s2", ALIVE))).count() == 0
 
 
+def test_unanswered_creates_are_resolved_and_tried_again(spark, tmp_path):
+    store, run, commands = loaded(spark, tmp_path, [(0, 3, 409, None, None)])
+    # Line 2 turns up in the snapshot, line 3 is seen, line 4 is not.
+    resolved, again = plans.resolve_creates(store, RUN, snapshot(spark, tmp_path / "s", ALIVE[:2]))
+    assert {r["source_line"]: r["resolution"] for r in resolved.collect()} == {2: "EXISTS", 3: "EXISTS", 4: "ABSENT"}
+    assert again.count() == 0
+    now = {r["source_line"]: (r["state"], r["instance_key"]) for r in store.ledger(RUN).collect() if r["source_line"] < 5}
+    assert now == {2: ("CREATED", 102), 3: ("CREATED", 103), 4: ("PENDING_RESOLVED_ABSENT", None)}
+    resolved, again = plans.resolve_creates(store, RUN, snapshot(spark, tmp_path / "s2", ALIVE[:2]))
+    assert [r["resolution"] for r in resolved.collect()] == ["RETRY"]
+    first = {r["source_line"]: r for r in commands.collect()}
+    assert again.collect() == [first[4]]
+    assert states(store)[4] == "CREATE_PENDING"
+    # Its answer counts once; an answer to a row that was confirmed is refused.
+    answer = answers(spark, [(0, 4, 200, None, 104), (0, 2, 500, "late", None)])
+    refused = plans.record_responses(store, RUN, commands, answer)
+    assert [(r["source_line"], r["from_state"], r["state"]) for r in refused.collect()] == [(2, "CREATED", "CREATE_FAILED")]
+    assert plans.record_responses(store, RUN, commands, answer).count() == 2
+    checks = plans.gate(store, RUN, snapshot(spark, tmp_path / "s3", ALIVE))
+    assert all(r["ok"] for r in checks.collect())
+
+
 def test_vanished_instance_blocks_the_gate(spark, tmp_path):
     store, *_ = loaded(spark, tmp_path, OK)
     gone = [(102, "p", "G-01", "x", "ACTIVE"), (103, "p", "G-02", "x", "CANCELED"), (104, "q", "G-03", "x", "ACTIVE")]
