@@ -348,7 +348,7 @@ later AS (SELECT instance_key, business_id FROM active
 free AS (SELECT business_id AS case_ref, count(DISTINCT instance_key) AS found, min(instance_key) AS found_key FROM later
   WHERE business_id IS NOT NULL AND instance_key NOT IN (SELECT instance_key FROM ledger WHERE instance_key IS NOT NULL) GROUP BY 1),
 counted AS (SELECT run_id, case_ref, count(*) AS n_rows FROM waiting GROUP BY ALL),
-judged AS (SELECT w.*, coalesce(found, 0) AS n_found, found_key,
+resolutions AS (SELECT w.*, coalesce(found, 0) AS n_found, found_key,
     CASE WHEN w.case_ref IS NULL THEN 'NO_CASE_REF' WHEN n_rows > 1 OR found > 1 THEN 'AMBIGUOUS' WHEN found = 1 THEN 'EXISTS'
       WHEN from_state = 'CREATE_PENDING' THEN 'ABSENT' WHEN from_state = 'PENDING_RESOLVED_ABSENT' THEN 'RETRY' ELSE 'UNSEEN' END AS resolution
   FROM waiting w LEFT JOIN counted c ON w.run_id = c.run_id AND w.case_ref = c.case_ref LEFT JOIN free f ON w.case_ref = f.case_ref)"""
@@ -358,7 +358,7 @@ judged AS (SELECT w.*, coalesce(found, 0) AS n_found, found_key,
     "resolve_pending",
     f"{o.WITH_LEDGER},{RESOLVE_SQL} SELECT run_id, part, source_line, case_ref, from_state, n_found, resolution, "
     "CASE resolution WHEN 'EXISTS' THEN 'CREATED' WHEN 'ABSENT' THEN 'PENDING_RESOLVED_ABSENT' WHEN 'RETRY' THEN 'CREATE_PENDING' ELSE from_state END AS next_state, "
-    "CASE WHEN resolution = 'EXISTS' THEN found_key END AS instance_key FROM judged",
+    "CASE WHEN resolution = 'EXISTS' THEN found_key END AS instance_key FROM resolutions",
 )
 def resolve_pending(spark, sf):
     """Half of the unanswered creates were found absent once; in a later snapshot a
