@@ -9,7 +9,14 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from casegate.operators.decide import TARGET_CONTRACT
+from casegate.operators.decide import (
+    TARGET_CONTRACT,
+    available_variables,
+    contract_lookup,
+    contract_table,
+    contract_unsatisfied,
+    target_variables,
+)
 from casegate.operators.ledger import guarded
 from casegate.operators.load import (
     apply_create_responses,
@@ -217,19 +224,35 @@ def record_releases(store: RunStore, run_id: str, answers: DataFrame) -> DataFra
     )
 
 
-def record_resolutions(store: RunStore, run_id: str, resolutions: DataFrame) -> None:
-    """Take operators' decisions on quarantined rows into the ledger: a chosen
-    target becomes a create intent, the others are skipped. ``resolutions`` has the
-    row key, ``decision`` (TARGET or SKIP) and ``chosen_target``. A target must be one
-    that cases can be placed on, and once creation is closed none can be chosen."""
+def record_resolutions(store: RunStore, run_id: str, resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Take operators' decisions on quarantined rows into the ledger: a chosen target
+    becomes a create intent, the others are skipped. ``resolutions`` has the row key,
+    ``decision`` (TARGET or SKIP) and ``chosen_target``. A target must be one that cases
+    can be placed on, and once creation is closed none can be chosen.
+
+    Returns the rows whose case lacks a variable that its chosen target requires, which
+    stay in quarantine, and the create commands of the others. Their rows are written as
+    a plan of their own first, so a later retry creates them at the chosen target."""
     chosen = resolutions.where("decision = 'TARGET'")
     if chosen.where(~F.coalesce(F.col("chosen_target").isin(list(TARGET_CONTRACT)), F.lit(False))).limit(1).count():
         raise RunHalted(f"run {run_id}: a chosen target is not one that cases can be placed on")
     if store.is_closed(run_id) and chosen.limit(1).count():
         raise RunHalted(f"run {run_id} has closed creation")
-    queue = quarantine_queue(store.ledger(run_id), resolutions)
-    decided = queue.where("next_state <> 'QUARANTINED'")
-    store.append(
+    seq = store.next_seq()
+    queue = materialised(quarantine_queue(store.ledger(run_id), resolutions).where("next_state <> 'QUARANTINED'"))
+    creates = queue.where("next_state = 'CREATE_PENDING'").select("part", "source_line", F.col("next_target").alias("target_element"))
+    planned = store.planned(run_id)
+    placed = contract_lookup(planned.drop("target_element").join(creates, ["part", "source_line"]), contract_table(store.spark))
+    judged = placed.withColumn("lacks", contract_unsatisfied(F.col("required_bits")))
+    variables = target_variables(F.col("required"), available_variables())
+    rows = judged.withColumns({"target_variables": variables, "action": F.lit("CREATE"), "next_state": F.lit("CREATE_PENDING")})
+    rows = materialised(rows.select(*planned.columns, "lacks"))
+    path = f"{store.plans_path}/{run_id}/load-{seq}"
+    rows.where("not lacks").drop("lacks").write.mode("overwrite").parquet(path)
+    refused = rows.where("lacks").select("part", "source_line", "target_element")
+    decided = queue.join(refused, ["part", "source_line"], "left_anti")
+    store.apply(
+        run_id,
         ledger_events(
             decided.select(
                 "run_id",
@@ -242,10 +265,11 @@ def record_resolutions(store: RunStore, run_id: str, resolutions: DataFrame) ->
                 F.col("next_target").alias("target_element"),
                 "reason_code",
                 "rule_ids",
-                F.lit(store.next_seq()).alias("seq"),
+                F.lit(seq).alias("seq"),
             )
-        )
+        ),
     )
+    return refused, create_commands(store.spark.read.schema(planned.schema).parquet(path), run_id)
 
 
 def abort(store: RunStore, run_id: str, active: DataFrame) -> DataFrame:

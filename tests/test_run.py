@@ -249,7 +249,11 @@ def test_quarantine_has_two_ways_out(spark, tmp_path):
         [(RUN, 0, 10, "TARGET", "vision-assessment"), (RUN, 0, 9, "SKIP", None), (RUN, 0, 5, "SKIP", None)],
         "run_id string, part int, source_line bigint, decision string, chosen_target string",
     )
-    plans.record_resolutions(store, RUN, decisions)
+    refused, commands = plans.record_resolutions(store, RUN, decisions)
+    assert refused.count() == 0
+    (command,) = commands.collect()
+    assert (command["source_line"], command["target_element"]) == (10, "vision-assessment")
+    assert command["payload"]["applicantName"] and command["payload"]["targetElementId"] == "vision-assessment"
     rows = {r["source_line"]: r for r in store.ledger(RUN).collect()}
     assert (rows[10]["state"], rows[10]["target_element"], rows[10]["reason_code"]) == (
         "CREATE_PENDING", "vision-assessment", "UNMATCHED",
@@ -257,3 +261,21 @@ def test_quarantine_has_two_ways_out(spark, tmp_path):
     assert (rows[9]["state"], rows[11]["state"]) == ("SKIPPED", "QUARANTINED")
     # Line 5 was never in quarantine: a decision on it changes nothing.
     assert rows[5]["last_seq"] < rows[9]["last_seq"]
+
+
+def test_a_chosen_target_needs_its_variables(spark, tmp_path):
+    """A case without the variables of the chosen target stays in quarantine."""
+    store, *_ = loaded(spark, tmp_path, OK)
+    planned = {r["source_line"]: r for r in store.planned(RUN).collect()}
+    waiting = [r["source_line"] for r in rows_in_state(store.ledger(RUN), RUN, "QUARANTINED").collect()]
+    decisions = spark.createDataFrame(
+        [(RUN, 0, n, "TARGET", "issuing-review") for n in waiting],
+        "run_id string, part int, source_line bigint, decision string, chosen_target string",
+    )
+    refused, commands = plans.record_resolutions(store, RUN, decisions)
+    lacking = {n for n in waiting if not planned[n]["applicant_name"].strip() or not planned[n]["permit_category"].strip()}
+    assert {r["source_line"] for r in refused.collect()} == lacking and 0 < len(lacking) < len(waiting)
+    assert {r["source_line"] for r in commands.collect()} == set(waiting) - lacking
+    now = states(store)
+    assert all(now[n] == ("QUARANTINED" if n in lacking else "CREATE_PENDING") for n in waiting)
+    assert {r["target_element"] for r in store.planned(RUN).where("action = 'CREATE'").collect()} >= {"issuing-review"}
