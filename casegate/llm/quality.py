@@ -12,9 +12,11 @@ end with it: the word's own, and for each longer run that was seen a gain over w
 it would be without, besides the context's back-off. What belongs to numbered words is
 looked up in arrays. The rest is one weight per run; a hashed word is a run of its own,
 whose weight is its gain over an unknown word. The
-most frequent runs, a fixed number, go to all tasks, so no run is hot afterwards; for
-all others documents send their runs, packed by block and sorted, to the shard that
-holds the run's count, and sums of weights per document come back.
+most frequent runs, a fixed number, go to all tasks, so no run is hot afterwards. So
+does a bit filter of all runs of the model, since most runs of ordinary text are not in
+it and weigh nothing. Those that pass documents send, packed by block and sorted, to the
+shard that holds the run's weight, and sums of weights per document come back. The
+lookup there is exact: a run that passes by chance finds nothing.
 
 Judging. A document is kept up to a quantile of the perplexity of trusted documents
 of its language that the model has not seen.
@@ -42,6 +44,9 @@ START, END, UNKNOWN, SPECIAL = 0, 1, 2, 5
 SPELLING, SPELLED = 2.0, 12
 # Runs whose weights go to all tasks, and runs of the model per shard.
 HOT_RUNS, SHARD_RUNS = 262_144, 1_000_000
+# Bits per run, and bits at most (32 MB), of the filter of runs; bits of its segments.
+# A model beyond that fills the filter: more runs are sent, and the answers are the same.
+RUN_BITS, MOST_BITS, SEGMENT_BITS = 8, 1 << 28, 1 << 16
 # Rows, at most, of the filter that goes to all tasks before trusted texts are joined.
 FILTER_SLOTS = 1 << 20
 # A document's score counts so many words of an average one besides its own.
@@ -218,7 +223,7 @@ class Model:
         tables[1] = written(tables[2].groupBy(F.col("tail").alias("run")).agg(F.count("*").alias("n")), "singles")
         self._rare = rare
         singles = self._single(tables[1], size)
-        self.weights = self._longer(tables, singles)  # computed again where it is used: cheaper than kept
+        self.weights = written(self._longer(tables, singles), "weights", compression="zstd")
         self.n_runs = tables[order].count()
         self._counts = tables
 
@@ -229,6 +234,42 @@ class Model:
             together = together.unionByName(self._counts[k].select("n"))
         return max(1, least_count(together, most))
 
+    def run_filter(self) -> np.ndarray:
+        """The bits of all runs that have a weight, in words of a power of two that grows
+        with the runs. Tasks set the bits of theirs, and segments are merged by segment."""
+        held = self._rare.select("run")
+        for k in range(2, self.order + 1):
+            run = F.col("run")
+            held = held.unionByName(self._counts[k].select(F.when(run < 0, run).otherwise(run + (k - 2 << LENGTH_BIT)).alias("run")))
+        wanted = RUN_BITS * max(1, held.count())
+        n_words = min(MOST_BITS, max(SEGMENT_BITS, 1 << (wanted - 1).bit_length())) // 64
+        per = SEGMENT_BITS // 64
+
+        def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            bits = np.zeros(n_words, dtype=np.uint64)
+            for batch in batches:
+                at, mask = probes(batch["run"].to_numpy(np.int64), n_words)
+                np.bitwise_or.at(bits, at, mask)
+            segments = bits.reshape(-1, per)
+            some = np.flatnonzero(segments.any(axis=1))
+            for at in range(0, len(some), 256):
+                mine = some[at : at + 256]
+                yield pd.DataFrame({"segment": mine, "bits": [_pack(segments[i]) for i in mine]})
+
+        def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for segment, bits in zip(batch["segment"], batch["bits"], strict=True):
+                    total[segment] = total.get(segment, np.uint64(0)) | _unpack(bits, "<u8")
+            if total:
+                yield pd.DataFrame({"segment": list(total), "bits": [_pack(b) for b in total.values()]})
+
+        schema = "segment bigint, bits binary"
+        out = np.zeros(n_words, dtype=np.uint64)
+        for row in held.mapInPandas(mark, schema).repartition("segment").mapInPandas(merge, schema).toLocalIterator():
+            out[row["segment"] * per : (row["segment"] + 1) * per] = _unpack(row["bits"], "<u8")
+        return out
+
     @staticmethod
     def discounts(n: list[int]) -> list[float]:
         """Discounts of counts 1, 2 and 3 or more from how many runs stand 1 to 4 times;
@@ -326,6 +367,13 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"word": words, "number": _hashed(list(total.index)), "cost": costs, "n": total.to_numpy()})
 
 
+def probes(run: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs stand in a filter of ``n_words`` words, and their two bits there."""
+    key = mixed(run.view(np.uint64))
+    bit = lambda shift: np.uint64(1) << ((key >> np.uint64(shift)) & np.uint64(63))
+    return (key & np.uint64(n_words - 1)).astype(np.int64), bit(52) | bit(58)
+
+
 MESSAGES = "shard int, block string, n_docs int, runs binary, sizes binary, owners binary, doc_ids array<bigint>, hashes array<bigint>, base binary, words binary"
 
 
@@ -343,13 +391,15 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
     have no words and nll 0."""
     order, vocab = model.order, model.vocabulary
     log_p, log_back, log_unseen = model.log_p, model.log_back, model.log_unseen
-    hot = model.weights.where(F.col("n") >= model.hot_count(HOT_RUNS)).select("run", "weight").toPandas().sort_values("run")
+    least = model.hot_count(HOT_RUNS)
+    hot = model.weights.where(F.col("n") >= least).select("run", "weight").toPandas().sort_values("run")
     hot_runs, hot_weights = hot["run"].to_numpy(np.int64), hot["weight"].to_numpy(np.float64)
     starts = 0.0
     if order == 3:  # the context of starts only, which is no run of a document
         first = model.weights.where(F.col("run") == START).first()
         starts = first["weight"] if first else 0.0
     spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast(model.run_filter())
     shards = max(spark.sparkContext.defaultParallelism, -(-model.n_runs // SHARD_RUNS), docs.rdd.getNumPartitions())
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -377,6 +427,9 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
                     known = hot_runs[at] == run
                     base += np.bincount(doc[known], hot_weights[at[known]], n)
                     run, doc = run[~known], doc[~known]
+                at, mask = probes(run, len(bits.value))
+                maybe = (bits.value[at] & mask) == mask
+                run, doc = run[maybe], doc[maybe]
                 shard = (run % _SHARD_PRIME) % shards
                 order_ = np.lexsort((doc, run, shard))
                 run, doc, shard = run[order_], doc[order_], shard[order_]
@@ -400,7 +453,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
         out = []
         for m in sent.itertuples():
             if m.runs is None:
-                out.append((m.block, None, None, m.doc_ids, m.hashes, m.base, m.words))
+                out.append((m.block, m.shard, None, None, m.doc_ids, m.hashes, m.base, m.words))
                 continue
             asked = np.cumsum(_unpack(m.runs, "<i8"))
             gain = np.zeros(len(asked))
@@ -410,25 +463,26 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
             sums = np.bincount(_unpack(m.owners, "<u4"), np.repeat(gain, _unpack(m.sizes, "<u4")), m.n_docs)
             some = np.flatnonzero(sums)
             if len(some):
-                out.append((m.block, some.astype(np.uint32).tobytes(), sums[some].astype(np.float32).tobytes(), None, None, None, None))
-        return pd.DataFrame(out, columns=["block", "slots", "sums", "doc_ids", "hashes", "base", "words"], dtype=object)
+                out.append((m.block, m.shard, some.astype(np.uint32).tobytes(), sums[some].tobytes(), None, None, None, None))
+        return pd.DataFrame(out, columns=["block", "shard", "slots", "sums", "doc_ids", "hashes", "base", "words"], dtype=object)
 
     def settle(parts: pd.DataFrame) -> pd.DataFrame:
         head = parts[parts["base"].notna()].iloc[0]
         total = np.frombuffer(head["base"]).copy()
+        parts = parts.sort_values("shard")  # sums in one order, whatever came first
         for at, gained in zip(parts["slots"].dropna(), parts["sums"].dropna(), strict=True):
-            total[np.frombuffer(at, dtype=np.uint32)] += np.frombuffer(gained, dtype=np.float32)
+            total[np.frombuffer(at, dtype=np.uint32)] += np.frombuffer(gained)
         sizes = np.frombuffer(head["words"], dtype=np.int64)
         ids = pd.array([None if pd.isna(i) else int(i) for i in head["doc_ids"]], dtype="Int64")
         return pd.DataFrame({"doc_id": ids, "row_hash": head["hashes"], "n_words": sizes, "nll": np.where(sizes > 0, -total, 0.0)})
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("row_hash"))
-    sharded = model.weights.select("run", "weight", (F.pmod("run", F.lit(_SHARD_PRIME)) % shards).cast("int").alias("shard"))
+    sharded = model.weights.where(F.col("n") < least).select("run", "weight", (F.pmod("run", F.lit(_SHARD_PRIME)) % shards).cast("int").alias("shard"))
     answers = (
         source.mapInPandas(send, MESSAGES)
         .groupBy("shard")
         .cogroup(sharded.groupBy("shard"))
-        .applyInPandas(answer, "block string, slots binary, sums binary, doc_ids array<bigint>, hashes array<bigint>, base binary, words binary")
+        .applyInPandas(answer, "block string, shard int, slots binary, sums binary, doc_ids array<bigint>, hashes array<bigint>, base binary, words binary")
     )
     return answers.groupBy("block").applyInPandas(settle, "doc_id bigint, row_hash bigint, n_words bigint, nll double")
 
