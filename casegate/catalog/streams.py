@@ -52,14 +52,30 @@ def stream_classify(spark, sf):
     )
 
 
+# Time after which a row in a final state leaves the live state, and batches per merge.
+STATE_TTL, STATE_MERGE, STATE_BATCHES = 3_600_000_000, 2, 5
+
+
 @query("stream_ledger_state", ORACLES["ledger_fold"])
 def stream_ledger_state(spark, sf):
-    source = _files(spark, sf, "stream-events", lambda: b.user_events(spark, sf))
-    events = spark.readStream.schema(LEDGER_SCHEMA).option("maxFilesPerTrigger", 2).parquet(source)
+    """Five batches in time order; rows that ended an hour ago expire, and go on later."""
+
+    def deliver(path: str) -> None:
+        log = b.user_events(spark, sf)
+        low, high = log.agg(F.min("seq"), F.max("seq")).first()
+        for i in range(STATE_BATCHES):
+            at = F.call_function("div", (F.col("seq") - low) * STATE_BATCHES, F.lit(high - low + 1))
+            log.where(at == i).coalesce(1).write.mode("append").parquet(path)
+
+    source = b.written(spark, sf, "stream-events", deliver)
+    events = spark.readStream.schema(LEDGER_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
     path = _run(
-        spark, sf, "stream-ledger", lambda path, check: jobs.stream_ledger_state(events, path, check)
+        spark, sf, "stream-ledger",
+        lambda path, check: jobs.stream_ledger_state(events, path, check, STATE_TTL, STATE_MERGE),
     )
-    return jobs.latest_state(spark.read.parquet(path)).drop("reason_code", "rule_ids")
+    state = jobs.LedgerState(spark, path, STATE_TTL, STATE_MERGE)
+    done = spark.read.parquet(f"{path}/tail").agg(F.max("batch")).first()[0]
+    return state.current(0 if done is None else done + 1).drop("reason_code", "rule_ids")
 
 
 @query(
@@ -115,6 +131,50 @@ FROM steps WHERE event_type = 'signup'
 UNION ALL SELECT event_id, business_id, 'late' FROM placed WHERE late"""
 
 
+# Clicks are creates, and the exports that show most of them follow within a minute.
+TIMEOUT = 30_000_000
+WATCH_SQL = f"""WITH log AS (
+  SELECT event_id, 'CREATED' AS kind, epoch_us(ts) AS t FROM events WHERE event_type = 'click'
+  UNION ALL SELECT event_id, 'EXPORTED', epoch_us(ts) + event_id % 60 * 1000000 FROM events WHERE event_type = 'click' AND event_id % 13 <> 0),
+bounds AS (SELECT min(t) AS low, max(t) AS high FROM log),
+sliced AS (SELECT log.*, CASE WHEN event_id % CASE kind WHEN 'CREATED' THEN 97 ELSE 19 END = 0 THEN {SLICES - 1}
+    ELSE least((t + (event_id % 7) * 60000000 - low) * {SLICES} // (high - low + 1), {SLICES - 1}) END AS slice FROM log, bounds),
+seen AS (SELECT max(t) - {LAG} AS cut FROM sliced WHERE slice < {SLICES - 1}),
+placed AS (SELECT sliced.*, slice = {SLICES - 1} AND t <= cut AS late FROM sliced, seen)
+SELECT c.event_id AS instance_key, CASE WHEN c.late THEN 'late' WHEN e.event_id IS NULL THEN 'vanished'
+  WHEN NOT e.late AND e.t <= c.t + {TIMEOUT} THEN 'visible' ELSE 'appeared' END AS verdict
+FROM (SELECT * FROM placed WHERE kind = 'CREATED') c LEFT JOIN (SELECT * FROM placed WHERE kind = 'EXPORTED') e USING (event_id)"""
+
+
+@query("stream_visibility_watch", WATCH_SQL)
+def stream_visibility_watch(spark, sf):
+    """Five batches out of order: creates that are seen in time, seen after all, lost, or
+    themselves too late. Every 19th export comes with the last batch."""
+
+    def deliver(path: str) -> None:
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        clicks = b.table(spark, sf, "events").where("event_type = 'click'").select(F.col("event_id").alias("instance_key"), at.alias("at"))
+        shown = clicks.where("instance_key % 13 <> 0").withColumn("at", F.col("at") + F.col("instance_key") % 60 * 1_000_000)
+        log = clicks.withColumn("kind", F.lit("CREATED")).unionByName(shown.withColumn("kind", F.lit("EXPORTED")))
+        low, high = log.agg(F.min("at"), F.max("at")).first()
+        arrives = F.col("at") + F.col("instance_key") % 7 * 60_000_000
+        number = F.call_function("div", (arrives - low) * SLICES, F.lit(high - low + 1))
+        held = F.col("instance_key") % F.when(F.col("kind") == "CREATED", 97).otherwise(19) == 0
+        slice_ = F.when(held, SLICES - 1).otherwise(F.least(number, F.lit(SLICES - 1)))
+        for i in range(SLICES):
+            log.where(slice_ == i).select("instance_key", "kind", "at").coalesce(1).write.mode("append").parquet(path)
+
+    source = b.written(spark, sf, "stream-watched", deliver)
+    events = spark.readStream.schema(jobs.VisibilityWatch.SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    path = _run(
+        spark, sf, "stream-watch",
+        lambda path, check: jobs.stream_visibility_watch(events, path, check, TIMEOUT, LAG),
+    )
+    watch = jobs.VisibilityWatch(spark, path, TIMEOUT, LAG)
+    b.written(spark, sf, "stream-watch-end", lambda _: watch.finish())
+    return watch.reconciled().select("instance_key", "verdict")
+
+
 @query("stream_unique_active", UNIQUE_SQL)
 def stream_unique_active(spark, sf):
     """A signup creates an instance and a purchase ends it, over several batches that
@@ -175,19 +235,32 @@ def stream_late_after_close(spark, sf):
 
 @query(
     "stream_intent_first",
-    f"{o.WITH_CLASSIFIED} SELECT part, source_line, case_ref AS business_id, target_element, 2 AS n_intents FROM classified WHERE outcome = 'MIGRATE'",
+    f"{o.WITH_LEDGER}, both_runs AS (SELECT *, 'open' AS run FROM answered UNION ALL SELECT * REPLACE (CASE action WHEN 'CREATE' THEN 'REFUSE_CLOSED' ELSE action END AS action), 'closed' FROM answered) "
+    "SELECT run, part, source_line, case_ref AS business_id, action, action = 'CREATE' AS commanded, "
+    "CASE WHEN action = 'CREATE' THEN 2 WHEN action IN ('RECORD_SKIP', 'RECORD_QUARANTINE') THEN 1 ELSE 0 END AS n_intents FROM both_runs",
 )
 def stream_intent_first(spark, sf):
-    """Every command, with the number of durable intents that stand before it."""
+    """What became of every record against the events of an earlier load, in a run that
+    is open and in one that has closed creation: whether a command left, and how many
+    durable intents stand before it."""
     lines = _lines(spark, sf)
-    path = _run(
-        spark, sf, "stream-intent",
-        lambda path, check: jobs.stream_intent_first(lines, b.header(spark, sf), b.boundary(), b.RUN_ID, path, check),
-    )
-    intents = spark.read.parquet(f"{path}/intents").groupBy("part", "source_line").agg(
-        F.count(F.lit(1)).alias("n_intents")
-    )
-    commands = spark.read.parquet(f"{path}/commands")
-    return commands.join(intents, ["part", "source_line"], "left").select(
-        "part", "source_line", "business_id", "target_element", "n_intents"
-    )
+
+    def results(run: str, closed: bool) -> DataFrame:
+        path = _run(
+            spark, sf, f"stream-intent-{run}",
+            lambda path, check: jobs.stream_intent_first(
+                lines, b.header(spark, sf), b.boundary(), b.RUN_ID, path, check,
+                ledger=lambda: b.prior_events(spark, sf), closed=lambda: closed,
+            ),
+        )
+        key = ["part", "source_line"]
+        intents = spark.read.parquet(f"{path}/intents").groupBy(*key).agg(F.count(F.lit(1)).alias("n_intents"))
+        commands = spark.read.parquet(f"{path}/commands").select(*key, F.lit(True).alias("commanded"))
+        rows = spark.read.parquet(f"{path}/plan").join(intents, key, "left").join(commands, key, "left")
+        return rows.select(
+            F.lit(run).alias("run"), *key, F.col("case_ref").alias("business_id"), "action",
+            F.coalesce("commanded", F.lit(False)).alias("commanded"),
+            F.coalesce("n_intents", F.lit(0).cast("bigint")).alias("n_intents"),
+        )
+
+    return results("open", False).unionByName(results("closed", True))

@@ -43,6 +43,14 @@ def load_plan(classified: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
+def refuse_creates(plan: DataFrame) -> DataFrame:
+    """The plan of a run that has closed creation: what it would create is refused and
+    stays where it is; all else is recorded as before."""
+    create = F.col("action") == "CREATE"
+    next_state = F.when(create, F.col("existing_state")).otherwise(F.col("next_state"))
+    return plan.withColumns({"next_state": next_state, "action": F.when(create, "REFUSE_CLOSED").otherwise(F.col("action"))})
+
+
 def intent_events(plan: DataFrame, run_id: str, first_seq: int) -> DataFrame:
     """Events to append before anything is created: the classification, and for a
     create also its intent. Rows left alone write nothing."""

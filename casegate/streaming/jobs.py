@@ -6,14 +6,26 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from casegate.operators.ledger import ROW_KEY, fold_ledger, with_previous
-from casegate.operators.load import create_commands, intent_events, load_plan
+from casegate.operators.ledger import (
+    ALLOWED_EDGES,
+    FOLDED,
+    MARKS,
+    ROW_KEY,
+    STATE_BUCKETS,
+    as_partial,
+    fold_ledger,
+    merge_partials,
+    with_previous,
+)
+from casegate.operators.load import create_commands, intent_events, load_plan, refuse_creates
 from casegate.plans.classify import classify
 from casegate.session import broadcast_if_small, materialised
 from casegate.sources.export import source_records
+from casegate.sources.ledger_store import SNAPSHOT_SCHEMA
 from casegate.sources.tables import LEDGER_SCHEMA
 
 
@@ -47,26 +59,6 @@ def stream_classify(
     return _append(classify(source_records(lines, header), boundary), path, checkpoint)
 
 
-def stream_ledger_state(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Current state per ledger row, in update mode: a batch writes only the rows
-    it changed, under its batch number. Repeating a batch rewrites the same folder."""
-
-    def work(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-    return _each_batch(fold_ledger(events), "update", checkpoint, work)
-
-
-def latest_state(changes: DataFrame) -> DataFrame:
-    """The changed rows of all batches to one current row each."""
-    fields = [c for c in changes.columns if c not in (*ROW_KEY, "batch")]
-    return (
-        changes.groupBy(*ROW_KEY)
-        .agg(F.max_by(F.struct(*fields), "batch").alias("row"))
-        .select(*ROW_KEY, "row.*")
-    )
-
-
 def stream_visibility_timeout(
     created: DataFrame, exported: DataFrame, timeout: str, path: str, checkpoint: str, lag: str
 ) -> StreamingQuery:
@@ -98,6 +90,148 @@ def _read(spark: SparkSession, schema: str, base: str, numbers: Iterable[int], n
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+# States that no event leads on from.
+FINAL_STATES = sorted(set(STATE_BUCKETS) - set(ALLOWED_EDGES))
+
+
+class LedgerState:
+    """The ledger's state from a stream of events, batch by batch, with expiry.
+
+    Each batch is folded alone, into ``tail``. Every ``merge_every`` batches the tails are
+    merged into ``live``, and rows that have been in a final state for ``ttl`` (in units
+    of ``seq``, against the newest event) leave it for ``final``, which only grows and
+    which no batch reads. Folds are merged in any order, so an event that comes for an
+    expired row starts a new fold of that row and ``current`` puts both together.
+
+    ``changed`` has, per batch, the rows that the batch changed, from what is live: an
+    expired row that goes on shows there what came since. Folders carry the batch number
+    and a batch reads only earlier ones, so a repeated batch writes the same rows again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, ttl: int, merge_every: int = MERGE_EVERY) -> None:
+        self.spark, self.path, self.ttl, self.merge_every = spark, path, ttl, merge_every
+
+    def _merged(self, before: int) -> int:
+        """The last batch before this one that merged; -1 without any."""
+        return before // self.merge_every * self.merge_every - 1
+
+    def live_before(self, batch: int) -> DataFrame:
+        """Folds of the rows that are not expired, those of the tails apart."""
+        merged = self._merged(batch)
+        old = _read(self.spark, SNAPSHOT_SCHEMA, f"{self.path}/live", [merged] if merged >= 0 else [], "upto")
+        return old.unionByName(_read(self.spark, SNAPSHOT_SCHEMA, f"{self.path}/tail", range(merged + 1, batch), "batch"))
+
+    def work(self, events: DataFrame, batch: int) -> None:
+        def write(frame: DataFrame, name: str, number: str = "batch") -> None:
+            frame.select(*FOLDED, *MARKS).write.mode("overwrite").parquet(f"{self.path}/{name}/{number}={batch}")
+
+        write(merge_partials(as_partial(events)), "tail")
+        tail = _read(self.spark, SNAPSHOT_SCHEMA, f"{self.path}/tail", [batch], "batch")
+        live = self.live_before(batch)
+        write(merge_partials(live.join(tail.select(*ROW_KEY), ROW_KEY, "left_semi").unionByName(tail)), "changed")
+        if batch % self.merge_every == self.merge_every - 1:
+            rows = materialised(merge_partials(live.unionByName(tail)))
+            newest = rows.agg(F.max("last_seq")).first()[0]
+            old = F.lit(False) if newest is None else F.col("last_seq") <= newest - self.ttl
+            expired = F.coalesce(F.col("state").isin(FINAL_STATES) & old, F.lit(False))
+            write(rows.where(expired), "final", "upto")
+            write(rows.where(~expired), "live", "upto")
+
+    def current(self, batches: int) -> DataFrame:
+        """The folded ledger after so many batches, expired rows included."""
+        merges = range(self.merge_every - 1, batches, self.merge_every)
+        final = _read(self.spark, SNAPSHOT_SCHEMA, f"{self.path}/final", merges, "upto")
+        return merge_partials(final.unionByName(self.live_before(batches))).select(*FOLDED)
+
+
+def stream_ledger_state(
+    events: DataFrame, path: str, checkpoint: str, ttl: int, merge_every: int = MERGE_EVERY
+) -> StreamingQuery:
+    """Current state per ledger row; the rows that a batch changed are below
+    ``path``/changed under its number, and ``LedgerState.current`` has all rows."""
+    job = LedgerState(events.sparkSession, path, ttl, merge_every)
+    return _each_batch(events, "append", checkpoint, job.work)
+
+
+class VisibilityWatch:
+    """Creates against the exports that show them, batch by batch, without losing what
+    comes late.
+
+    Rows have ``instance_key``, ``kind`` (CREATED or EXPORTED) and ``at`` (a number, the
+    order). A create is visible when an export of its key follows within ``timeout``. It
+    is decided once nothing up to its deadline can come any more, that is ``lag`` behind
+    the newest row of the batches so far; until then it waits, and so do exports that
+    may belong to it. Rows further behind are kept apart, under ``late``, and exports
+    that showed no create in time under ``spare``; ``reconciled`` holds both against what
+    was decided. A create without a key is never visible. Folders carry the batch number and a batch reads only earlier ones.
+    """
+
+    SCHEMA = "instance_key bigint, kind string, at bigint"
+    DECIDED = "instance_key bigint, at bigint, visible boolean"
+
+    def __init__(self, spark: SparkSession, path: str, timeout: int, lag: int) -> None:
+        self.spark, self.path, self.timeout, self.lag = spark, path, timeout, lag
+
+    def work(self, rows: DataFrame, batch: int, last: bool = False) -> None:
+        """Decide what is ready; with ``last``, all that waits."""
+        read = lambda schema, name: _read(self.spark, schema, f"{self.path}/{name}", [batch - 1] if batch else [], "batch")
+        write = lambda frame, name: frame.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+        head = read("cut bigint", "cuts").first()
+        before = head["cut"] if head else None
+        rows = materialised(rows.select("instance_key", "kind", F.col("at").cast("bigint").alias("at")))
+        newest = rows.agg(F.max("at")).first()[0]
+        cut = max((c for c in (before, None if newest is None else newest - self.lag) if c is not None), default=None)
+        late = F.lit(False) if before is None else F.coalesce(F.col("at") <= before, F.lit(False))
+        write(rows.where(late), "late")
+
+        held = materialised(read(self.SCHEMA, "waiting").unionByName(rows.where(~late)))
+        # Up to here creates are due, and later creates cannot be shown by exports from before.
+        due = F.lit(True) if last else F.lit(False) if cut is None else F.col("at") <= cut - self.timeout
+        creates, exports = held.where("kind = 'CREATED'"), held.where("kind = 'EXPORTED'")
+        # A key's creates and exports lie side by side in the order, so each create asks for
+        # the next export of its key and each export for the last create before it.
+        ordered = held.withColumn("rank", F.struct("at", F.when(F.col("kind") == "CREATED", 0).otherwise(1)))
+        # The few rows of one instance; rows without a key are dealt over many groups.
+        keyed = Window.partitionBy("instance_key", F.when(F.col("instance_key").isNull(), F.col("at"))).orderBy("rank")
+        next_export = F.first(F.when(F.col("kind") == "EXPORTED", F.col("at")), True).over(
+            keyed.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        )
+        last_create = F.last(F.when(F.col("kind") == "CREATED", F.col("at")), True).over(
+            keyed.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        seen = materialised(ordered.withColumn("next", next_export).withColumn("previous", last_create).drop("rank"))
+        known = F.col("instance_key").isNotNull()
+        visible = F.coalesce(known & (F.col("next") <= F.col("at") + self.timeout), F.lit(False))
+        write(seen.where("kind = 'CREATED'").where(due).select("instance_key", "at", visible.alias("visible")), "decided")
+        unused = F.coalesce(F.col("at") > F.col("previous") + self.timeout, F.lit(True))
+        write(seen.where("kind = 'EXPORTED'").where(due & unused).select("instance_key", "kind", "at"), "spare")
+        write(creates.where(~due).unionByName(exports.where(~due)), "waiting")
+        write(self.spark.createDataFrame([(cut,)], "cut bigint"), "cuts")
+
+    def finish(self) -> None:
+        """After the stream has ended for good: decide what still waits."""
+        done = self.spark.read.schema("cut bigint, batch bigint").parquet(f"{self.path}/cuts").agg(F.max("batch")).first()[0]
+        self.work(self.spark.createDataFrame([], self.SCHEMA), done + 1, last=True)
+
+    def reconciled(self) -> DataFrame:
+        """Every create with its verdict: ``visible``, ``vanished``, ``appeared`` (a late
+        row, or an export after the deadline, shows it after all) or ``late``."""
+        table = lambda schema, name: self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.path}/{name}").drop("batch")
+        late = table(self.SCHEMA, "late")
+        shown = late.where("kind = 'EXPORTED'").unionByName(table(self.SCHEMA, "spare"))
+        shown = shown.groupBy("instance_key").agg(F.max("at").alias("shown_at"))
+        found = table(self.DECIDED, "decided").join(shown, "instance_key", "left")
+        verdict = F.when(F.col("visible"), "visible").when(F.col("shown_at") >= F.col("at"), "appeared").otherwise("vanished")
+        return found.select("instance_key", "at", verdict.alias("verdict")).unionByName(
+            late.where("kind = 'CREATED'").select("instance_key", "at", F.lit("late").alias("verdict"))
+        )
+
+
+def stream_visibility_watch(events: DataFrame, path: str, checkpoint: str, timeout: int, lag: int) -> StreamingQuery:
+    """Creates and exports in one stream (``VisibilityWatch.SCHEMA``), decided in batches."""
+    return _each_batch(events, "append", checkpoint, VisibilityWatch(events.sparkSession, path, timeout, lag).work)
+
+
 class UniqueActive:
     """Creates and ends of instances, batch by batch: which creates are accepted.
 
@@ -192,29 +326,58 @@ def stream_late_after_close(rows: DataFrame, runs: DataFrame, path: str, checkpo
     return _append(flagged.drop("closed"), path, checkpoint)
 
 
-def stream_intent_first(
-    lines: DataFrame, header: str, boundary: Column, run_id: str, path: str, checkpoint: str,
-    ledger: Callable[[], DataFrame] | None = None,
-) -> StreamingQuery:
-    """Per batch: write the plan, then its intents, and only then the commands that
-    are read back from the plan. Folders carry the batch number, so a repeated
-    batch writes the same rows again instead of more of them.
-
-    A batch is planned against ``ledger()``, the events so far, and the intents of the
-    batches before it: a row that is live or waits for an answer gets no second command.
+def _planned(spark: SparkSession, path: str, batch: int) -> bool:
+    """Whether the batch has a whole plan."""
+    try:
+        return spark.read.schema("n bigint").parquet(f"{path}/planned/batch={batch}").count() > 0
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def intent_first_batch(
+    records: DataFrame, batch: int, boundary: Column, run_id: str, path: str,
+    ledger: Callable[[], DataFrame] | None = None, closed: Callable[[], bool] | None = None,
+) -> None:
+    """One batch: its plan, then its intents, and only then the commands, which are read
+    back from the plan.
+
+    A plan that was written whole is kept: an attempt that died after it is taken up
+    where it was, with the same creates, even if the run has been closed since. Else the
+    batch is planned against ``ledger()``, the events so far, and the intents of the
+    batches before it, of which only those of the batch's own parts are read. Once
+    ``closed()`` holds, no create is planned: such rows have the action REFUSE_CLOSED.
     """
-    spark = lines.sparkSession
-
-    def work(records: DataFrame, batch: int) -> None:
+    spark = records.sparkSession
+    plan_path = f"{path}/plan/batch={batch}"
+    if not _planned(spark, path, batch):
+        records = materialised(records)
+        parts = [r["part"] for r in records.select("part").distinct().collect()]  # a few files per batch
         events = ledger() if ledger else spark.createDataFrame([], LEDGER_SCHEMA)
         if batch:
             earlier = spark.read.schema(f"{LEDGER_SCHEMA}, batch bigint").option("basePath", f"{path}/intents").parquet(f"{path}/intents")
             events = events.unionByName(earlier.where(F.col("batch") < batch).drop("batch"))
-        nothing = fold_ledger(events.where(F.col("run_id") == run_id))
-        plan_path = f"{path}/plan/batch={batch}"
-        load_plan(classify(records, boundary), nothing).write.mode("overwrite").parquet(plan_path)
-        plan = spark.read.parquet(plan_path)
-        intent_events(plan, run_id, 1).write.mode("overwrite").parquet(f"{path}/intents/batch={batch}")
-        create_commands(plan, run_id).write.mode("overwrite").parquet(f"{path}/commands/batch={batch}")
+        folded = fold_ledger(events.where((F.col("run_id") == run_id) & F.col("part").isin(parts)))
+        plan = load_plan(classify(records, boundary), folded)
+        if closed is not None and closed():
+            plan = refuse_creates(plan)
+        plan.write.mode("overwrite").parquet(plan_path)
+        spark.createDataFrame([(batch,)], "n bigint").write.mode("overwrite").parquet(f"{path}/planned/batch={batch}")
+    plan = spark.read.parquet(plan_path)
+    intent_events(plan, run_id, 1).write.mode("overwrite").partitionBy("part").parquet(f"{path}/intents/batch={batch}")
+    create_commands(plan, run_id).write.mode("overwrite").parquet(f"{path}/commands/batch={batch}")
+
+
+def stream_intent_first(
+    lines: DataFrame, header: str, boundary: Column, run_id: str, path: str, checkpoint: str,
+    ledger: Callable[[], DataFrame] | None = None, closed: Callable[[], bool] | None = None,
+) -> StreamingQuery:
+    """Raw lines in, create commands out, never without their durable intents. Folders
+    carry the batch number, so a repeated batch writes the same rows again. A row that is
+    live or waits for an answer gets no second command."""
+
+    def work(records: DataFrame, batch: int) -> None:
+        intent_first_batch(records, batch, boundary, run_id, path, ledger, closed)
 
     return _each_batch(source_records(lines, header), "append", checkpoint, work)

@@ -27,6 +27,7 @@ SOME = [
     "stream_classify",
     "stream_ledger_state",
     "stream_visibility_timeout",
+    "stream_visibility_watch",
     "stream_intent_first",
 ]
 NAMES = list(contract.oracle_sql()) if os.environ.get("ALL_ORACLES") else SOME
