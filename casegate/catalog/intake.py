@@ -122,7 +122,7 @@ n_cells AS (SELECT rule_id, count(*) AS n_cells FROM cell_hits GROUP BY rule_id)
 
 def rules_xml_path(spark: SparkSession, sf: str) -> str:
     def write(path: str) -> None:
-        xml = rules.rules_to_xml(rules.OVERLAP_RULES)
+        xml = rules.rules_to_xml(rules.OVERLAP_RULES, rules.INPUTS[::-1], ["rule_id", *rules.OUTPUTS[::-1]])
         spark.range(0, 1, 1, 1).select(F.lit(xml).alias("value")).write.text(path)
 
     return b.written(spark, sf, "rules-xml", write)

@@ -7,11 +7,14 @@ from pyspark.sql import Window, functions as F
 from casegate.catalog import bindings as b
 from casegate.catalog import intake
 from casegate.catalog import oracle as o
+from casegate.catalog.reconciliation import GATE_SQL
 from casegate.catalog.registry import query
 from casegate.functions import values
-from casegate.operators import decide, integrity, normalise, reconcile, report
+from casegate.operators import decide, integrity, load, normalise, reconcile, report
+from casegate.operators.ledger import BUCKETS, ROW_KEY
 from casegate.plans.classify import classify, rule_change_diff
 from casegate.sources import export, manifest, rules, tables
+from casegate.sources.ledger_store import LedgerStore
 
 KEY = ["part", "source_line"]
 PLACED = [*KEY, "outcome", "target_element", "reason_code", "redundant"]
@@ -297,15 +300,51 @@ def classification_report_overlap(spark, sf):
     return report.classification_report(spark, b.classified(spark, sf, rules.overlap_rules(spark)))
 
 
+_gate_buckets = " UNION ALL ".join(
+    f"SELECT 'gate', '{name}', (SELECT count(*) FROM ledger WHERE {o.BUCKET_OF} = '{name}')" for name in BUCKETS
+)
+_blocks_sql = f"""{o.WITH_LEDGER},{GATE_SQL}
+SELECT 'load' AS section, key, (SELECT count(*) FROM ledger WHERE action = wanted) AS n FROM (VALUES ('skipped', 'RECORD_SKIP'),
+  ('quarantined', 'RECORD_QUARANTINE'), ('already_loaded', 'ALREADY_LOADED'), ('refused_pending', 'REFUSE_PENDING'), ('commands', 'CREATE')) t(key, wanted)
+UNION ALL SELECT 'answers', key, (SELECT count(*) FROM ledger WHERE code = wanted) FROM (VALUES ('created', 200), ('already_existed', 409), ('rejected', 500)) t(key, wanted)
+UNION ALL {_gate_buckets}
+UNION ALL SELECT 'gate', 'TOTAL', (SELECT count(*) FROM ledger)
+UNION ALL SELECT 'gate', 'MANIFEST', (SELECT count(*) FROM orders)
+UNION ALL SELECT 'gate', 'PASSED', (SELECT CAST(bool_and(n = 0) AS INT) FROM checks)
+UNION ALL SELECT 'gate failure', "check", n FROM checks WHERE n <> 0
+UNION ALL SELECT 'release', 'released', (SELECT count(*) FROM ledger WHERE state = 'CREATED' AND coalesce(instance_key % 37, 1) <> 0)
+UNION ALL SELECT 'release', 'failed', (SELECT count(*) FROM ledger WHERE state = 'CREATED' AND instance_key % 37 = 0)"""
+
+
 @query(
     "write_reports",
-    f"{_report_sql(o.WITH_CLASSIFIED)}",
+    f"SELECT * FROM ({_report_sql(o.WITH_CLASSIFIED)}) UNION ALL SELECT * FROM ({_blocks_sql})",
 )
 def write_reports(spark, sf):
-    """The report written as CSV and read back."""
+    """The blocks of classification, load, gate and release written as CSV and read
+    back. Load and release are counted by the writes of their events."""
 
     def write(path: str) -> None:
-        report.classification_report(spark, b.classified(spark, sf)).write.option("header", True).csv(path)
+        store = LedgerStore(spark, f"{path}-ledger")
+        store.append(b.prior_events(spark, sf))
+        plan = spark.read.parquet(b.plan_path(spark, sf))
+        planned = report.observed(plan, "load", report.LOAD_COUNTS, lambda rows: rows.write.parquet(f"{path}-plan"))
+        store.append(load.intent_events(plan, b.RUN_ID, b.LOAD_SEQ))
+        commands = load.create_commands(plan, b.RUN_ID)
+        answers = load.response_events(load.apply_create_responses(commands, b.create_answers(commands)), b.RUN_ID, b.LOAD_SEQ + 2)
+        answered = report.observed(answers, "answers", report.ANSWER_COUNTS, store.append)
+        ledger = store.settled(b.RUN_ID)
+        active = tables.read_engine_snapshot(spark, b.snapshot_path(spark, sf), b.PROCESS_ID)
+        gate = reconcile.gate_block(reconcile.gate_counts(ledger, active), b.table(spark, sf, "orders").count())
+        held = ledger.where("state = 'CREATED'").select(
+            *ROW_KEY, F.lit("TRANSITION").alias("kind"), F.lit(b.LOAD_SEQ + 3).alias("seq"),
+            F.when(F.col("instance_key") % 37 == 0, "RELEASE_FAILED").otherwise("RELEASED").alias("state"),
+        )
+        released = report.observed(tables.ledger_events(held), "release", report.RELEASE_COUNTS, store.append)
+        blocks = report.classification_report(spark, b.classified(spark, sf))
+        for one in (planned, answered, gate, released):
+            blocks = blocks.unionByName(one)
+        blocks.write.option("header", True).csv(path)
 
     path = b.written(spark, sf, "report-csv", write)
     return spark.read.schema("section string, key string, n bigint").option("header", True).csv(path)

@@ -57,6 +57,11 @@ def gate_counts(ledger: DataFrame, active: DataFrame) -> DataFrame:
 def gate_checks(ledger: DataFrame, active: DataFrame, record_count: Column | int) -> DataFrame:
     """Five checks in order, all reported: ``(place, check, n, ok)``. The offending
     rows come whole from ``held_not_alive`` and ``live_duplicates``."""
+    return checks_of(gate_counts(ledger, active), record_count)
+
+
+def checks_of(counts: DataFrame, record_count: Column | int) -> DataFrame:
+    """The checks from the one row of ``gate_counts``."""
     expected = F.lit(record_count) if isinstance(record_count, int) else record_count
     total = sum((F.col(b.lower()) for b in BUCKETS[1:]), F.col(BUCKETS[0].lower()))
 
@@ -68,7 +73,7 @@ def gate_checks(ledger: DataFrame, active: DataFrame, record_count: Column | int
             (n == 0).alias("ok"),
         )
 
-    return gate_counts(ledger, active).select(
+    return counts.select(
         F.inline(
             F.array(
                 check(1, "identity", total - expected),
@@ -81,6 +86,20 @@ def gate_checks(ledger: DataFrame, active: DataFrame, record_count: Column | int
     )
 
 
+def gate_block(counts: DataFrame, record_count: Column | int) -> DataFrame:
+    """The gate as rows of a report: buckets, their total, what the manifest counted, and
+    the verdict with its reasons, each the number of rows that it rests on."""
+    expected = F.lit(record_count) if isinstance(record_count, int) else record_count
+    bucket = [(b, F.col(b.lower())) for b in BUCKETS]
+    total = sum((n for _, n in bucket[1:]), bucket[0][1])
+    lines = [*bucket, ("TOTAL", total), ("MANIFEST", expected)]
+    row = [F.struct(F.lit("gate").alias("section"), F.lit(k).alias("key"), n.cast("bigint").alias("n")) for k, n in lines]
+    checks = checks_of(counts, record_count)
+    reasons = checks.where("not ok").select(F.lit("gate failure").alias("section"), F.col("check").alias("key"), "n")
+    passed = checks.agg(F.min(F.col("ok").cast("bigint")).alias("n")).select(F.lit("gate").alias("section"), F.lit("PASSED").alias("key"), "n")
+    return counts.select(F.inline(F.array(*row))).unionByName(reasons).unionByName(passed)
+
+
 def gate_passed(checks: DataFrame) -> bool:
     return bool(checks.agg(F.bool_and("ok").alias("ok")).first()["ok"])
 

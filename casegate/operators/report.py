@@ -3,7 +3,9 @@ patterns (a few hundred rows at most); every report is built from those."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from casegate.functions.text import is_present
 from casegate.functions.values import combination_key
@@ -18,6 +20,37 @@ def closed_list(spark: SparkSession, values: list[str], name: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({name}, place)")
 
 
+# What the blocks of a run count: rows of the load plan, answers to creates, and answers
+# to releases. Creates that nobody answered are the commands without the answers.
+LOAD_COUNTS = {
+    "skipped": "action = 'RECORD_SKIP'",
+    "quarantined": "action = 'RECORD_QUARANTINE'",
+    "already_loaded": "action = 'ALREADY_LOADED'",
+    "refused_pending": "action = 'REFUSE_PENDING'",
+    "commands": "action = 'CREATE'",
+}
+ANSWER_COUNTS = {
+    "created": "state = 'CREATED'",
+    "already_existed": "state = 'PENDING_RESOLVED_EXISTS'",
+    "rejected": "state = 'CREATE_FAILED'",
+}
+RELEASE_COUNTS = {"released": "state = 'RELEASED'", "failed": "state = 'RELEASE_FAILED'"}
+
+
+def block(spark: SparkSession, section: str, counts: dict[str, int]) -> DataFrame:
+    """Counts as rows of a report."""
+    return spark.createDataFrame([(section, k, n) for k, n in counts.items()], "section string, key string, n bigint")
+
+
+def observed(rows: DataFrame, section: str, counts: dict[str, str], write: Callable[[DataFrame], object]) -> DataFrame:
+    """Write ``rows`` and count on the way, so the block of a report costs no scan of its
+    own. ``write`` runs one job over the rows, with nothing that shuffles them after."""
+    seen = Observation(section)
+    conditions: list[Column] = [F.count_if(F.expr(c)).alias(k) for k, c in counts.items()]
+    write(rows.observe(seen, *conditions))
+    return block(rows.sparkSession, section, seen.get)
+
+
 def patterns(classified: DataFrame) -> DataFrame:
     """Distinct (outcome, target, reason, redundancy, unmatched combination) with counts."""
     unmatched = F.when(F.col("reason_code") == "UNMATCHED", combination_key(F.col("input")))

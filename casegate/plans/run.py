@@ -1,4 +1,4 @@
-"""A run from load to release, on tables in a folder.
+"""A run from classification to release, on tables in a folder.
 
 ``runs``, ``ledger`` and ``reports`` are Parquet folders below ``base``. Commands
 come out as tables; whoever executes them hands back tables of answers.
@@ -6,6 +6,8 @@ come out as tables; whoever executes them hands back tables of answers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
@@ -29,13 +31,15 @@ from casegate.operators.reconcile import (
     abort_allowed,
     abort_set,
     abort_verify,
-    gate_checks,
+    checks_of,
+    gate_block,
+    gate_counts,
     quarantine_queue,
     release_plan,
     resolution_events,
     resolve_pending,
 )
-from casegate.operators.report import classification_report
+from casegate.operators.report import ANSWER_COUNTS, LOAD_COUNTS, RELEASE_COUNTS, classification_report, observed
 from casegate.plans.classify import DryRun, dry_run, halt_on_expectation
 from casegate.session import materialised
 from casegate.sources.manifest import RunHalted, RunParameters
@@ -47,6 +51,8 @@ RUN_SCHEMA = (
     "record_count bigint, rules_hash string, creation_closed boolean, started_at timestamp"
 )
 
+REPORT_SCHEMA = "section string, key string, n bigint, block string, attempt bigint, run_id string"
+
 
 class RunStore:
     """Where a run keeps its tables. The run table is an append-only log too: the
@@ -114,12 +120,29 @@ class RunStore:
     def append(self, events: DataFrame) -> None:
         self.log.append(events)
 
-    def apply(self, run_id: str, events: DataFrame) -> DataFrame:
-        """Append the events that the state graph allows, and return the refused ones."""
+    def apply(self, run_id: str, events: DataFrame, section: str = "", counts: dict[str, str] | None = None) -> DataFrame:
+        """Append the events that the state graph allows, and return the refused ones.
+        With ``counts``, what they count of the appended events is kept as a block."""
         judged = materialised(guarded(self.ledger(run_id), events))
-        self.append(judged.where("applied"))
+        applied = judged.where("applied")
+        if counts:
+            self.report(observed(applied, section, counts, self.append), run_id, section)
+        else:
+            self.append(applied)
         return judged.where("not applied")
 
+    def report(self, rows: DataFrame, run_id: str, block: str) -> None:
+        """Keep a block of counts under the run."""
+        kept = self._read(self.reports_path, REPORT_SCHEMA)
+        last = None if kept is None else kept.where(F.col("run_id") == run_id).agg(F.max("attempt")).first()[0]
+        append_report(rows, self.reports_path, run_id, block, (last or 0) + 1)
+
+    def reports(self, run_id: str) -> DataFrame:
+        """The last block of each name: section, key, n."""
+        rows = self.spark.read.schema(REPORT_SCHEMA).parquet(self.reports_path).where(F.col("run_id") == run_id)
+        last = rows.groupBy("block").agg(F.max("attempt").alias("attempt"))
+        return rows.join(last, ["block", "attempt"], "left_semi").select("section", "key", "n")
+
     def next_seq(self) -> int:
         return self.log.next_seq()
 
@@ -144,7 +167,8 @@ def load_intents(store: RunStore, run: DryRun) -> DataFrame:
         raise RunHalted(f"run {p.run_id} has closed creation")
     seq = store.next_seq()
     path = f"{store.plans_path}/{p.run_id}/load-{seq}"
-    load_plan(run.classified, store.ledger(p.run_id)).write.mode("overwrite").parquet(path)
+    planned = load_plan(run.classified, store.ledger(p.run_id))
+    store.report(observed(planned, "load", LOAD_COUNTS, lambda rows: rows.write.mode("overwrite").parquet(path)), p.run_id, "load")
     plan = store.spark.read.parquet(path)
     store.append(intent_events(plan, p.run_id, seq))
     return create_commands(plan, p.run_id)
@@ -154,7 +178,8 @@ def record_responses(store: RunStore, run_id: str, commands: DataFrame, response
     """Take the answers into the ledger. An answer to a row that is no longer pending is
     refused; the refused events are returned."""
     seq = store.next_seq()
-    return store.apply(run_id, response_events(apply_create_responses(commands, responses), run_id, seq))
+    events = response_events(apply_create_responses(commands, responses), run_id, seq)
+    return store.apply(run_id, events, "answers", ANSWER_COUNTS)
 
 
 def resolve_creates(store: RunStore, run_id: str, active: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -171,13 +196,15 @@ def resolve_creates(store: RunStore, run_id: str, active: DataFrame) -> tuple[Da
 
 
 def gate(store: RunStore, run_id: str, active: DataFrame) -> DataFrame:
-    """Stop new creates, then run the checks over what there is. A run that was never
-    started has no gate."""
+    """Stop new creates, then run the checks over what there is, in one pass that the
+    gate's block comes from, too. A run that was never started has no gate."""
     row = store.row(run_id)
     if row is None:
         raise RunHalted(f"run {run_id} was never started")
     store.close(run_id)
-    return gate_checks(store.ledger(run_id), active, row["record_count"])
+    counts = materialised(gate_counts(store.ledger(run_id), active))
+    store.report(gate_block(counts, row["record_count"]), run_id, "gate")
+    return checks_of(counts, row["record_count"])
 
 
 def release_intents(store: RunStore, run_id: str, checks: DataFrame) -> DataFrame:
@@ -220,7 +247,9 @@ def record_releases(store: RunStore, run_id: str, answers: DataFrame) -> DataFra
                 F.when(~F.col("ok"), F.col("message")).alias("detail"),
                 F.lit(seq).alias("seq"),
             )
-        )
+        ),
+        "release",
+        RELEASE_COUNTS,
     )
 
 
@@ -306,6 +335,31 @@ def migrate(
     if expected is not None:
         halt_on_expectation(run.classified, expected)
     report = classification_report(store.spark, run.classified)
-    append_report(report, store.reports_path, run.parameters.run_id)
+    store.report(report, run.parameters.run_id, "classification")
     closed = store.is_closed(run.parameters.run_id)
     return run, None if closed else load_intents(store, run)
+
+
+def run_to_end(
+    store: RunStore,
+    export: str,
+    manifest: str,
+    create: Callable[[DataFrame], DataFrame],
+    snapshot: Callable[[], DataFrame],
+    release: Callable[[DataFrame], DataFrame] | None = None,
+    expected: DataFrame | None = None,
+) -> DataFrame:
+    """A whole run: classify, load, gate and, if asked to, release. ``create`` and
+    ``release`` execute a table of commands and return the answers, ``snapshot`` gives
+    the active instances. Rows are released only if the gate passes; a run whose creation
+    is closed goes straight to the gate. Returns the reports of the run."""
+    run, commands = migrate(store, export, manifest, expected)
+    run_id = run.parameters.run_id
+    if commands is not None:
+        sent = materialised(commands)
+        record_responses(store, run_id, sent, create(sent))
+    checks = materialised(gate(store, run_id, snapshot()))
+    if release is not None:
+        to_release = materialised(release_intents(store, run_id, checks))
+        record_releases(store, run_id, release(to_release))
+    return store.reports(run_id)

@@ -56,6 +56,8 @@ def read_engine_snapshot(
     return snapshot.where(F.col("state") == state) if state is not None else snapshot
 
 
-def append_report(report: DataFrame, path: str, run_id: str) -> None:
-    """Keep the counts of one dry run; ``(section, key, n)`` under its run."""
-    report.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+def append_report(report: DataFrame, path: str, run_id: str, block: str = "classification", attempt: int = 0) -> None:
+    """Keep a block of counts, ``(section, key, n)``, under its run; of blocks of one
+    name the largest ``attempt`` is the last."""
+    marks = {"run_id": F.lit(run_id), "block": F.lit(block), "attempt": F.lit(attempt).cast("bigint")}
+    report.withColumns(marks).write.mode("append").partitionBy("run_id").parquet(path)

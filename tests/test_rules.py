@@ -131,6 +131,49 @@ def test_rules_survive_the_xml_form(spark, tmp_path):
     assert version != rules.rule_version(rules.baseline_rules(spark)).first()
 
 
+def plain(frame):
+    return sorted(str(r) for r in frame.drop("position").collect())
+
+
+def test_columns_are_known_by_id_and_not_by_place(spark, tmp_path):
+    path = tmp_path / "rules.xml"
+    path.write_text(rules.rules_to_xml(rules.OVERLAP_RULES, rules.INPUTS[::-1], ["reason_code", "rule_id", "outcome", "target_element"]))
+    assert plain(rules.scan_rules_xml(spark, str(path))) == plain(rules.overlap_rules(spark))
+    whole = rules.rules_to_xml(rules.BASELINE_RULES)
+    bare = tmp_path / "bare.xml"  # no rule-id column: the rule's own id
+    bare.write_text(rules.rules_to_xml(rules.BASELINE_RULES, outputs=rules.OUTPUTS))
+    assert plain(rules.scan_rules_xml(spark, str(bare))) == plain(rules.baseline_rules(spark))
+    plainest = tmp_path / "plain.xml"  # no columns declared: the usual order
+    plainest.write_text("\n".join(l for l in whole.splitlines() if not l.startswith(("<input ", "<output "))))
+    assert plain(rules.scan_rules_xml(spark, str(plainest))) == plain(rules.baseline_rules(spark))
+    for name, change in [("unknown", ("in-fee-paid", "in-fee")), ("twice", ("in-fee-paid", "in-has-issued"))]:
+        broken = tmp_path / f"{name}.xml"
+        broken.write_text(whole.replace(*change))
+        with pytest.raises(ValueError, match="lacking"):
+            rules.scan_rules_xml(spark, str(broken))
+
+
+def test_csv_and_parquet_tables_give_the_same_rules(spark, tmp_path):
+    names = ["rule_id", *rules.INPUTS, *rules.OUTPUTS]
+    rows = ["owner," + ",".join(names[::-1])]
+    for rule in rules.OVERLAP_RULES:
+        rows.append("me," + ",".join("-" if v is None else str(v) for v in rule[::-1]))
+    csv = tmp_path / "rules.csv"
+    csv.write_text("\n".join(rows) + "\n")
+    read = rules.scan_rules_table(spark, str(csv), "csv")
+    assert plain(read) == plain(rules.overlap_rules(spark))
+    order = [r["rule_id"] for r in read.orderBy("position").collect()]
+    assert order == [r[0] for r in rules.OVERLAP_RULES]
+    rules.overlap_rules(spark).write.parquet(str(tmp_path / "rules"))
+    assert sorted(map(str, rules.scan_rules_table(spark, str(tmp_path / "rules")).collect())) == sorted(map(str, rules.overlap_rules(spark).collect()))
+    csv.write_text("\n".join(rows).replace("PASS", "PERHAPS") + "\n")
+    with pytest.raises(Exception, match="unsupported cell"):
+        rules.scan_rules_table(spark, str(csv), "csv").collect()
+    csv.write_text(rows[0].replace("fee_paid", "fee") + "\n")
+    with pytest.raises(ValueError, match="lacks"):
+        rules.scan_rules_table(spark, str(csv), "csv")
+
+
 def test_rule_change_lists_only_moved_cases(spark):
     frame = records(spark, [record(2), record(3, fee_paid="TRUE")])
     moved = rule_change_diff(

@@ -279,3 +279,37 @@ def test_a_chosen_target_needs_its_variables(spark, tmp_path):
     now = states(store)
     assert all(now[n] == ("QUARANTINED" if n in lacking else "CREATE_PENDING") for n in waiting)
     assert {r["target_element"] for r in store.planned(RUN).where("action = 'CREATE'").collect()} >= {"issuing-review"}
+
+
+def of(store, section):
+    return {r["key"]: r["n"] for r in store.reports(RUN).where(F.col("section") == section).collect()}
+
+
+def test_a_run_to_its_end_with_its_reports(spark, tmp_path):
+    store = plans.RunStore(spark, str(tmp_path / "run"))
+    source, frozen = freeze(spark, tmp_path)
+    sent = []
+
+    def release(commands):
+        sent.extend(r["source_line"] for r in commands.collect())
+        return spark.createDataFrame(
+            [(0, 2, True, None), (0, 3, True, None), (0, 4, False, "gone")],
+            "part int, source_line bigint, ok boolean, message string",
+        ).join(commands.select("part", "source_line"), ["part", "source_line"])
+
+    # One create is not answered, so the gate holds everything back.
+    plans.run_to_end(store, source, frozen, lambda _: answers(spark, OK[:2]), lambda: snapshot(spark, tmp_path / "s", ALIVE), release)
+    assert sent == [] and of(store, "gate")["PASSED"] == 0 and of(store, "gate failure") == {"pending": 1}
+    assert of(store, "load") == {"skipped": 4, "quarantined": 6, "already_loaded": 0, "refused_pending": 0, "commands": 3}
+    assert of(store, "answers") == {"created": 2, "already_existed": 0, "rejected": 0}
+    assert of(store, "outcome") == {"MIGRATE": 3, "SKIP": 4, "QUARANTINE": 6}
+    # It turns out to exist; the same run, started again, only goes through the gate.
+    late = spark.createDataFrame([(0, 4)], "part int, source_line bigint")
+    plans.record_responses(store, RUN, late, answers(spark, OK[2:]))
+    plans.run_to_end(store, source, frozen, lambda _: 1 / 0, lambda: snapshot(spark, tmp_path / "s2", ALIVE), release)
+    assert sorted(sent) == [2, 3, 4]
+    gate = of(store, "gate")
+    assert gate["PASSED"] == 1 and of(store, "gate failure") == {}
+    assert (gate["MIGRATED"], gate["SKIPPED"], gate["QUARANTINED"], gate["TOTAL"], gate["MANIFEST"]) == (3, 4, 6, 13, 13)
+    assert of(store, "release") == {"released": 2, "failed": 1}
+    assert states(store)[4] == "RELEASE_FAILED"
