@@ -10,7 +10,8 @@ from casegate.catalog import oracle as o
 from casegate.catalog.reconciliation import GATE_SQL
 from casegate.catalog.registry import query
 from casegate.functions import values
-from casegate.operators import decide, integrity, load, normalise, reconcile, report
+from casegate.functions.text import is_present
+from casegate.operators import decide, integrity, load, normalise, reconcile, report, validate
 from casegate.operators.ledger import BUCKETS, ROW_KEY
 from casegate.plans.classify import classify, rule_change_diff
 from casegate.sources import export, manifest, rules, tables
@@ -82,14 +83,11 @@ def classify_text_export(spark, sf):
     "WHERE verdict = 'CITIZEN_TARGET'",
 )
 def target_allowlist(spark, sf):
+    """Cases whose rules, one or several that agree, choose a target outside the list."""
     rows = b.classified(spark, sf, rules.overlap_rules(spark)).where("reason_code = 'CITIZEN_TARGET'")
-    chosen = F.lit("apply-for-permit")
-    table = rules.overlap_rules(spark).select(
-        F.array("rule_id").alias("rule_ids"), F.col("target_element").alias("chosen")
-    )
-    return rows.join(F.broadcast(table), "rule_ids").where(F.col("chosen") == chosen).select(
-        *KEY, "chosen", "target_element", "reason_code"
-    )
+    table = rules.overlap_rules(spark).select("rule_id", F.col("target_element").alias("chosen"))
+    first = rows.withColumn("rule_id", F.get("rule_ids", F.lit(0)))  # rules that agree have one target
+    return first.join(F.broadcast(table), "rule_id").select(*KEY, "chosen", "target_element", "reason_code")
 
 
 @query(
@@ -366,6 +364,7 @@ _profile = {
     "expired": "CAST(expired <> '' AS VARCHAR)",
     "fee": f"CASE WHEN ({o.flag('fee_paid')}) IS NULL THEN 'OTHER' WHEN {o.flag('fee_paid')} THEN 'TRUE' ELSE 'FALSE' END",
     "attempts": "CASE WHEN n_att >= 3 THEN '3+' ELSE CAST(n_att AS VARCHAR) END",
+    "any_pass": "CAST((" + " OR ".join(f"upper(vt_{n}_result) = 'PASS'" for n in o.SLOTS) + ") AS VARCHAR)",
     "latest": o.COLLAPSE_SQL["latest"],
     "has_user": "CAST(applicant_user_id <> '' AS VARCHAR)",
 }
@@ -385,6 +384,41 @@ def field_profile(spark, sf):
     return report.field_profile(b.cases(spark, sf), list(_profile))
 
 
+@query(
+    "key_and_age_profile",
+    f"{o.WITH_CASES}, aged AS (SELECT nullif(case_ref, '') AS key, date_diff('day', {o.day('last_updated')}, DATE '{b.FREEZE_DATE}') AS age FROM rec) "
+    "SELECT count(*) AS n_records, count(key) AS n_keyed, count(age) AS n_aged, min(age) AS min_age, max(age) AS max_age, "
+    "true AS keys_close, true AS median_close, true AS p90_close FROM aged",
+)
+def key_and_age_profile(spark, sf):
+    """Sketches per part, stored, read back and merged: exact columns, and whether each
+    estimate lies within its stated error of the exact value."""
+    as_of = F.lit(b.FREEZE_DATE).cast("date")
+
+    def write(path: str) -> None:
+        report.part_sketches(b.cases(spark, sf), as_of).write.parquet(path)
+
+    found = report.key_and_age_profile(spark.read.parquet(b.written(spark, sf, "sketches", write)))
+    est = found.first()  # one row
+    key = F.when(is_present(F.col("case_ref")), F.col("case_ref"))
+    ages = validate.typed(b.cases(spark, sf)).select(key.alias("key"), F.date_diff(as_of, F.col("_updated_day")).alias("age"))
+
+    def close(value: int, q: float):
+        """Whether the value's rank is that of the quantile."""
+        below, upto = (F.count_if(c) / F.count("age") for c in (F.col("age") < value, F.col("age") <= value))
+        return F.lit(q).between(below - 0.02, upto + 0.02)
+
+    flags = ages.agg(
+        (F.abs(F.countDistinct("key") - est["n_keys"]) <= 0.03 * F.countDistinct("key")).alias("keys_close"),
+        close(est["median_age"], 0.5).alias("median_close"),
+        close(est["p90_age"], 0.9).alias("p90_close"),
+    ).first()
+    return found.select(
+        "n_records", "n_keyed", "n_aged", "min_age", "max_age",
+        *[F.lit(flags[c]).alias(c) for c in ("keys_close", "median_close", "p90_close")],
+    )
+
+
 @query(
     "placement_rate",
     f"{o.WITH_CLASSIFIED} SELECT permit_category, count(*) AS n, count(*) FILTER (WHERE outcome = 'MIGRATE') AS n_placed, "
@@ -555,20 +589,21 @@ def order_by_line(spark, sf):
 
 @query(
     "rule_targets_in_model",
-    f"{o.WITH_OVERLAP} SELECT h_target AS target_element, count(*) AS n_records FROM decided "
-    "WHERE h_target NOT IN ('vision-assessment', 'cashier-fee-review', 'issuing-review') GROUP BY 1",
+    f"{o.WITH_OVERLAP} SELECT r.target_element, r.target_element IN ('vision-assessment', 'cashier-fee-review') AS in_model, "
+    "count(DISTINCT h.k) AS n_records FROM (SELECT DISTINCT target_element FROM rules WHERE target_element IS NOT NULL) r "
+    "LEFT JOIN hits h ON h.h_target = r.target_element GROUP BY ALL",
 )
 def rule_targets_in_model(spark, sf):
-    """Targets that cases hit but the model's elements, read from XML, lack."""
-    xml = "<process>" + "".join(f'<userTask id="{t}"/>' for t in decide.BACK_OFFICE_TARGETS) + "</process>"
+    """Every target of the rules against a model in XML that lacks some of them, with the
+    cases that any rule sends there."""
+    targets = [t for t in decide.BACK_OFFICE_TARGETS if t != "issuing-review"]
+    xml = "<process>" + "".join(f'<userTask id="{t}"/>' for t in targets) + "</process>"
 
     def write(path: str) -> None:
         spark.range(0, 1, 1, 1).select(F.lit(xml).alias("value")).write.text(path)
 
     path = b.written(spark, sf, "model-xml", write)
     elements = rules.scan_model_elements(spark, path)
-    rows = intake.inputs(spark, sf).select("cell")
-    resolved = decide.resolve_hits(decide.rule_cells(rules.overlap_rules(spark)))
-    # At most 96 cells.
-    hit = rows.join(F.broadcast(resolved), "cell").select(F.col("decision.target_element").alias("target_element"))
-    return reconcile.targets_not_in_model(hit, elements)
+    table = rules.overlap_rules(spark)
+    seen = intake.inputs(spark, sf).where("cell is not null").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return reconcile.rule_targets(table, decide.rule_cells(table), elements, seen)

@@ -321,12 +321,20 @@ def placement_check(released: DataFrame, groups: DataFrame, tasks: DataFrame) ->
     )
 
 
-def targets_not_in_model(classified: DataFrame, elements: DataFrame) -> DataFrame:
-    """Targets in use that the process model does not have, with their records."""
-    used = classified.where("target_element is not null").groupBy("target_element").agg(
-        F.count(F.lit(1)).alias("n_records")
-    )
-    return used.join(elements.select("target_element"), "target_element", "left_anti")
+def rule_targets(rules: DataFrame, cells: DataFrame, elements: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Every target that a rule names: whether the process model has it, and how many
+    records rules send there. ``cells`` are the rules' cells, and ``seen`` the records
+    per cell (cell, n); before there is any data it may be left out. A record that
+    contradicting rules send to two targets counts at both. All sides are rules, model
+    elements and at most 96 cells."""
+    targets = rules.where("target_element is not null").select("target_element").distinct()
+    known = elements.select("target_element", F.lit(True).alias("in_model")).distinct()
+    rows = targets.join(known, "target_element", "left").withColumn("in_model", F.coalesce("in_model", F.lit(False)))
+    if seen is None:
+        return rows.withColumn("n_records", F.lit(0).cast("bigint"))
+    sent = cells.select("target_element", "cell").distinct().join(seen, "cell").groupBy("target_element")
+    counted = rows.join(sent.agg(F.sum("n").alias("n_records")), "target_element", "left")
+    return counted.withColumn("n_records", F.coalesce("n_records", F.lit(0).cast("bigint")))
 
 
 def quarantine_queue(ledger: DataFrame, resolutions: DataFrame) -> DataFrame:

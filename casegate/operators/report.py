@@ -150,6 +150,51 @@ def field_profile(records: DataFrame, by: list[str]) -> DataFrame:
     return cubed.select(*[F.coalesce(c, F.lit("*")).alias(c) for c in by], "n")
 
 
+# Size of the sketches: about 0.8 % standard error of a distinct count, and about 1.3 %
+# error of a quantile's rank, at any number of records.
+KEY_BITS, AGE_K = 14, 200
+
+
+def part_sketches(records: DataFrame, as_of: Column) -> DataFrame:
+    """Per part, what a profile of keys and case ages needs: counts, a sketch of the
+    durable keys, and one of the days from the last update to ``as_of``. A few kilobytes
+    a part, to be stored and merged with those of other parts."""
+    key = F.when(is_present(F.col("case_ref")), F.col("case_ref"))
+    age = F.date_diff(as_of, F.col("_updated_day")).cast("bigint")
+    rows = typed(records).select("part", key.alias("key"), age.alias("age"))
+    return rows.groupBy("part").agg(
+        F.count(F.lit(1)).alias("n_records"),
+        F.count("key").alias("n_keyed"),
+        F.count("age").alias("n_aged"),
+        F.min("age").alias("min_age"),
+        F.max("age").alias("max_age"),
+        F.hll_sketch_agg("key", F.lit(KEY_BITS)).alias("keys"),
+        F.kll_sketch_agg_bigint("age", F.lit(AGE_K)).alias("ages"),
+    )
+
+
+def key_and_age_profile(sketches: DataFrame) -> DataFrame:
+    """One row over any parts: exact counts and ages' limits, the estimated number of
+    different keys with the share of keyed records they make (1 is unique), and the
+    estimated median and 90 % age, null without readable dates."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_records", "n_keyed", "n_aged")]
+    merged = sketches.agg(
+        *sums,
+        F.min("min_age").alias("min_age"),
+        F.max("max_age").alias("max_age"),
+        F.hll_sketch_estimate(F.hll_union_agg("keys")).alias("n_keys"),
+        F.kll_merge_agg_bigint(F.when(F.col("n_aged") > 0, F.col("ages"))).alias("ages"),
+    )
+    at = lambda q: F.when(F.col("n_aged") > 0, F.kll_sketch_get_quantile_bigint("ages", F.lit(q)))
+    share = F.when(F.col("n_keyed") > 0, F.col("n_keys") / F.col("n_keyed"))
+    return merged.select(
+        *[F.col(c) for c in ("n_records", "n_keyed", "n_aged", "min_age", "max_age", "n_keys")],
+        share.alias("key_uniqueness"),
+        at(0.5).alias("median_age"),
+        at(0.9).alias("p90_age"),
+    )
+
+
 def placement_rate(classified: DataFrame, by: str) -> DataFrame:
     """Share of records placed without a human, per group."""
     placed = F.count_if(F.col("outcome") == "MIGRATE")
