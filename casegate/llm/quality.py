@@ -4,8 +4,8 @@ Counting. Words and runs of words are counted over all trusted text; tasks count
 their part before anything is shuffled. Every word of trusted text is in the vocabulary.
 About ``HOT_WORDS`` most frequent ones (those of one count stand or fall together) are
 numbered and known to all tasks; the others have a 64-bit hash as their number, which
-is negative. Words that trusted text does not have are unknown words of three kinds,
-which also pay for their letters.
+is negative. Words that trusted text does not have pay for their letters; where the
+vocabulary is closed, words outside it are counted as unknown ones of three kinds.
 
 Scoring. Interpolation makes the log probability of a word a sum over the runs that
 end with it: the word's own, and for each longer run that was seen a gain over what

@@ -46,6 +46,25 @@ TEXTS = ["the cat sat on the mat", "the dog sat on the cat", "a dog and a cat",
 DOCS = ["the cat sat on the dog", "a zebra sat 42 times on %%%", "mat mat mat", "x", None, "", "the the cat and a mat"]
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_the_filter_holds_all_runs_and_a_full_one_changes_no_answer(spark, monkeypatch, order):
+    monkeypatch.setattr(quality, "HOT_RUNS", 2)
+    texts = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
+    model = quality.Model(texts, order)
+    bits = model.run_filter()
+    starts = quality.START  # the context of starts only, which no document asks for
+    runs = model.weights.where(f"run <> {starts}").toPandas()["run"].to_numpy()
+    at, mask = quality.probes(runs, len(bits))
+    assert len(runs) and ((bits[at] & mask) == mask).all()
+    scores = lambda: {r["doc_id"]: r["nll"] for r in quality.perplexity(docs, model).collect()}
+    wide = scores()
+    monkeypatch.setattr(quality, "MOST_BITS", 64)
+    monkeypatch.setattr(quality, "SEGMENT_BITS", 64)
+    assert len(model.run_filter()) == 1
+    assert scores() == pytest.approx(wide)
+
+
 @pytest.mark.parametrize(("order", "hot"), [(2, 3), (2, 10_000), (3, 4)])
 def test_perplexity_equals_the_recursion(spark, monkeypatch, order, hot):
     monkeypatch.setattr(quality, "HOT_RUNS", hot)
