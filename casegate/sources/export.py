@@ -21,7 +21,7 @@ from casegate.functions.text import (
     line_hash,
     split_fields,
 )
-from casegate.session import broadcast_if_small, materialised, per_session
+from casegate.session import broadcast_if_small, materialised, per_session, settled
 
 # Columns of the export format, and the numbered-column patterns.
 SCALAR_COLUMNS = {
@@ -188,17 +188,23 @@ def nest_occurrences(fields: Column, header: Sequence[str]) -> Column:
     at = header_positions(header)
     dates = {n: c for group, n, c in occurrence_columns(header) if group == "attempt_date"}
     results = {n: c for group, n, c in occurrence_columns(header) if group == "attempt_result"}
-    slots = [
-        F.struct(
-            F.lit(n).alias("occurrence"),
-            field_at(fields, at.get(dates.get(n))).alias("date"),
-            field_at(fields, at.get(results.get(n))).alias("result"),
-        )
-        for n in sorted(dates.keys() | results.keys())
-    ]
-    if not slots:
+    numbers = sorted(dates.keys() | results.keys())
+    if not numbers:
         return F.expr("cast(array() as array<struct<occurrence:int,date:string,result:string>>)")
-    return F.filter(F.array(*slots), lambda a: is_present(a["date"]) | is_present(a["result"]))
+    # One expression whatever the width: slots are looped over, not written out one by one.
+    slots = F.array(*[
+        F.struct(F.lit(n).alias("n"), F.lit(at.get(dates.get(n))).cast("int").alias("d"), F.lit(at.get(results.get(n))).cast("int").alias("r"))
+        for n in numbers
+    ])
+    read = F.transform(
+        slots,
+        lambda s: F.struct(
+            s["n"].alias("occurrence"),
+            F.coalesce(F.get(fields, s["d"]), F.lit("")).alias("date"),
+            F.coalesce(F.get(fields, s["r"]), F.lit("")).alias("result"),
+        ),
+    )
+    return F.filter(read, lambda a: is_present(a["date"]) | is_present(a["result"]))
 
 
 def nest_multivalue(fields: Column, header: Sequence[str]) -> Column:
@@ -229,10 +235,10 @@ def source_records(numbered: DataFrame, header: str | Sequence[str]) -> DataFram
     lines drop out here, after every line has its number."""
     names = header_names(header) if isinstance(header, str) else list(header)
     body = numbered.where((F.col("source_line") > 1) & is_present(F.col("raw")))
-    split = body.select(
-        "part", "source_line", line_hash(F.col("raw")).alias("source_hash"),
-        split_fields(F.col("raw")).alias("f"),
-    )
+    hashed = body.select("part", "source_line", line_hash(F.col("raw")).alias("source_hash"), "raw")
+    # A filter on a field, or one that Spark infers from exploding the attempts, must not
+    # split the line again for every field that it names.
+    split = settled(hashed, {"f": split_fields(F.col("raw"))})
     wide = split.select("part", "source_line", "source_hash", *_record_columns(tuple(names)))
     return wide.select(*RECORD_COLUMNS)
 

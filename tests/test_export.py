@@ -130,3 +130,16 @@ def test_renaming_a_column_changes_the_header_hash(spark, tmp_path):
         numbered = export.number_lines(export.read_lines(spark, path))
         hashes.append(export.header_hashes(numbered).first()["header_hash"])
     assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+
+
+def test_exploding_attempts_splits_a_line_once(spark):
+    """However many columns there are, and whatever Spark adds to drop empty arrays."""
+    names = ["CASE_REF", *[f"VT_{n}_{kind}" for n in (2, 1, *range(3, 40)) for kind in ("RESULT", "DATE")], "VT_50_DATE"]
+    lines = [(0, 1, ",".join(names)), (0, 2, "A,PASS,2001-01-02, ,2001-01-01,,,FAIL"), (0, 3, "B"), (0, 4, "C" + "," * 79 + "2001-05-05")]
+    records = export.source_records(spark.createDataFrame(lines, "part int, source_line bigint, raw string"), lines[0][2])
+    found = records.select("case_ref", F.inline("attempts"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert sorted(map(tuple, found.collect())) == [
+        ("A", 1, "2001-01-01", ""), ("A", 2, "2001-01-02", "PASS"), ("A", 4, "", "FAIL"), ("C", 50, "2001-05-05", ""),
+    ]
