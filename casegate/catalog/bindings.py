@@ -92,13 +92,17 @@ def day(value: Column) -> Column:
     return F.date_format(value, "yyyy-MM-dd")
 
 
+def attempt_result(flag: Column) -> Column:
+    """Accepted lines are passes, all others failures."""
+    return F.when(flag == "A", "PASS").otherwise("FAIL")
+
+
 def long_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every attempt in long form, with one sortable position per order. Accepted
-    lines are passes, all others failures."""
+    """Every attempt in long form, with one sortable position per order."""
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         *ATTEMPT_ORDER,
-        F.when(F.col("l_returnflag") == "A", "PASS").otherwise("FAIL").alias("result"),
+        attempt_result(F.col("l_returnflag")).alias("result"),
     )
 
 
@@ -119,9 +123,24 @@ def header(spark: SparkSession, sf_dir: str) -> str:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All attempts of each order as one ordered array."""
-    columns = [*ATTEMPT_ORDER, "result"]
-    one = F.struct(*columns)
-    return long_attempts(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("attempts"))
+    one = F.struct(*ATTEMPT_ORDER)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *ATTEMPT_ORDER)
+    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("attempts"))
+
+
+def attempt_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's attempts as the text of their fields, slots without one included:
+    what is joined to the orders is as narrow as what is written."""
+    k = F.col("l_orderkey")
+
+    def pair(one: Column, n: Column) -> Column:
+        date = F.when((n == 0) & every(k, 113), "").otherwise(day(one["l_shipdate"]))
+        result = F.when(every(k, 107), "MAYBE").otherwise(attempt_result(one["l_returnflag"]))
+        return F.concat(date, F.lit(","), result)
+
+    free = F.array_repeat(F.lit(","), F.lit(n_attempts(spark, sf_dir)) - F.size("attempts"))
+    pairs = F.concat(F.transform("attempts", pair), free)
+    return attempts(spark, sf_dir).select("l_orderkey", F.array_join(pairs, ",").alias("attempts"))
 
 
 def wide_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,16 +151,10 @@ def wide_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.col("o_orderstatus")
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    joined = orders.join(attempts(spark, sf_dir), k == F.col("l_orderkey"), "left").join(
-        customer, F.col("o_custkey") == F.col("c_custkey"), "left"
-    )
-    def pair(n: Column) -> Column:
-        one = F.get(F.col("attempts"), n - 1)
-        date = F.when((n == 1) & every(k, 113), "").otherwise(day(one["l_shipdate"]))
-        result = F.when(every(k, 107), "MAYBE").otherwise(one["result"])
-        return F.when(one.isNull(), ",").otherwise(F.concat(date, F.lit(","), result))
-
-    slots = F.sequence(F.lit(1), F.lit(n_attempts(spark, sf_dir)))
+    # Slim rows are joined first; the attempts come last, when the rows are complete.
+    applicants = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    joined = applicants.join(attempt_fields(spark, sf_dir), k == F.col("l_orderkey"), "left")
+    none = F.array_join(F.array_repeat(F.lit(","), n_attempts(spark, sf_dir)), ",")
     fields = {
         "case_ref": F.when(every(k, 97), "")
         .when(every(k, 211, 1), F.concat(F.lit("LP-"), (k - 1).cast("string")))
@@ -167,7 +180,7 @@ def wide_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderpriority") == "3-MEDIUM", "FALSE")
         .when(F.col("o_orderpriority") == "5-LOW", "N")
         .otherwise(""),
-        "attempts": F.array_join(F.transform(slots, pair), ","),
+        "attempts": F.when(F.col("l_orderkey").isNull(), none).otherwise(F.col("attempts")),
         "restr_1": F.when(every(k, 4), "B").otherwise(""),
         "restr_2": blank,
         "restr_3": F.when(every(k, 6), "G").otherwise(""),
@@ -199,12 +212,19 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines_path(spark: SparkSession, sf_dir: str) -> str:
     """The numbered raw lines as landed in a table, in files that keep every core
-    busy and none too large."""
+    busy and none too large. Each file holds a range of the parts, so what reads some
+    of the files needs some of the parts."""
 
     def write(path: str) -> None:
-        records = table(spark, sf_dir, "orders").count()
+        part = F.floor(F.col("o_orderkey") / PART_ROWS).cast("int")
+        orders = table(spark, sf_dir, "orders").select(part.alias("part"))
+        records = orders.count()
         files = max(spark.sparkContext.defaultParallelism, -(-records // FILE_ROWS))
-        raw_lines(spark, sf_dir).repartition(files).write.parquet(path)
+        shares = [i / files for i in range(1, files)]
+        cuts = orders.agg(F.percentile_approx("part", shares or [0.5])).first()[0] or []  # one number per file
+        above = F.filter(F.lit([int(c) for c in cuts[: len(shares)]]).cast("array<int>"), lambda cut: cut < F.col("part"))
+        # Records without a key have no part, and lie together anywhere.
+        raw_lines(spark, sf_dir).repartitionById(files, F.coalesce(F.size(above), F.lit(0))).write.parquet(path)
 
     return written(spark, sf_dir, "lines", write)
 
@@ -355,6 +375,11 @@ def prior_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_events(spread)
 
 
+def prior_path(spark: SparkSession, sf_dir: str) -> str:
+    """The earlier load's events as a table, for what reads them again and again."""
+    return written(spark, sf_dir, "prior", lambda path: prior_events(spark, sf_dir).write.parquet(path))
+
+
 def prior_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_ledger(prior_events(spark, sf_dir))
 
@@ -372,8 +397,15 @@ def create_answers(commands: DataFrame) -> DataFrame:
     )
 
 
+# What the load, its intents and its commands read of a classified record.
+PLANNED = [
+    "part", "source_line", "source_hash", "case_ref", "applicant_user_id", "outcome", "target_element",
+    "reason_code", "rule_ids", "detail", "target_variables",
+]
+
+
 def plan_of_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_plan(classified(spark, sf_dir), prior_ledger(spark, sf_dir))
+    return load_plan(classified(spark, sf_dir).select(*PLANNED), prior_ledger(spark, sf_dir))
 
 
 def plan_path(spark: SparkSession, sf_dir: str) -> str:

@@ -244,13 +244,14 @@ def stream_intent_first(spark, sf):
     is open and in one that has closed creation: whether a command left, and how many
     durable intents stand before it."""
     lines = _lines(spark, sf)
+    earlier = spark.read.schema(LEDGER_SCHEMA).parquet(b.prior_path(spark, sf))
 
     def results(run: str, closed: bool) -> DataFrame:
         path = _run(
             spark, sf, f"stream-intent-{run}",
             lambda path, check: jobs.stream_intent_first(
                 lines, b.header(spark, sf), b.boundary(), b.RUN_ID, path, check,
-                ledger=lambda: b.prior_events(spark, sf), closed=lambda: closed,
+                ledger=lambda: earlier, closed=lambda: closed,
             ),
         )
         key = ["part", "source_line"]

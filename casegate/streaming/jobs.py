@@ -336,6 +336,20 @@ def _planned(spark: SparkSession, path: str, batch: int) -> bool:
         return False
 
 
+PLANNED_SCHEMA = "n bigint, first_part int, last_part int"
+
+
+def _earlier_in_range(spark: SparkSession, path: str, batch: int, first: int | None, last: int | None) -> list[int]:
+    """Batches before this one whose parts reach into the range; those that did not keep
+    theirs may."""
+    if batch == 0 or first is None:
+        return []
+    kept = spark.read.option("recursiveFileLookup", "true").schema(PLANNED_SCHEMA).parquet(f"{path}/planned")
+    apart = (F.col("first_part") > last) | (F.col("last_part") < first)
+    rows = kept.where((F.col("n") < batch) & ~F.coalesce(apart, F.lit(False))).select("n").distinct()
+    return sorted(row["n"] for row in rows.collect())  # one row per batch, of those that overlap
+
+
 def intent_first_batch(
     records: DataFrame, batch: int, boundary: Column, run_id: str, path: str,
     ledger: Callable[[], DataFrame] | None = None, closed: Callable[[], bool] | None = None,
@@ -346,26 +360,26 @@ def intent_first_batch(
     A plan that was written whole is kept: an attempt that died after it is taken up
     where it was, with the same creates, even if the run has been closed since. Else the
     batch is planned against ``ledger()``, the events so far, and the intents of the
-    batches before it, of which only those of the batch's own parts are read. Once
-    ``closed()`` holds, no create is planned: such rows have the action REFUSE_CLOSED.
+    batches before it, both within the range of the batch's own parts: a plan is kept with
+    that range, and intents of batches that lie outside are not opened. Once ``closed()`` holds, no create is planned: such rows have the action REFUSE_CLOSED.
     """
     spark = records.sparkSession
     plan_path = f"{path}/plan/batch={batch}"
     if not _planned(spark, path, batch):
-        records = materialised(records)
-        parts = [r["part"] for r in records.select("part").distinct().collect()]  # a few files per batch
+        first, last = records.agg(F.min("part"), F.max("part")).first()
         events = ledger() if ledger else spark.createDataFrame([], LEDGER_SCHEMA)
-        if batch:
-            earlier = spark.read.schema(f"{LEDGER_SCHEMA}, batch bigint").option("basePath", f"{path}/intents").parquet(f"{path}/intents")
-            events = events.unionByName(earlier.where(F.col("batch") < batch).drop("batch"))
-        folded = fold_ledger(events.where((F.col("run_id") == run_id) & F.col("part").isin(parts)))
+        earlier = _earlier_in_range(spark, path, batch, first, last)
+        events = events.unionByName(_read(spark, LEDGER_SCHEMA, f"{path}/intents", earlier, "batch"))
+        own = F.col("part").between(F.lit(first), F.lit(last))
+        folded = fold_ledger(events.where((F.col("run_id") == run_id) & own))
         plan = load_plan(classify(records, boundary), folded)
         if closed is not None and closed():
             plan = refuse_creates(plan)
         plan.write.mode("overwrite").parquet(plan_path)
-        spark.createDataFrame([(batch,)], "n bigint").write.mode("overwrite").parquet(f"{path}/planned/batch={batch}")
+        done = spark.createDataFrame([(batch, first, last)], PLANNED_SCHEMA)
+        done.write.mode("overwrite").parquet(f"{path}/planned/batch={batch}")
     plan = spark.read.parquet(plan_path)
-    intent_events(plan, run_id, 1).write.mode("overwrite").partitionBy("part").parquet(f"{path}/intents/batch={batch}")
+    intent_events(plan, run_id, 1).write.mode("overwrite").parquet(f"{path}/intents/batch={batch}")
     create_commands(plan, run_id).write.mode("overwrite").parquet(f"{path}/commands/batch={batch}")
 
 

@@ -186,3 +186,18 @@ def test_a_closed_run_refuses_creates_and_records_the_rest(spark, tmp_path):
     assert {line for line, action in plan.items() if action == "REFUSE_CLOSED"} == {2, 3, 4}
     kept = spark.read.parquet(f"{path}/intents").select("state").distinct().collect()
     assert {r["state"] for r in kept} == {"SKIPPED", "QUARANTINED"}
+
+
+def test_intents_are_not_dealt_out_by_part_and_only_near_batches_are_read(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    lines = spark.range(400).select(F.col("id").cast("int").alias("part"), F.lit(2).cast("bigint").alias("source_line"), F.lit(GOLDEN[0][0]).alias("raw"))
+    records = source_records(lines, HEADER)
+    jobs.intent_first_batch(records.where("part < 300"), 0, boundary(), "run", path)
+    jobs.intent_first_batch(records.where("part >= 300"), 1, boundary(), "run", path)
+    assert not [p for p in (tmp_path / "wide/intents/batch=0").iterdir() if p.is_dir()]
+    assert len([*(tmp_path / "wide/intents/batch=0").glob("*.parquet")]) <= 8
+    assert jobs._earlier_in_range(spark, path, 2, 290, 299) == [0]
+    assert jobs._earlier_in_range(spark, path, 2, 299, 300) == [0, 1]
+    # What lies in the range is known again, whichever batch it came with.
+    jobs.intent_first_batch(records.where("part in (0, 299, 399)"), 2, boundary(), "run", path)
+    assert {r["action"] for r in spark.read.parquet(f"{path}/plan/batch=2").collect()} == {"REFUSE_PENDING"}
