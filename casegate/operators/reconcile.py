@@ -359,14 +359,23 @@ def quarantine_queue(ledger: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 def permission_map(members: DataFrame, grants: DataFrame, targets: DataFrame) -> DataFrame:
     """User to group to permission to target group. A user can hold one permission
-    through several groups, so each result is listed once."""
-    held = members.join(broadcast_if_small(grants), "group_id").select("user_id", "permission")
-    parts = held.select("user_id", "permission", *split_permission(F.col("permission")))
-    return (
-        parts.join(broadcast_if_small(targets), ["application", "service", "role", "level"], "left")
-        .select("user_id", "permission", "candidate_group")
-        .distinct()
-    )
+    through several groups, so each result is listed once.
+
+    A permission is read, and looked up among the targets, once for all its holders. It
+    comes to a user through the first of the user's groups that holds it, so nothing has
+    to be told apart once users and permissions are paired, and a task keeps only the
+    groups of the users it is at."""
+    held = grants.groupBy("permission").agg(F.collect_set("group_id").alias("holders"))
+    names = ["application", "service", "role", "level"]
+    wanted = targets.select(*names, "candidate_group").distinct()
+    parts = held.select("permission", "holders", *split_permission(F.col("permission")))
+    listed = parts.join(broadcast_if_small(wanted), names, "left").select(
+        F.explode("holders").alias("group_id"), "permission", "candidate_group", "holders"
+    )
+    users = members.groupBy("user_id").agg(F.collect_set("group_id").alias("groups"))
+    joined = users.select("user_id", "groups", F.explode("groups").alias("group_id")).join(broadcast_if_small(listed), "group_id")
+    first = F.array_min(F.array_intersect("groups", "holders")) == F.col("group_id")
+    return joined.where((F.size("groups") == 1) | first).select("user_id", "permission", "candidate_group")
 
 
 def backcheck_sample(classified: DataFrame, n: int, seed: str) -> DataFrame:
