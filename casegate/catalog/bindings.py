@@ -38,6 +38,8 @@ LOAD_SEQ = 10
 PART_ROWS = 5_000
 # Records per landed file.
 FILE_ROWS = 2_000_000
+# Attempts that one task sorts.
+TASK_ROWS = 500_000
 PRIOR_KEY = 1_000_000_000_000_000
 NEW_KEY = 2_000_000_000_000_000
 ORPHAN_KEY = 9_000_000_000_000_000
@@ -122,10 +124,12 @@ def header(spark: SparkSession, sf_dir: str) -> str:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All attempts of each order as one ordered array."""
+    """All attempts of each order as one ordered array. A task sorts a bounded number of
+    them, however few partitions the session asks for, and none twice."""
     one = F.struct(*ATTEMPT_ORDER)
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *ATTEMPT_ORDER)
-    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("attempts"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+    return rows.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("attempts"))
 
 
 def attempt_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,13 @@ def test_landed_lines_hold_ranges_of_parts(spark, tmp_path):
     assert fields(750) == ",,,,,"
 
 
+def test_attempts_are_sorted_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(b, "TASK_ROWS", 1)
+    found = b.attempts(spark, tables(spark, tmp_path))
+    assert found.rdd.getNumPartitions() == 6
+    assert {r["l_orderkey"]: len(r["attempts"]) for r in found.collect()} == {250: 2, 500: 3, None: 1}
+
+
 def test_permissions_are_listed_once_without_telling_pairs_apart(spark):
     members = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 2), (None, 1), (3, None), (4, 9)], "user_id bigint, group_id int")
     grants = spark.createDataFrame([(1, "12.0.a.1"), (2, "12.0.a.1"), (2, "12.0.b.1"), (2, None), (None, "12.0.c.1"), (1, "12.0.a.1")], "group_id int, permission string")
