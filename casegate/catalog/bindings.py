@@ -22,7 +22,7 @@ from casegate.operators.load import (
     response_events,
 )
 from casegate.plans.classify import classify
-from casegate.session import workspace
+from casegate.session import TASK_ROWS, tasks_for, workspace
 from casegate.sources.export import source_records, write_parts
 from casegate.sources.ledger_store import LedgerStore
 from casegate.sources.manifest import build_manifest_lines
@@ -38,8 +38,9 @@ LOAD_SEQ = 10
 PART_ROWS = 5_000
 # Records per landed file.
 FILE_ROWS = 2_000_000
-# Attempts that one task sorts.
-TASK_ROWS = 500_000
+# Bytes of a row group of the landed lines: the few files that a stream takes at a time
+# are split among all cores.
+LINES_GROUP = 16 << 20
 PRIOR_KEY = 1_000_000_000_000_000
 NEW_KEY = 2_000_000_000_000_000
 ORPHAN_KEY = 9_000_000_000_000_000
@@ -128,8 +129,9 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     them, however few partitions the session asks for, and none twice."""
     one = F.struct(*ATTEMPT_ORDER)
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *ATTEMPT_ORDER)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
-    return rows.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("attempts"))
+    tasks = tasks_for(spark, rows.count(), TASK_ROWS)
+    # sort_array runs as generated code; array_sort would call a comparator per pair.
+    return rows.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(one)).alias("attempts"))
 
 
 def attempt_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +230,8 @@ def lines_path(spark: SparkSession, sf_dir: str) -> str:
         cuts = orders.agg(F.percentile_approx("part", shares or [0.5])).first()[0] or []  # one number per file
         above = F.filter(F.lit([int(c) for c in cuts[: len(shares)]]).cast("array<int>"), lambda cut: cut < F.col("part"))
         # Records without a key have no part, and lie together anywhere.
-        raw_lines(spark, sf_dir).repartitionById(files, F.coalesce(F.size(above), F.lit(0))).write.parquet(path)
+        landed = raw_lines(spark, sf_dir).repartitionById(files, F.coalesce(F.size(above), F.lit(0)))
+        landed.write.option("compression", "zstd").option("parquet.block.size", LINES_GROUP).parquet(path)
 
     return written(spark, sf_dir, "lines", write)
 
@@ -242,6 +245,11 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_records(case_lines(spark, sf_dir), header(spark, sf_dir))
 
 
+def n_cases(spark: SparkSession, sf_dir: str) -> int:
+    """The number of cases, from the footers of the table's files."""
+    return table(spark, sf_dir, "orders").count()
+
+
 def classified(
     spark: SparkSession, sf_dir: str, rules: DataFrame | None = None
 ) -> DataFrame:
@@ -266,7 +274,7 @@ def export_path(spark: SparkSession, sf_dir: str) -> str:
         first = parts.distinct().select(
             "part", F.lit(1).cast("bigint").alias("source_line"), F.lit(header(spark, sf_dir)).alias("raw")
         )
-        write_parts(lines.unionByName(first), path)
+        write_parts(lines.unionByName(first), path, rows=n_cases(spark, sf_dir))
 
     return written(spark, sf_dir, "export", write)
 
@@ -293,7 +301,7 @@ def manifest_path(spark: SparkSession, sf_dir: str) -> str:
         lines = build_manifest_lines(
             rows, header_rows(spark, sf_dir), RUN_ID, FREEZE_DATE, CUTOFF_MONTHS
         )
-        write_parts(lines, path, "at")
+        write_parts(lines, path, "at", rows=n_cases(spark, sf_dir))
 
     return written(spark, sf_dir, "manifest", write)
 
@@ -323,7 +331,7 @@ def expectations_path(spark: SparkSession, sf_dir: str) -> str:
                 F.lit("stated by hand, with commas, in free text"),
             ).alias("raw"),
         )
-        write_parts(lines, path)
+        write_parts(lines, path, rows=n_cases(spark, sf_dir))
 
     return written(spark, sf_dir, "expectations", write)
 
@@ -409,13 +417,17 @@ PLANNED = [
 
 
 def plan_of_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_plan(classified(spark, sf_dir).select(*PLANNED), prior_ledger(spark, sf_dir))
+    """Every case with what the load does about it. A task of the join sorts a bounded
+    number of them."""
+    tasks = tasks_for(spark, n_cases(spark, sf_dir), TASK_ROWS)
+    cases_ = classified(spark, sf_dir).select(*PLANNED).repartition(tasks, "part", "source_line")
+    return load_plan(cases_, prior_ledger(spark, sf_dir))
 
 
 def plan_path(spark: SparkSession, sf_dir: str) -> str:
     """The load plan, written before its intents so that both steps see one plan."""
     return written(
-        spark, sf_dir, "plan", lambda path: plan_of_load(spark, sf_dir).write.parquet(path)
+        spark, sf_dir, "plan", lambda path: plan_of_load(spark, sf_dir).write.option("compression", "zstd").parquet(path)
     )
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Rows a side may have before it is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 500_000
+# Rows that one task of a shuffle sorts, where their number is known.
+TASK_ROWS = 500_000
 
 _local_workspaces: dict[str, str] = {}
 
@@ -69,12 +71,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int:
+    """Tasks that take at most about ``each`` rows, and no fewer than the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """Write a table to the workspace and read it back: computed once, and never taken
     from what an earlier frame left in memory. It costs one copy of the rows there, also
     of an export's lines, which stays until the workspace is cleared."""
     path = f"{workspace(df.sparkSession)}/kept/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

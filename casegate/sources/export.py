@@ -21,7 +21,7 @@ from casegate.functions.text import (
     line_hash,
     split_fields,
 )
-from casegate.session import broadcast_if_small, materialised, per_session, settled
+from casegate.session import broadcast_if_small, materialised, per_session, settled, tasks_for
 
 # Columns of the export format, and the numbered-column patterns.
 SCALAR_COLUMNS = {
@@ -196,8 +196,10 @@ def nest_occurrences(fields: Column, header: Sequence[str]) -> Column:
         F.struct(F.lit(n).alias("n"), F.lit(at.get(dates.get(n))).cast("int").alias("d"), F.lit(at.get(results.get(n))).cast("int").alias("r"))
         for n in numbers
     ])
+    # Most slots of a wide export are empty: they fall out before anything is built of them.
+    used = F.filter(slots, lambda s: (F.get(fields, s["d"]) != "") | (F.get(fields, s["r"]) != ""))
     read = F.transform(
-        slots,
+        used,
         lambda s: F.struct(
             s["n"].alias("occurrence"),
             F.coalesce(F.get(fields, s["d"]), F.lit("")).alias("date"),
@@ -267,8 +269,10 @@ def scan_export(spark: SparkSession, path: str) -> DataFrame:
     return records_by_header(number_lines(read_lines(spark, path)))
 
 
-def write_parts(lines: DataFrame, path: str, order: str = "source_line") -> None:
+def write_parts(lines: DataFrame, path: str, order: str = "source_line", rows: int = 0) -> None:
     """Write ``(part, <order>, raw)`` as text, one ordered file per part. A part
-    is a bounded slice by construction, so no task holds more than one slice."""
-    parts = lines.repartition("part").sortWithinPartitions("part", order)
+    is a bounded slice by construction, and a task holds few of them: there are more
+    tasks than the session asks for if the number of ``rows``, where known, needs them."""
+    tasks = tasks_for(lines.sparkSession, rows)
+    parts = lines.repartition(tasks, "part").sortWithinPartitions("part", order)
     parts.select("part", F.col("raw").alias("value")).write.partitionBy("part").text(path)

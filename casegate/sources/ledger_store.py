@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from casegate.operators.ledger import FOLDED, MARKS, as_partial, merge_partials
+from casegate.operators.ledger import FOLDED, MARKS, ROW_KEY, as_partial, merge_partials
+from casegate.session import tasks_for
 from casegate.sources.manifest import RunHalted
 from casegate.sources.tables import LEDGER_SCHEMA, ledger_events
 
@@ -58,7 +59,7 @@ class LedgerStore:
         the second fails."""
         batch = self._head()["batch"] + 1
         path = f"{self.path}/log/batch={batch}"
-        ledger_events(events).write.mode("overwrite").partitionBy("run_id").parquet(path)
+        ledger_events(events).write.mode("overwrite").option("compression", "zstd").partitionBy("run_id").parquet(path)
         written = self.spark.read.schema(LEDGER_SCHEMA).parquet(path)
         last, n = written.agg(F.coalesce(F.max("seq"), F.lit(0)), F.count(F.lit(1))).first()
         self._commit(f"commits/batch={batch}", [(batch, last, n)], COMMIT_SCHEMA)
@@ -119,8 +120,11 @@ class LedgerStore:
         if not runs:
             return
         old = self._snapshot().where(F.col("run_id").isin(runs))
-        merged = merge_partials(old.unionByName(as_partial(tail)))
-        merged.select(*FOLDED, *MARKS).write.mode("overwrite").partitionBy("run_id").parquet(f"{self.path}/snapshot/upto={head}")
+        # A row has few events, so that partials are dealt by row and sorted once, in tasks
+        # of bounded size. Both counts come from what files say of themselves.
+        rows = old.count() + tail.count()
+        together = old.unionByName(as_partial(tail)).repartition(tasks_for(self.spark, rows), *ROW_KEY)
+        merge_partials(together).select(*FOLDED, *MARKS).write.mode("overwrite").option("compression", "zstd").partitionBy("run_id").parquet(f"{self.path}/snapshot/upto={head}")
         self._commit(f"kept/upto={head}", [(run, head) for run in runs], KEPT_SCHEMA)
 
     def current(self, run_id: str | None = None) -> DataFrame:

@@ -93,3 +93,21 @@ def test_plans_fold_once_or_not_at_all(spark, tmp_path):
     assert folds(settled) == folds(reconcile.cross_run_duplicates(settled)) == folds(reconcile.abort_set(settled, active)) == 0
     checks = reconcile.gate_checks(settled, active, 5)
     assert folds(reconcile.release_plan(settled, checks)) == 0
+
+
+def test_batches_are_merged_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Each event is dealt to its row's task once; no task sorts more because the session
+    asks for few."""
+    from casegate.sources import ledger_store
+
+    monkeypatch.setattr(ledger_store, "tasks_for", lambda spark, rows: -(-rows // 10))
+    dealt = []
+    merge = ledger_store.merge_partials
+    monkeypatch.setattr(ledger_store, "merge_partials", lambda partials: dealt.append(partials.rdd.getNumPartitions()) or merge(partials))
+    rows = log()
+    store = LedgerStore(spark, str(tmp_path / "store"), merge_every=100)
+    store.append(events(spark, rows[:200]))
+    store.append(events(spark, rows[200:]))
+    store.compact()
+    assert dealt == [30]
+    assert rows_of(store.current()) == rows_of(ledger.fold_ledger(events(spark, rows)))
