@@ -32,7 +32,9 @@ def iso_day(text: Column) -> Column:
 
 
 def parse_date_strict(value: Column) -> Column:
-    return iso_day(trim_padding(value))
+    """Text that reads as a day as it stands, and blank text, is not trimmed first."""
+    blank = F.when(value == "", F.lit(None).cast("date"))
+    return blank.when(value.rlike(ISO_DATE), value.try_cast("date")).otherwise(iso_day(trim_padding(value)))
 
 
 def cutoff_boundary(freeze_date: Column, months: Column | int) -> Column:

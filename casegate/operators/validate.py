@@ -9,38 +9,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casegate.functions.text import is_present, trim_padding
-from casegate.functions.values import iso_day, parse_boolean_strict
+from casegate.functions.values import parse_boolean_strict, parse_date_strict
 from casegate.session import per_session, settled
 
 # Typed readings of a record's text fields, made once and used by the rules and
 # by normalisation. Records from tables may be untrimmed or null; null reads as blank.
 TYPED = ["_updated_day", "_fee", "_issued_day", "_expired_day", "_completed_day", "_attempts"]
 
+# What an attempt may end in.
+RESULTS = ["PASS", "FAIL"]
+
 
 @per_session
 def _typed_columns() -> dict[str, Column]:
     attempts = F.transform(
         "attempts",
         lambda a: F.struct(
-            iso_day(trim_padding(a["date"])).alias("day"),
+            parse_date_strict(a["date"]).alias("day"),
             a["occurrence"].alias("occurrence"),
-            F.upper(trim_padding(F.coalesce(a["result"], F.lit("")))).alias("result"),
+            F.when(a["result"].isin(RESULTS), a["result"])
+            .otherwise(F.upper(trim_padding(F.coalesce(a["result"], F.lit("")))))
+            .alias("result"),
         ),
     )
     columns = [
-        iso_day(trim_padding(F.col("last_updated"))),
+        parse_date_strict(F.col("last_updated")),
         parse_boolean_strict(F.col("fee_paid")),
-        iso_day(trim_padding(F.col("issued"))),
-        iso_day(trim_padding(F.col("expired"))),
-        iso_day(trim_padding(F.col("date_completed"))),
+        parse_date_strict(F.col("issued")),
+        parse_date_strict(F.col("expired")),
+        parse_date_strict(F.col("date_completed")),
         attempts,
     ]
     return dict(zip(TYPED, columns))
 
 
 def typed(records: DataFrame) -> DataFrame:
-    """Adds the typed readings; null means absent or unreadable."""
-    return settled(records, _typed_columns())
+    """Adds the typed readings; null means absent or unreadable. Attempts are looped over,
+    for which Spark has no generated code, so they are read apart from the others."""
+    columns = dict(_typed_columns())
+    attempts = columns.pop("_attempts")
+    return settled(settled(records, columns), {"_attempts": attempts})
 
 
 def missing_key() -> Column:
@@ -85,7 +93,7 @@ def bad_occurrence() -> Column:
     message is only built for a record that has one."""
 
     def bad_result(a: Column) -> Column:
-        return ~a["result"].isin("PASS", "FAIL")
+        return ~a["result"].isin(RESULTS)
 
     def bad(a: Column) -> Column:
         return a["day"].isNull() | bad_result(a)
@@ -121,12 +129,20 @@ RULES = {
 
 @per_session
 def _first_failure() -> Column:
-    return F.coalesce(*[rule() for rule in RULES.values()])
+    """The rules in order, with that of the attempts as it was read."""
+    return F.coalesce(*[F.col("_occurrence") if name == "rule_bad_occurrence" else rule() for name, rule in RULES.items()])
+
+
+@per_session
+def _occurrence_failure() -> Column:
+    return bad_occurrence()
 
 
 def prevalidate(records: DataFrame) -> DataFrame:
-    """Adds ``detail``: the first failing rule, or null for a record that passes."""
-    return settled(typed(records), {"detail": _first_failure()})
+    """Adds ``detail``: the first failing rule, or null for a record that passes. The rule
+    of the attempts loops, and is kept apart from what generated code can do."""
+    looped = settled(typed(records), {"_occurrence": _occurrence_failure()})
+    return settled(looped, {"detail": _first_failure()}).drop("_occurrence")
 
 
 def check_rule(records: DataFrame, rule: str) -> DataFrame:

@@ -143,3 +143,15 @@ def test_exploding_attempts_splits_a_line_once(spark):
     assert sorted(map(tuple, found.collect())) == [
         ("A", 1, "2001-01-01", ""), ("A", 2, "2001-01-02", "PASS"), ("A", 4, "", "FAIL"), ("C", 50, "2001-05-05", ""),
     ]
+
+
+def test_readings_but_those_of_attempts_run_as_generated_code(spark):
+    from casegate.operators.validate import prevalidate
+
+    lines = spark.range(2, 4).select(F.lit(0).alias("part"), F.col("id").alias("source_line"), F.lit("A,2001-02-03,,").alias("raw"))
+    records = export.source_records(lines, "CASE_REF,LAST_UPDATED,VT_1_DATE,VT_1_RESULT")
+    plan = prevalidate(records)._jdf.queryExecution().executedPlan().toString()
+    steps = [line for line in plan.splitlines() if "Generate inline" in line]
+    # Fields of the line, plain readings and the first failure; attempts and their rule loop.
+    assert sum("*(" in line.split("Generate")[0] for line in steps) == 3
+    assert len(steps) == 5

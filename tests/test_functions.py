@@ -93,3 +93,11 @@ def test_split_permission_and_rule_ids(spark):
     assert tuple(row) == ("12", "4", "7", None)
     assert one(spark, values.join_rule_ids(F.array(F.lit("R1"), F.lit("R2")))) == "R1,R2"
     assert one(spark, values.join_rule_ids(F.expr("cast(array() as array<string>)"))) is None
+
+
+def test_dates_and_splits_need_no_trim_where_the_text_is_clean(spark):
+    cases = ["2001-02-03", "2001-02-03\n", " 2001-02-03 ", "2001-02-30", "2001-2-3", "", " ", None, "+2001-2-3", "2001-02-03T"]
+    found = [one(spark, values.parse_date_strict(F.lit(c).cast("string"))) for c in cases]
+    assert [str(d) if d else None for d in found] == ["2001-02-03"] * 3 + [None] * 7
+    assert one(spark, text.split_fields(F.lit("a b,c , d"))) == ["a b", "c", "d"]
+    assert one(spark, text.split_fields(F.lit("a b,c"))) == ["a b", "c"]
