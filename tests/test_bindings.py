@@ -55,3 +55,11 @@ def test_permissions_are_listed_once_without_telling_pairs_apart(spark):
     one, two = "12.0.a.1", "12.0.b.1"
     wanted = [(1, one, "x"), (1, one, "y"), (1, two, None), (1, None, None), (2, one, "x"), (2, one, "y"), (2, two, None), (2, None, None), (None, one, "x"), (None, one, "y")]
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, wanted))
+
+
+def test_cases_are_written_before_they_are_sorted(spark, tmp_path):
+    """A sort reads its rows twice: they must not be placed twice."""
+    from casegate.catalog import placement
+
+    plan = placement.order_by_line(spark, tables(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" in plan and "Generate" not in plan
