@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casegate.llm.common import folder, written
+from casegate.session import settled
 
 # Fixed values of the format.
 MAGIC, GAP = "WARC/1.1\r\n", "\r\n\r\n"
@@ -42,9 +43,8 @@ CANDIDATES = (
 )
 
 
-def sha1_base32(data: Column) -> Column:
-    """SHA-1 in upper-case base32, four letters from each five hex digits."""
-    digits = F.sha1(data)
+def base32_of(digits: Column) -> Column:
+    """A SHA-1 in hex digits as upper-case base32, four letters from each five digits."""
     letters = []
     for at in range(1, 41, 5):
         value = F.conv(F.substring(digits, at, 5), 16, 10).cast("int")
@@ -66,7 +66,9 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     Shorter payloads are all responses. A page_id that repeats keeps all its rows.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", "html", F.length(payload).cast("bigint").alias("size"), sha1_base32(payload).alias("digest"))
+    # Every letter names the hash: it is taken once per row, not once per letter.
+    hashed = settled(pages.select("page_id", "url", "html"), {"size": F.length(payload).cast("bigint"), "digits": F.sha1(payload)})
+    rows = hashed.select("page_id", "url", "html", "size", base32_of(F.col("digits")).alias("digest"))
     tops = (
         rows.where(F.col("size") >= min_bytes)
         .groupBy("digest", "size")

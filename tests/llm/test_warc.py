@@ -70,3 +70,9 @@ def test_magic_without_blank_lines_is_read_once():
     body = "x WARC/1.1\r\n" * 50_000
     content = f"WARC/1.1\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
     assert [c["start"] for c in warc.candidates_of(content)] == [0]
+
+
+def test_a_payload_is_hashed_once_per_row(spark):
+    pages = spark.createDataFrame([r[:3] for r in ROWS], "page_id long, url string, html string")
+    plan = warc.records(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha1(") == 2  # once below the grouping, once below the join
