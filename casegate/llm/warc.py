@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casegate.llm.common import folder, written
-from casegate.session import settled
+from casegate.session import broadcast_if_small, settled
 
 # Fixed values of the format.
 MAGIC, GAP = "WARC/1.1\r\n", "\r\n\r\n"
@@ -57,24 +57,36 @@ def _one_line(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, "\r", "%0D"), "\n", "%0A")
 
 
-def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One record per row of ``pages`` (page_id, url, html), as text in ``record``.
-
-    The payload is html in UTF-8; null is empty. Of payloads that are equal and have
-    ``min_bytes`` or more, those of the largest page_id are responses and the others
-    revisit it, without a payload of their own; a null page_id counts as smallest.
-    Shorter payloads are all responses. A page_id that repeats keeps all its rows.
-    """
+def _hashed(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     # Every letter names the hash: it is taken once per row, not once per letter.
     hashed = settled(pages.select("page_id", "url", "html"), {"size": F.length(payload).cast("bigint"), "digits": F.sha1(payload)})
-    rows = hashed.select("page_id", "url", "html", "size", base32_of(F.col("digits")).alias("digest"))
-    tops = (
-        rows.where(F.col("size") >= min_bytes)
+    return hashed.select("page_id", "url", "html", "size", base32_of(F.col("digits")).alias("digest"))
+
+
+def repeated(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """Payloads of ``min_bytes`` or more that several rows have: digest, size, and the
+    largest page_id as ``top``."""
+    return (
+        _hashed(pages)
+        .where(F.col("size") >= min_bytes)
         .groupBy("digest", "size")
         .agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
         .where("n > 1")
     )
+
+
+def records(pages: DataFrame, min_bytes: int = 0, tops: DataFrame | None = None) -> DataFrame:
+    """One record per row of ``pages`` (page_id, url, html), as text in ``record``.
+
+    The payload is html in UTF-8; null is empty. Of payloads that are equal and have
+    ``min_bytes`` or more, those of the largest page_id are responses and the others
+    revisit it, without a payload of their own; a null page_id counts as smallest.
+    Shorter payloads are all responses. A page_id that repeats keeps all its rows.
+    ``tops`` are the ``repeated`` payloads, if they are known already.
+    """
+    rows = _hashed(pages)
+    tops = repeated(pages, min_bytes) if tops is None else tops
     revisit = F.coalesce(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.lit(False))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     urn = lambda value: F.concat(F.lit("<urn:page:"), value.cast("string"), F.lit(">"))
@@ -97,8 +109,11 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_records: int = ARCHIVE_RECORDS) -> None:
     """Write the records of ``pages`` as archives below ``path``. A record is a line
-    of the text writer whose line end is the gap between records."""
-    rows = records(pages, min_bytes)
+    of the text writer whose line end is the gap between records. The repeated payloads
+    are found first: up to ``BROADCAST_ROWS`` of them go to all tasks, and no page is
+    shuffled; beyond, pages and they meet by digest."""
+    tops = broadcast_if_small(written(repeated(pages, min_bytes), "tops"))
+    rows = records(pages, min_bytes, tops)
     rows.write.option("lineSep", GAP).option("maxRecordsPerFile", archive_records).text(path)
 
 

@@ -76,3 +76,21 @@ def test_a_payload_is_hashed_once_per_row(spark):
     pages = spark.createDataFrame([r[:3] for r in ROWS], "page_id long, url string, html string")
     plan = warc.records(pages)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sha1(") == 2  # once below the grouping, once below the join
+
+
+def test_pages_are_not_shuffled_for_few_repeated_payloads(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([r[:3] for r in ROWS], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages")
+    pages, plans, records = spark.read.parquet(f"{tmp_path}/pages"), [], warc.records
+
+    def noted(*args):
+        plans.append(records(*args)._jdf.queryExecution().executedPlan().toString())
+        return records(*args)
+
+    monkeypatch.setattr(warc, "records", noted)
+    for limit, shuffled in ((500_000, False), (1, True)):  # three payloads stand in several rows
+        monkeypatch.setattr(warc, "broadcast_if_small", lambda df, n=limit: df.hint("broadcast" if df.count() <= n else "merge"))
+        warc.write_archives(pages, f"{tmp_path}/{limit}")
+        assert ("Exchange hashpartitioning" in plans.pop()) == shuffled
+    kinds = [Counter(r["record_type"] for r in warc.read_archives(spark, f"{tmp_path}/{n}").collect()) for n in (500_000, 1)]
+    assert kinds[0] == kinds[1] == {"response": 7, "revisit": 3}
