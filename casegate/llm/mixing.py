@@ -191,17 +191,21 @@ def mix(
 
 def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as ``mixed`` takes them, same columns.
-    Equal rows are told apart by a running number."""
-    one = W.partitionBy("__id", "__hash").orderBy("__id")
-    here = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__hash": row_hash()})
-    here = here.withColumn("__n", F.row_number().over(one))
+    Rows of equal id, text and source are taken equally often, but for one copy that the
+    first of them by a running number have more. They are numbered and joined by the
+    same key, so texts are shuffled once."""
+    key = {"__id": F.coalesce("doc_id", F.lit(0)), "__hash": row_hash(), "__from": F.xxhash64("source")}
+    here = docs.withColumns(key).withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy("__id")))
     there = (
-        mixed.where("copies > 0")
-        .select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("row_hash").alias("__hash"), F.col("copies").alias("__copies"))
-        .withColumn("__n", F.row_number().over(one))
+        mixed.select(*[(F.col("row_hash") if name == "__hash" else column).alias(name) for name, column in key.items()], "copies")
+        .groupBy(*key)
+        .agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+        .where("__copies > 0")
     )
     return (
-        here.join(there, ["__id", "__hash", "__n"])
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+        here.join(there, list(key))
+        .withColumn("__copies", F.expr("__copies div __rows + if(__n <= __copies % __rows, 1, 0)"))
+        .where("__copies > 0")
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -61,6 +61,21 @@ def test_taking_keeps_columns_and_repeats_rows(spark):
     assert Counter(r["doc_id"] for r in rows.collect()) == +want
 
 
+def test_equal_texts_of_two_sources_keep_their_copies(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (1, "a b", "y"), (1, "a b", None), (2, "a b", "y")], "doc_id long, text string, source string")
+    mixed = spark.createDataFrame([(1, "a b", "x", 2), (1, "a b", "x", 3), (1, "a b", "y", 1), (1, "a b", None, 3), (2, "a b", "y", 0)], "doc_id long, text string, source string, copies int")
+    rows = mixing.take(docs, mixed.withColumn("row_hash", mixing.row_hash())).collect()
+    assert Counter(map(tuple, rows)) == {(1, "a b", "x"): 5, (1, "a b", "y"): 1, (1, "a b", None): 3}
+
+
+def test_taking_shuffles_texts_once(spark):
+    docs = cases.documents(spark)
+    mixed = spark.createDataFrame([], "doc_id long, row_hash long, source string, copies int")
+    plan = mixing.take(docs, mixed.hint("merge"))._jdf.queryExecution().executedPlan().toString()
+    shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert len(shuffles) == 2 and len({s.count("#") for s in shuffles}) == 1, plan
+
+
 def test_nothing_to_mix(spark):
     assert mixing.mix(cases.empty(spark)).count() == 0
     only = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
