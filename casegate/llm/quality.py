@@ -44,6 +44,8 @@ START, END, UNKNOWN, SPECIAL = 0, 1, 2, 5
 SPELLING, SPELLED = 2.0, 12
 # Runs whose weights go to all tasks, and runs of the model per shard.
 HOT_RUNS, SHARD_RUNS = 262_144, 1_000_000
+# Different runs, about, that a task counts in memory before it hands them on.
+HELD_RUNS = 1_500_000
 # Bits per run, and bits at most (32 MB), of the filter of runs; bits of its segments.
 # A model beyond that fills the filter: more runs are sent, and the answers are the same.
 RUN_BITS, MOST_BITS, SEGMENT_BITS = 8, 1 << 28, 1 << 16
@@ -149,6 +151,50 @@ def _parts(numbers: np.ndarray, edges: np.ndarray, order: int) -> pd.DataFrame:
     return pd.DataFrame({k: v if k in ("run", "n") else np.where(run < 0, v, 0) for k, v in found.items()})
 
 
+def _summed(held: list[pd.DataFrame]) -> pd.DataFrame:
+    """One row per run of several tables of ``_parts``, which are let go one by one."""
+    names, tables = held[0].columns, held[::-1]
+    held.clear()
+    columns: dict[str, list[np.ndarray]] = {c: [] for c in names}
+    while tables:
+        table = tables.pop()
+        for c in names:
+            columns[c].append(table[c].to_numpy())
+    run = np.concatenate(columns.pop("run"))
+    order = np.argsort(run, kind="stable")
+    run = run[order]
+    new = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    found = {"run": run[new]}
+    for c in names[1:]:
+        values = np.concatenate(columns.pop(c))
+        found[c] = np.add.reduceat(values[order], new) if c == "n" else values[order[new]]
+    return pd.DataFrame(found)
+
+
+def run_counts(batches: Iterator[pd.DataFrame], vocab: Vocabulary, order: int, most: int = HELD_RUNS) -> Iterator[pd.DataFrame]:
+    """Runs of a task's texts (text) and their counts. A task with more different runs
+    than ``most`` gives a run several times, and what it holds does not grow further."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        rows = ["" if t is None else t for t in batch["text"]]
+        for part in blocks(rows):
+            docs = [w for w in map(words_of, rows[part]) if w]
+            if docs:
+                numbers, edges, _ = vocab.encode(docs, order)
+                held.append(_parts(numbers, edges, order))
+            if sum(map(len, held)) > most:
+                held = [_summed(held)]
+                if 2 * len(held[0]) > most:
+                    yield from _slices(held.pop())
+    if held:
+        yield from _slices(_summed(held))
+
+
+def _slices(table: pd.DataFrame, rows: int = 100_000) -> Iterator[pd.DataFrame]:
+    for at in range(0, len(table), rows):
+        yield table.iloc[at : at + rows]
+
+
 def least_count(table: DataFrame, most: int) -> int:
     """The smallest count ``n`` that at most ``most`` rows of ``table`` reach, from how
     many rows have each count."""
@@ -194,21 +240,7 @@ class Model:
         names = ["head", "tail", "mid", "last"][: 2 * order - 2]
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: list[pd.DataFrame] = []
-            add = lambda: pd.concat(held).groupby("run", sort=False).agg({"n": "sum"} | dict.fromkeys(names, "first")).reset_index()
-            for batch in batches:
-                rows = ["" if t is None else t for t in batch["text"]]
-                for part in blocks(rows):
-                    docs = [w for w in map(words_of, rows[part]) if w]
-                    if docs:
-                        numbers, edges, _ = vocab.encode(docs, order)
-                        held.append(_parts(numbers, edges, order))
-                if sum(map(len, held)) > 2_000_000:
-                    held = [add()]
-            if held:
-                total = add()
-                for at in range(0, len(total), 100_000):
-                    yield total.iloc[at : at + 100_000]
+            return run_counts(batches, vocab, order)
 
         schema = "run bigint, n bigint, " + ", ".join(f"{c} bigint" for c in names)
         most = [F.max(c).alias(c) for c in names]

@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 
 from tests.llm import cases
@@ -105,3 +106,19 @@ def test_nothing_trusted_or_nothing_at_all(spark):
     kept = {r["doc_id"]: r["kept"] for r in quality.judge(cases.documents(spark), labels).collect()}
     assert kept[1] and kept[10] and not kept[5]
     assert quality.judge(cases.empty(spark), labels).count() == 0
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_a_task_holds_a_bounded_number_of_runs(order):
+    texts = [" ".join(cases.words(40, seed=i % 30)) for i in range(60)] + [None, ""]
+    batches, read = [pd.DataFrame({"text": texts[i : i + 2]}) for i in range(0, len(texts), 2)], []
+    vocab = quality.Vocabulary(sorted(set(cases.words(40, seed=3))), closed=False)
+    whole = pd.concat(quality.run_counts(iter(batches), vocab, order)).sort_values("run")
+    assert whole["run"].is_unique and whole["n"].sum() == 60 * 41
+    parts = []
+    for table in quality.run_counts((read.append(b) or b for b in batches), vocab, order, most=200):
+        parts.append((len(read), table))
+    assert parts[0][0] < 5 and max(len(t) for _, t in parts) <= 282  # at most 200 and those of one batch
+    together = pd.concat([t for _, t in parts])
+    summed = together.groupby("run").agg({"n": "sum"} | dict.fromkeys(whole.columns[2:], "first")).reset_index()
+    assert summed.equals(whole.reset_index(drop=True))
