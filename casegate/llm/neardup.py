@@ -34,6 +34,8 @@ SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-4
 BANDS, ROWS, STEP = 32, 4, 16
 # Classes of a block.
 BLOCK = 1024
+# Columns and rows of the parts in which overlaps of classes are computed.
+WIDTH, STRIP = 1024, 128
 # Rows, at most, of the filter that goes to all tasks before texts are read again.
 FILTER_SLOTS = 1 << 20
 _STEPS = np.random.default_rng(20).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -182,32 +184,44 @@ def _survivors(bounds: list[int]) -> Callable:
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Size of the intersection of each two sets. Elements of one set only are left
     out; the rest is multiplied in slices of bounded width."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    owner, column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out, width = np.zeros((len(sets), len(sets)), dtype=np.float32), 4096
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable").astype(np.int32)
+    flat, owner = flat[order], owner[order]
+    del order
+    same = flat[1:] == flat[:-1]
+    del flat
+    shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    new = np.concatenate(([True], ~same))[shared]
+    owner, column = owner[shared], np.cumsum(new, dtype=np.int32) - 1
+    out, width = np.zeros((len(sets), len(sets)), dtype=np.float32), WIDTH
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, (at, at + width))
         part = np.zeros((len(sets), width), dtype=np.float32)
         part[owner[a:b], column[a:b] - at] = 1
-        out += part @ part.T
+        for rows in _strips(len(sets)):
+            out[rows] += part[rows] @ part.T
     return out
 
 
+def _strips(n: int) -> Iterator[slice]:
+    """Rows of a matrix, so many that what is made of them stays small."""
+    return (slice(at, at + STRIP) for at in range(0, n, STRIP))
+
+
 def _verify(threshold: float) -> Callable:
     def work(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         for (_, p, q), part in rows.groupby(["component", "p", "q"], sort=False):
             sets = [np.frombuffer(s, dtype=np.uint64) for s in part["shingles"]]
             nodes, block = part["kid"].to_numpy(), part["block"].to_numpy()
             copies, n = part["copies"].to_numpy(), np.array([len(s) for s in sets])
-            both = overlaps(sets)
-            linked = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-6
+            both, linked = overlaps(sets), np.empty((len(sets), len(sets)), dtype=bool)
+            for i in _strips(len(sets)):
+                linked[i] = both[i] >= threshold * (n[i, None] + n[None, :] - both[i]) - 1e-6
+                if p != q:
+                    linked[i] &= block[i, None] != block[None, :]
             np.fill_diagonal(linked, False)
-            if p != q:
-                linked &= block[:, None] != block[None, :]
+            del both
             # A breadth-first forest names the classes that links connect.
             partner, open_ = np.full(len(sets), -1), np.ones(len(sets), dtype=bool)
             for seed in range(len(sets)):
@@ -224,7 +238,7 @@ def _verify(threshold: float) -> Callable:
                 {
                     "kid": nodes,
                     "links": linked.sum(axis=1).astype(np.int64),
-                    "linked_docs": linked @ copies.astype(np.int64),
+                    "linked_docs": np.concatenate([linked[i] @ copies.astype(np.int64) for i in _strips(len(sets))]),
                     "partner": pd.array([None if x < 0 else int(nodes[x]) for x in partner], dtype="Int64"),
                 }
             )

@@ -1,6 +1,8 @@
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from tests.llm import cases
 from casegate.llm import neardup
@@ -89,3 +91,19 @@ def test_overlaps_are_exact():
     want = np.array(want)
     np.fill_diagonal(want, 0)
     assert (got == want).all()
+
+
+def test_comparing_two_blocks_takes_bounded_memory():
+    rng = np.random.default_rng(3)
+    base, rows = rng.integers(0, 1 << 62, 60, dtype=np.uint64), []
+    for i in range(1500):
+        own = base.copy()
+        own[:4] = rng.integers(0, 1 << 62, 4, dtype=np.uint64)
+        rows.append((i, 1, 0, 1, 1 + i % 3, i % 2, np.unique(own).tobytes()))
+    part = pd.DataFrame(rows, columns=["kid", "component", "p", "q", "copies", "block", "shingles"])
+    tracemalloc.start()
+    found = pd.concat(neardup._verify(0.8)(part))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found["links"] == 750).all() and found["linked_docs"].sum() == sum(1500 // 2 * r[4] for r in rows)
+    assert peak < 10 * 1500**2
