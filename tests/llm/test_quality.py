@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -6,6 +7,7 @@ import pytest
 
 from tests.llm import cases
 from casegate.llm import quality
+from casegate.llm.common import written
 
 
 def plain(texts, docs, order, vocab):
@@ -122,3 +124,59 @@ def test_a_task_holds_a_bounded_number_of_runs(order):
     together = pd.concat([t for _, t in parts])
     summed = together.groupby("run").agg({"n": "sum"} | dict.fromkeys(whole.columns[2:], "first")).reset_index()
     assert summed.equals(whole.reset_index(drop=True))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_counts_packed_by_bucket_are_the_counts(order):
+    texts = [" ".join(cases.words(300, seed=i % 7)) for i in range(9)] + [None, "", "the end"]
+    vocab = quality.Vocabulary(sorted(set(cases.words(40, seed=3))), closed=False)
+    whole = pd.concat(quality.run_counts(iter([pd.DataFrame({"text": texts})]), vocab, order))
+    names = list(whole.columns[2:])
+    packed = []
+    for at in (slice(0, 5), slice(5, 12)):
+        for rows in quality.run_counts(iter([pd.DataFrame({"text": texts[at]})]), vocab, order, rows=10_000):
+            packed.append(quality.pack_counts(rows, 3))
+    packed = pd.concat(packed)
+    assert (packed.groupby("bucket").size() <= 2).all() and packed["bucket"].nunique() == 3
+    got = pd.concat([quality.merge_counts(part, names) for _, part in packed.groupby("bucket")])
+    assert (whole["run"] < 0).any() and (whole["run"] > 0).any()
+    order_ = lambda t: t.sort_values("run").reset_index(drop=True)
+    assert order_(got).equals(order_(whole))
+    spent = sum(len(b) for c in ("runs", "n") for b in packed[c]) + sum(len(b) for row in packed["cold"] for b in row)
+    assert order == 3 or spent < 5 * whole.shape[0] * whole.shape[1]  # as rows, 8 each
+
+
+def test_weights_packed_by_shard_are_found_again():
+    rows = pd.DataFrame({"run": [5, -(1 << 62), 1 << 40, -7, 12, 0], "weight": [0.5, -1.25, 3.0, 1e-9, 2.0, 7.0]})
+    packed = pd.concat(quality.pack_weights(iter([rows.iloc[:2], rows.iloc[:0], rows.iloc[2:4], rows.iloc[4:]]), 2, most=4))
+    assert len(packed) <= 4
+    for shard, held in packed.groupby("shard"):
+        runs, weights = quality.unpack_weights(held)
+        want = rows[quality.shard_of(rows["run"].to_numpy(), 2) == shard].sort_values("run")
+        assert runs.tolist() == want["run"].tolist() and weights.tolist() == want["weight"].tolist()
+    assert len(quality.unpack_weights(packed.iloc[:0])[0]) == 0
+
+
+def test_what_tells_a_weight_gives_it(spark, monkeypatch):
+    monkeypatch.setattr(quality, "HOT_WORDS", 6)
+    model = quality.Model(spark.createDataFrame([(t,) for t in TEXTS], "text string"))
+    told, weights = (t.toPandas().sort_values("run") for t in (model.told(), model.weights))
+    assert told["run"].tolist() == weights["run"].tolist()
+    pairs = (told["run"] >= 0).to_numpy()
+    assert pairs.any() and not pairs.all()
+    told.loc[pairs, "weight"] = model.pair_weights()(told["run"].to_numpy()[pairs], told["weight"].to_numpy()[pairs])
+    hot = model.hot(2).toPandas().set_index("run")["weight"]
+    frequent = weights[weights["n"] >= 2].set_index("run")["weight"]
+    assert len(hot) and hot.to_dict() == pytest.approx(frequent.to_dict(), rel=1e-12)
+    assert told["weight"].tolist() == pytest.approx(weights["weight"].tolist(), rel=1e-12)
+
+
+def test_tables_that_nothing_reads_any_more_are_not_kept(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(quality, "written", lambda df, name, **o: kept.append((name, df_ := written(df, name, **o))) or df_)
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 30)], "doc_id long, quality int")
+    assert quality.judge(cases.documents(spark), labels).count()
+    folders = {name: df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0].replace("//", "/") for name, df in kept}
+    there = {name for name, folder in folders.items() if os.path.exists(folder)}
+    assert "weights" not in folders and not there & {"trusted", "words", "runs", "singles", "heads"}
+    assert {"shards", "perplexity", "scored"} <= there
