@@ -596,7 +596,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
         starts = first["weight"] if first else 0.0
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(model.run_filter())
-    shards = max(spark.sparkContext.defaultParallelism, -(-model.n_runs // SHARD_RUNS), docs.rdd.getNumPartitions())
+    shards = max(spark.sparkContext.defaultParallelism, -(-model.n_runs // SHARD_RUNS), -(-docs.rdd.getNumPartitions() // 2))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -661,7 +661,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
             sums = np.bincount(_unpack(m.owners, "<u4"), np.repeat(gain, _unpack(m.sizes, "<u4")), m.n_docs)
             some = np.flatnonzero(sums)
             if len(some):
-                out.append((m.block, m.shard, some.astype(np.uint32).tobytes(), sums[some].tobytes(), None, None, None, None))
+                out.append((m.block, m.shard, _pack(np.diff(some, prepend=0).astype(np.uint32)), _pack(sums[some]), None, None, None, None))
         return pd.DataFrame(out, columns=["block", "shard", "slots", "sums", "doc_ids", "hashes", "base", "words"], dtype=object)
 
     def settle(parts: pd.DataFrame) -> pd.DataFrame:
@@ -669,7 +669,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
         total = np.frombuffer(head["base"]).copy()
         parts = parts.sort_values("shard")  # sums in one order, whatever came first
         for at, gained in zip(parts["slots"].dropna(), parts["sums"].dropna(), strict=True):
-            total[np.frombuffer(at, dtype=np.uint32)] += np.frombuffer(gained)
+            total[np.cumsum(_unpack(at, "<u4"))] += _unpack(gained, "<f8")
         sizes = np.frombuffer(head["words"], dtype=np.int64)
         ids = pd.array([None if pd.isna(i) else int(i) for i in head["doc_ids"]], dtype="Int64")
         return pd.DataFrame({"doc_id": ids, "row_hash": head["hashes"], "n_words": sizes, "nll": np.where(sizes > 0, -total, 0.0)})
@@ -715,6 +715,7 @@ def judge(
     chosen = written(near.join(counted.hint("merge"), "doc_id", "left_semi").select("text"), "trusted", compression="zstd")
     model = Model(chosen, order, vocabulary)
     discard(chosen)  # its counts are written
+    sweep(docs.sparkSession)
     scores = perplexity(docs, model)
     model.discard()
     sweep(docs.sparkSession)
